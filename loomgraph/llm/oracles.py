@@ -67,4 +67,34 @@ SELECT doc_id, size, source_size, target,
 FROM e
 """
 
-ORACLES: dict[str, str] = {"op7_mix_sources": OP7, "op9_exact_dedup": OP9}
+OP6 = rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM documents),
+x AS (SELECT doc_id, unnest(range(1, greatest(len(ws) - 18, 1))) AS s, ws FROM w),
+h AS (SELECT doc_id, s, md5(array_to_string(ws[s:s + 19], ' ')) AS k FROM x),
+r AS (SELECT doc_id, s, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS nth FROM h),
+c AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS p FROM r WHERE nth > 1),
+a AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS p, unnest(ws) AS word FROM w),
+k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept, count(*) AS n FROM a ANTI JOIN c USING (doc_id, p) GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN k USING (doc_id)
+"""
+
+OP10 = """
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+t AS (SELECT doc_id, n, i, x[2000 * i + 1:2000 * i + 2198] AS x FROM (SELECT *, unnest(range(0, greatest(n - 99, 0) // 1000 + 1)) AS i FROM b)),
+h AS (SELECT doc_id, 1000 * i + j AS s, md5(x[2 * j + 1:2 * j + 200]) AS k
+      FROM (SELECT doc_id, i, x, unnest(range(0, greatest(least(1000, n - 99 - 1000 * i), 0))) AS j FROM t)),
+r AS (SELECT doc_id, s, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS nth FROM h),
+c AS (SELECT DISTINCT doc_id, unnest(range(s, s + 100)) AS p FROM r WHERE nth > 1),
+m AS (SELECT doc_id, count(*) AS gone, count(*) FILTER (p <> before + 1 OR before IS NULL) AS spans
+      FROM (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM c) GROUP BY doc_id),
+a AS (SELECT doc_id, 1000 * i + j AS p, x[2 * j + 1:2 * j + 2] AS x
+      FROM (SELECT doc_id, i, x[2000 * i + 1:2000 * i + 2000] AS x, unnest(range(0, least(1000, n - 1000 * i))) AS j
+            FROM (SELECT *, unnest(range(0, (n + 999) // 1000)) AS i FROM b))),
+k AS (SELECT doc_id, string_agg(x, '' ORDER BY p) AS kept FROM a ANTI JOIN c USING (doc_id, p) GROUP BY doc_id)
+SELECT b.doc_id, n::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM b LEFT JOIN k USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op6_substring_dedup": OP6, "op10_suffix_dedup": OP10, "op7_mix_sources": OP7, "op9_exact_dedup": OP9}

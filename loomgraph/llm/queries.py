@@ -9,12 +9,18 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm import exact_dedup as _exact
 from loomgraph.llm import mixing as _mixing
+from loomgraph.llm import substring_dedup as _substring
+from loomgraph.llm import suffix_dedup as _suffix
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _substring.substring_dedup(_documents(spark, sf_dir), with_text=False)
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = _mixing.mix_sources(_documents(spark, sf_dir))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -25,7 +31,13 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _exact.exact_dedup(_documents(spark, sf_dir), extra=digest)
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _suffix.suffix_dedup(_documents(spark, sf_dir)).drop("spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_mix_sources": op7_mix_sources,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
