@@ -2,7 +2,8 @@
 
 Each round is two aggregate-then-join steps on narrow (src, dst) rows, so a hot
 vertex is a pre-aggregated minimum plus a join that adaptive execution can split;
-no adjacency list is ever gathered. Rounds are logarithmic in the diameter.
+no adjacency list is ever gathered. The minima are written first: both sides of
+the join are then shuffled for it, which is what adaptive splitting needs. Rounds are logarithmic in the diameter.
 """
 
 from __future__ import annotations
@@ -15,13 +16,13 @@ from loomgraph.storage import discard, materialise
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+    least = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")), "least")
     return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = materialise(down.groupBy("u").agg(F.min("v").alias("m")), "least")
     links = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return links.union(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -41,7 +42,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         if state == seen or not state[0]:
             break
         seen, before = state, now
-        now = materialise(_small_star(_large_star(now)), "edges")
+        now = materialise(_small_star(materialise(_large_star(now), "edges")), "edges")
         discard(before)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
