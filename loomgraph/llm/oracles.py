@@ -67,6 +67,19 @@ SELECT doc_id, size, source_size, target,
 FROM e
 """
 
+OP1 = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS ws FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(ws[s:s + 3], ' ') AS gram
+      FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 2))) AS s FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+i AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS same FROM g x JOIN g y ON x.gram = y.gram AND x.doc_id < y.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * same >= 85 * (x.n + y.n - same)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+c AS (SELECT doc_id AS node, doc_id AS reach FROM documents UNION SELECT c.node, e.b FROM c JOIN e ON e.a = c.reach)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.component_id
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT node AS doc_id, min(reach) AS component_id FROM c GROUP BY node) m USING (doc_id)
+"""
+
 OP6 = rf"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM documents),
 x AS (SELECT doc_id, unnest(range(1, greatest(len(ws) - 18, 1))) AS s, ws FROM w),
@@ -85,16 +98,15 @@ t AS (SELECT doc_id, n, i, x[2000 * i + 1:2000 * i + 2198] AS x FROM (SELECT *,
 h AS (SELECT doc_id, 1000 * i + j AS s, md5(x[2 * j + 1:2 * j + 200]) AS k
       FROM (SELECT doc_id, i, x, unnest(range(0, greatest(least(1000, n - 99 - 1000 * i), 0))) AS j FROM t)),
 r AS (SELECT doc_id, s, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS nth FROM h),
-c AS (SELECT DISTINCT doc_id, unnest(range(s, s + 100)) AS p FROM r WHERE nth > 1),
-m AS (SELECT doc_id, count(*) AS gone, count(*) FILTER (p <> before + 1 OR before IS NULL) AS spans
-      FROM (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM c) GROUP BY doc_id),
-a AS (SELECT doc_id, 1000 * i + j AS p, x[2 * j + 1:2 * j + 2] AS x
-      FROM (SELECT doc_id, i, x[2000 * i + 1:2000 * i + 2000] AS x, unnest(range(0, least(1000, n - 1000 * i))) AS j
-            FROM (SELECT *, unnest(range(0, (n + 999) // 1000)) AS i FROM b))),
-k AS (SELECT doc_id, string_agg(x, '' ORDER BY p) AS kept FROM a ANTI JOIN c USING (doc_id, p) GROUP BY doc_id)
-SELECT b.doc_id, n::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
-       sha256(unhex(coalesce(kept, ''))) AS kept_sha256
-FROM b LEFT JOIN k USING (doc_id) LEFT JOIN m USING (doc_id)
+d AS (SELECT doc_id, s, s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100 AS joined FROM r WHERE nth > 1),
+g AS (SELECT doc_id, s, count(*) FILTER (joined IS NOT TRUE) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM d),
+c AS (SELECT doc_id, min(s) AS a, max(s) + 100 AS z FROM g GROUP BY doc_id, run),
+e AS (SELECT doc_id, a, z FROM c UNION ALL SELECT doc_id, 0, 0 FROM b),
+f AS (SELECT doc_id, a, z, lead(a, 1, 9223372036854775807) OVER (PARTITION BY doc_id ORDER BY a, z) AS until FROM e),
+k AS (SELECT doc_id, sum(f.z - f.a)::BIGINT AS gone, count(*) FILTER (f.z > 0) AS spans,
+        string_agg(x[2 * f.z + 1:2 * least(f.until, n)], '' ORDER BY f.a, f.z) AS kept FROM f JOIN b USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n::BIGINT AS n_bytes, gone AS n_removed, spans::BIGINT AS n_spans, sha256(unhex(kept)) AS kept_sha256
+FROM b JOIN k USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op6_substring_dedup": OP6, "op10_suffix_dedup": OP10, "op7_mix_sources": OP7, "op9_exact_dedup": OP9}
+ORACLES: dict[str, str] = {"op1_ngram_jaccard_join": OP1, "op6_substring_dedup": OP6, "op10_suffix_dedup": OP10, "op7_mix_sources": OP7, "op9_exact_dedup": OP9}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm import exact_dedup as _exact
 from loomgraph.llm import mixing as _mixing
+from loomgraph.llm import ngram_join as _ngrams
 from loomgraph.llm import substring_dedup as _substring
 from loomgraph.llm import suffix_dedup as _suffix
 
@@ -17,6 +18,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ngrams.ngram_components(_documents(spark, sf_dir))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _substring.substring_dedup(_documents(spark, sf_dir), with_text=False)
 
@@ -36,6 +41,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_mix_sources": op7_mix_sources,
     "op9_exact_dedup": op9_exact_dedup,
