@@ -22,6 +22,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
+_MARKS = np.zeros(256, dtype=bool)
+_MARKS[:128] = [not chr(c).isalnum() for c in range(128)]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -93,12 +95,21 @@ class Slab:
     def byte_values(self) -> np.ndarray:
         return _BYTES[self.data]
 
-    def words(self, lower: bool) -> tuple[np.ndarray, np.ndarray]:
-        """The hash of every word, and for each text where its words begin (one more entry than texts)."""
+    def words(self, lower: bool, plain: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """The hash of every word, and for each text where its words begin (one more entry than texts).
+
+        Words are cut at ASCII blanks or, if ``plain``, at whatever in ASCII is neither letter nor digit.
+        """
+        starts, ends = self.word_spans(plain)
+        data = _LOWER[self.data] if lower else self.data
+        return hash_spans(data, starts, ends), np.searchsorted(starts, self.offsets)
+
+    def word_spans(self, plain: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Where words begin and end in ``data``."""
         n = len(self.data)
         if not n:
-            return np.empty(0, dtype=np.uint64), np.zeros(len(self.offsets), dtype=np.int64)
-        inside = ~_BLANK[self.data]
+            return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        inside = ~(_MARKS if plain else _BLANK)[self.data]
         cut = np.zeros(n + 1, dtype=bool)
         cut[self.offsets] = True
         before = np.empty(n, dtype=bool)
@@ -107,15 +118,19 @@ class Slab:
         after = np.empty(n, dtype=bool)
         after[-1], after[:-1] = True, ~inside[1:]
         ends = np.flatnonzero(inside & (after | cut[1:])) + 1
-        data = _LOWER[self.data] if lower else self.data
-        hashes = np.empty(len(starts), dtype=np.uint64)
-        lo = 0
-        while lo < len(starts):
-            hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + SLAB)))
-            base, stop = starts[lo], ends[hi - 1]
-            hashes[lo:hi] = spans_hash(_BYTES[data[base:stop]], starts[lo:hi] - base, ends[lo:hi] - base)
-            lo = hi
-        return hashes, np.searchsorted(starts, self.offsets)
+        return starts, ends
+
+
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of ordered byte spans, a slab's worth of bytes at a time."""
+    hashes = np.empty(len(starts), dtype=np.uint64)
+    lo = 0
+    while lo < len(starts):
+        hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + SLAB)))
+        base, stop = starts[lo], ends[hi - 1]
+        hashes[lo:hi] = spans_hash(_BYTES[data[base:stop]], starts[lo:hi] - base, ends[lo:hi] - base)
+        lo = hi
+    return hashes
 
 
 def slabs(texts: pa.Array) -> Iterator[Slab]:

@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from loomgraph.llm import exact_dedup as _exact
 from loomgraph.llm import mixing as _mixing
 from loomgraph.llm import ngram_join as _ngrams
+from loomgraph.llm import pii as _pii
+from loomgraph.llm import secrets as _secrets
 from loomgraph.llm import substring_dedup as _substring
 from loomgraph.llm import suffix_dedup as _suffix
+from loomgraph.llm import toxicity as _toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +25,18 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ngrams.ngram_components(_documents(spark, sf_dir))
 
 
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pii.scan_personal(_documents(spark, sf_dir))
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _secrets.scan_secrets(_documents(spark, sf_dir))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _toxicity.severity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _substring.substring_dedup(_documents(spark, sf_dir), with_text=False)
 
@@ -42,6 +57,9 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_personal_data": op2_personal_data,
+    "op3_secret_scan": op3_secret_scan,
+    "op5_toxicity": op5_toxicity,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_mix_sources": op7_mix_sources,
     "op9_exact_dedup": op9_exact_dedup,
