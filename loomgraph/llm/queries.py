@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import exact_dedup as _exact
+from loomgraph.llm import lattice_dedup as _lattice
 from loomgraph.llm import mixing as _mixing
 from loomgraph.llm import ngram_join as _ngrams
 from loomgraph.llm import pii as _pii
@@ -33,6 +34,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _secrets.scan_secrets(_documents(spark, sf_dir))
 
 
+def op4_lattice_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lattice.lattice_near_dups(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _toxicity.severity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_personal_data": op2_personal_data,
     "op3_secret_scan": op3_secret_scan,
+    "op4_lattice_near_dups": op4_lattice_near_dups,
     "op5_toxicity": op5_toxicity,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_mix_sources": op7_mix_sources,
