@@ -66,7 +66,8 @@ def exact_dedup(
     hashed = materialise(hashed, "hashed")
     key = ["_len", "_prefix", "_full"]
     alive = hashed.where("_survives")
-    groups = alive.groupBy(*key).agg(F.min("_id").alias("keep_id"), F.count("*").alias("group_size"))
+    # Written first, so that both sides of the join are shuffled for it and a hot group can be split.
+    groups = materialise(alive.groupBy(*key).agg(F.min("_id").alias("keep_id"), F.count("*").alias("group_size")), "groups")
     found = alive.join(groups, key).select("_id", "keep_id", "group_size", *carried)
     alone = hashed.where("not _survives").select("_id", F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), *carried)
     return found.unionByName(alone).select(
@@ -84,8 +85,8 @@ def keep_first_copies(docs: DataFrame, id_column: str = "doc_id", text_column: s
     Rows that repeat an id and its text become one row.
     """
     flags = exact_dedup(docs, id_column, text_column)
-    flags = materialise(flags.where("group_size > 1").groupBy(id_column).agg(F.max("kept").alias("_kept")), "copies")
+    flags = materialise(flags.where("group_size > 1").groupBy(id_column).agg(F.max("kept").alias("__lg_kept")), "copies")
     once = without_ids(docs, id_column, flags)
     bitmap = key_bitmap(flags, [id_column])
-    held = with_membership(docs, [id_column], bitmap, "_maybe").where("_maybe").join(flags.where("_kept"), id_column, "left_semi")
+    held = with_membership(docs, [id_column], bitmap, "__lg_maybe").where("__lg_maybe").join(flags.where("__lg_kept"), id_column, "left_semi")
     return once.unionByName(held.select(*docs.columns).dropDuplicates([id_column]))

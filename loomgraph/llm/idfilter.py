@@ -8,7 +8,7 @@ join. A saturated bitmap costs time, never results.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PAGE = 32768  # bits in one bitmap of Spark's bitmap aggregates
@@ -16,26 +16,28 @@ DEFAULT_BITS = 1 << 23
 
 
 def key_bitmap(keys: DataFrame, columns: list[str], bits: int = DEFAULT_BITS) -> DataFrame:
-    """Rows ``(_page, _bits)``, at most ``bits / 32768`` of 4 KB each."""
+    """Rows ``(__lg_page, __lg_words)``, at most ``bits / 32768`` of 4 KB each, each page as 512 longs."""
     slot = F.pmod(F.xxhash64(*columns), F.lit(bits))
-    return (
-        keys.select(slot.alias("_slot"))
-        .groupBy(F.floor(F.col("_slot") / PAGE).cast("int").alias("_page"))
-        .agg(F.bitmap_construct_agg(F.col("_slot") % PAGE).alias("_bits"))
+    pages = (
+        keys.select(slot.alias("__lg_slot"))
+        .groupBy(F.floor(F.col("__lg_slot") / PAGE).cast("int").alias("__lg_page"))
+        .agg(F.bitmap_construct_agg(F.col("__lg_slot") % PAGE).alias("__lg_bits"))
     )
+    words = F.transform(F.sequence(F.lit(0), F.lit(511)), lambda i: F.conv(F.hex(F.substring("__lg_bits", i * 8 + 1, F.lit(8))), 16, -10).cast("long"))
+    return pages.select("__lg_page", words.alias("__lg_words"))
 
 
-def with_membership(df: DataFrame, columns: list[str | Column], bitmap: DataFrame, flag: str, bits: int = DEFAULT_BITS) -> DataFrame:
+def with_membership(df: DataFrame, columns: list[str], bitmap: DataFrame, flag: str, bits: int = DEFAULT_BITS) -> DataFrame:
     """Add boolean ``flag``: false where the key is surely absent from the bitmap."""
     slot = F.pmod(F.xxhash64(*columns), F.lit(bits))
-    spread = df.withColumn("_slot", slot).withColumn("_page", F.floor(F.col("_slot") / PAGE).cast("int"))
-    octet = F.expr("cast(conv(hex(substring(_bits, cast((_slot % 32768) div 8 as int) + 1, 1)), 16, 10) as int)")
-    hit = (F.expr("_bits is not null") & (F.shiftright(octet, 0).bitwiseAND(F.expr("shiftleft(1, cast(_slot % 8 as int))")) != 0))
-    return spread.join(F.broadcast(bitmap), "_page", "left").withColumn(flag, F.coalesce(hit, F.lit(False))).drop("_page", "_slot", "_bits")
+    spread = df.withColumn("__lg_slot", slot).withColumn("__lg_page", F.floor(F.col("__lg_slot") / PAGE).cast("int"))
+    # Bit b of a page is bit b % 8 of byte b / 8, and a long holds its first byte on top.
+    hit = F.expr("(shiftright(__lg_words[cast((__lg_slot % 32768) div 64 as int)], cast((7 - (__lg_slot div 8) % 8) * 8 + __lg_slot % 8 as int)) & 1) = 1")
+    return spread.join(F.broadcast(bitmap), "__lg_page", "left").withColumn(flag, F.coalesce(hit, F.lit(False))).drop("__lg_page", "__lg_slot", "__lg_words")
 
 
 def without_ids(df: DataFrame, id_column: str, dropped: DataFrame, bits: int = DEFAULT_BITS) -> DataFrame:
     """``df`` less the rows whose ``id_column`` is in ``dropped(id_column)``; rows with a null id stay."""
-    marked = with_membership(df, [id_column], key_bitmap(dropped, [id_column], bits), "_maybe", bits)
-    rest = marked.where("_maybe").join(dropped.select(id_column).distinct(), id_column, "left_anti")
-    return marked.where("not _maybe").select(*df.columns).unionByName(rest.select(*df.columns))
+    marked = with_membership(df, [id_column], key_bitmap(dropped, [id_column], bits), "__lg_maybe", bits)
+    rest = marked.where("__lg_maybe").join(dropped.select(id_column).distinct(), id_column, "left_anti")
+    return marked.where("not __lg_maybe").select(*df.columns).unionByName(rest.select(*df.columns))
