@@ -133,7 +133,7 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return hashes
 
 
-def slabs(texts: pa.Array) -> Iterator[Slab]:
+def slabs(texts: pa.Array, limit: int = SLAB) -> Iterator[Slab]:
     """The texts of an Arrow string array, null as empty, in slabs."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -146,7 +146,7 @@ def slabs(texts: pa.Array) -> Iterator[Slab]:
     data = np.frombuffer(data, dtype=np.uint8) if data is not None else np.empty(0, dtype=np.uint8)
     lo = 0
     while lo < n:
-        hi = min(n, max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + SLAB, side="right")) - 1))
+        hi = min(n, max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, side="right")) - 1))
         yield Slab(lo, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
         lo = hi
 

@@ -221,7 +221,7 @@ def ngram_components(docs: DataFrame, id_column: str = "doc_id", text_column: st
     shared = materialise(key_bitmap(counts.groupBy("token").agg(F.sum("n").alias("n")).where("n > 1"), ["token"], TOKEN_BITS), "tokens")
     release(spark)
     lists = heads.select("id", "text").mapInArrow(_prefixes(words, percent, sketch, True), "token long, id long, size int, place int, short boolean")
-    lists = materialise(with_membership(lists, ["token"], shared, "_maybe", TOKEN_BITS).where("_maybe").drop("_maybe"), "lists")
+    lists = materialise(with_membership(lists, ["token"], shared, "__lg_maybe", TOKEN_BITS).where("__lg_maybe").drop("__lg_maybe"), "lists")
 
     # One pivot for each text: the list head that it shares most of its lists with.
     pivots = materialise(lists.groupBy("token").agg(F.min(F.struct("id", "size", "place")).alias("p"), F.count("*").alias("m")).where("m > 1").select("token", "p.*"), "pivots")

@@ -11,6 +11,7 @@ from loomgraph.llm import exact_dedup as _exact
 from loomgraph.llm import lattice_dedup as _lattice
 from loomgraph.llm import mixing as _mixing
 from loomgraph.llm import ngram_join as _ngrams
+from loomgraph.llm import pieces as _pieces
 from loomgraph.llm import pii as _pii
 from loomgraph.llm import secrets as _secrets
 from loomgraph.llm import substring_dedup as _substring
@@ -51,6 +52,19 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def piece_model() -> str:
+    """Where this machine, and each executor, keeps the public SentencePiece model."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op8_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = _pieces.encode_samples(_documents(spark, sf_dir), piece_model())
+    digest = [F.size("pieces").cast("long").alias("n_pieces"), F.xxhash64("pieces").alias("pieces_hash")]
+    return encoded.select("doc_id", "sample", *digest, "log_prob", "perturbed", "log_inclusion", "exact")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     digest = {"text_sha256": F.sha2(_exact.normalised("text"), 256)}
     return _exact.exact_dedup(_documents(spark, sf_dir), extra=digest)
@@ -68,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_mix_sources": op7_mix_sources,
+    "op8_piece_sampling": op8_piece_sampling,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
 }

@@ -107,6 +107,7 @@ def _windows(spec: Repeats) -> Callable:
                     found = regions[slab.first + i].values
                     at, runs = (found.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("start", "runs"))
                     places = np.repeat(at - np.cumsum(runs) + runs, runs) + np.arange(runs.sum())
+                    places = places[begin + places + spec.length <= begins[i + 1]]  # rows may wrongly share an id
                     out[0].append(hashes[begin + places])
                     out[1].append(np.full(len(places), ids[slab.first + i]))
                     out[2].append(places.astype(np.int32))
@@ -123,7 +124,7 @@ def numbered_texts(docs: DataFrame, id_column: str, text_column: str) -> DataFra
 
 def texts_with(texts: DataFrame, lists: DataFrame) -> DataFrame:
     """``texts`` of the ids in ``lists``, with its columns; other texts take no part in the shuffle."""
-    maybe = with_membership(texts, ["id"], key_bitmap(lists, ["id"]), "_maybe").where("_maybe").drop("_maybe")
+    maybe = with_membership(texts, ["id"], key_bitmap(lists, ["id"]), "__lg_maybe").where("__lg_maybe").drop("__lg_maybe")
     return maybe.join(lists, "id")
 
 
@@ -153,7 +154,7 @@ def repeated_spans(texts: DataFrame, spec: Repeats, extend: Callable[[DataFrame,
     repeated = materialise(key_bitmap(counts, ["gram"], spec.bits), "grams")
     release(texts.sparkSession)
     regions = texts.mapInArrow(_regions(spec), "gram long, whole long, id long, start int, runs int")
-    regions = with_membership(regions, ["gram"], repeated, "_maybe", spec.bits).where("_maybe").drop("_maybe")
+    regions = with_membership(regions, ["gram"], repeated, "__lg_maybe", spec.bits).where("__lg_maybe").drop("__lg_maybe")
     regions = materialise(regions, "regions")
     kinds = regions.groupBy("gram", "whole").agg(
         F.min(F.struct("id", "start", "runs")).alias("first"), F.count("*").alias("n")
@@ -188,10 +189,10 @@ def with_spans(texts: DataFrame, spans: DataFrame, render: Callable, schema: str
     """
     lists = materialise(spans.groupBy("id").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "lists")
     release(texts.sparkSession)
-    marked = with_membership(texts, ["id"], key_bitmap(lists, ["id"]), "_maybe")
+    marked = with_membership(texts, ["id"], key_bitmap(lists, ["id"]), "__lg_maybe")
     kind = "array<struct<start:int,stop:int>>"
-    held = marked.where("_maybe").select("id", "text").join(lists, "id", "left").select("id", "text", F.col("spans").cast(kind).alias("spans"))
-    free = marked.where("not _maybe").select("id", "text", F.lit(None).cast(kind).alias("spans"))
+    held = marked.where("__lg_maybe").select("id", "text").join(lists, "id", "left").select("id", "text", F.col("spans").cast(kind).alias("spans"))
+    free = marked.where("not __lg_maybe").select("id", "text", F.lit(None).cast(kind).alias("spans"))
     return held.mapInArrow(render, schema).unionByName(free.mapInArrow(render, schema))
 
 

@@ -37,6 +37,8 @@ def _contexts(length: int):
             for doc, text, regions in zip(batch.column("id").to_pylist(), batch.column("text"), batch.column("regions"), strict=True):
                 data = (text.as_py() or "").encode()
                 for gram, start, runs in zip(*(regions.values.field(k).to_pylist() for k in ("gram", "start", "runs")), strict=True):
+                    if start + runs - 1 + length > len(data):  # rows may wrongly share an id
+                        continue
                     rows[0].append(gram)
                     rows[1].append(doc)
                     rows[2].append(start)

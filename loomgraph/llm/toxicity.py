@@ -142,7 +142,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc
     known = known.groupBy(F.col(id_column).alias("_id")).agg(F.max(label_column).cast("int").alias("_label"))
     picked = known.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
     texts = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text"))
-    near = with_membership(texts, ["_id"], key_bitmap(picked, ["_id"]), "_maybe").where("_maybe")
+    near = with_membership(texts, ["_id"], key_bitmap(picked, ["_id"]), "__lg_maybe").where("__lg_maybe")
     rows = near.join(picked, "_id").select("_id", "_text", "_label").toArrow().sort_by("_id")
     return rows.column("_text").to_pylist(), rows.column("_label").to_pylist()
 
