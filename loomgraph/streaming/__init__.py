@@ -1 +1 @@
-"""loomgraph.streaming"""
+"""The event queue as batch rules and as Structured Streaming."""
