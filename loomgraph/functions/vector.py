@@ -32,7 +32,8 @@ def unit(a: Column) -> Column:
 
 
 def clamp(x: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    """Into 0..1; null stays null."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
 
 
 def hashed_vectors(texts: list[str], dimensions: int = EMBEDDING_DIMENSIONS) -> np.ndarray:

@@ -20,7 +20,7 @@ def semantic_search(vectors: DataFrame, query: list[float], documents: DataFrame
     for column, value in (("user_id", user), ("category", category)):
         if value is not None:
             rows = rows.where(F.col(column) == F.lit(value))
-    score = clamp(cosine(F.col("embedding"), F.array(*[F.lit(float(x)) for x in query])))
+    score = clamp(F.coalesce(cosine(F.col("embedding"), F.array(*[F.lit(float(x)) for x in query])), F.lit(0.0)))
     hits = rows.select("chunk_id", "document_id", "category", score.alias("score")).orderBy(F.desc("score"), "chunk_id").limit(k)
     titled = hits.join(documents.select(F.col("id").alias("document_id"), "title"), "document_id", "left")
     return titled.select("chunk_id", "document_id", F.coalesce("title", F.lit("Unknown")).alias("document_title"), "score", "category")
