@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomgraph.llm.lexing import Slab, hash_spans, mix, slabs, spans_hash, _BYTES, _Powers
 
@@ -389,7 +390,7 @@ def encode_samples(docs: DataFrame, model_path: str, id_column: str = "doc_id",
 
 def decode_pieces(encoded: DataFrame, model_path: str, pieces_column: str = "pieces", out: str = "text") -> DataFrame:
     """Add the decoded text of ``pieces_column``; null pieces decode to null."""
-    fields = encoded.schema.add(out, "string") if out not in encoded.columns else encoded.schema
+    fields = T.StructType([*(f for f in encoded.schema if f.name != out), T.StructField(out, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(model_path)
@@ -401,5 +402,4 @@ def decode_pieces(encoded: DataFrame, model_path: str, pieces_column: str = "pie
             names = [name for name in batch.schema.names if name != out]
             yield pa.record_batch([*columns, pa.array(texts, pa.string())], names=[*names, out])
 
-    order = [c for c in encoded.columns if c != out] + [out]
-    return encoded.mapInArrow(run, fields).select(*order)
+    return encoded.mapInArrow(run, fields)
