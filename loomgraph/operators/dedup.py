@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,21 +33,29 @@ def shingle_hash(s: Column) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(s), 1, 8), 16, 10).cast("long"), F.lit(PRIME))
 
 
+def _least_slots(permutations: int) -> Callable:
+    pairs = np.array([permutation(i) for i in range(permutations)], dtype=np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [((h.values.to_numpy()[:, None] * pairs[:, 0] + pairs[:, 1]) % PRIME).min(axis=0) for h in batch.column(1)]
+            flat = pa.array(np.concatenate(rows)) if rows else pa.array([], pa.int64())
+            starts = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * permutations)
+            yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(starts, flat)], names=[batch.schema.names[0], "signature"])
+
+    return run
+
+
 def signatures(docs: DataFrame, id_column: str, text: str, k: int = SHINGLE_WORDS, permutations: int = NUM_PERMUTATIONS) -> DataFrame:
     """``(id, signature)`` of documents with at least ``k`` words: the least of each permuted hash.
 
-    A row's hashes are computed once and folded into the signature in place, so no
-    row is multiplied by its shingles and nothing is shuffled.
+    Shingles are hashed in the JVM; the permutations of a document's hashes are one
+    matrix in numpy, which array functions would interpret slot by slot. No row is
+    multiplied by its shingles and nothing is shuffled.
     """
-    hashes = docs.select(F.col(id_column), F.transform(shingles(tokens(F.col(text)), k), shingle_hash).alias("h"))
-    hashes = materialise(hashes.where(F.size("h") > 0), "hashes")  # else each of the slots would hash the text again
-
-    def slot(i: int) -> Column:
-        a, b = permutation(i)
-        return F.array_min(F.transform("h", lambda h: F.pmod(h * a + b, F.lit(PRIME))))
-
-    slots = [slot(i) for i in range(permutations)]
-    return hashes.select(id_column, F.array(*slots).alias("signature"))
+    hashes = docs.select(F.col(id_column), F.transform(shingles(tokens(F.col(text)), k), shingle_hash).alias("h")).where(F.size("h") > 0)
+    kind = docs.schema[id_column].dataType.simpleString()
+    return hashes.mapInArrow(_least_slots(permutations), f"`{id_column}` {kind}, signature array<bigint>")
 
 
 def band_rows(signed: DataFrame, id_column: str, bands: int = NUM_BANDS) -> DataFrame:
