@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.idfilter import key_bitmap, with_membership
-from loomgraph.llm.lexing import hash_spans, owners, slabs
+from loomgraph.llm.lexing import hash_spans, mix, owners, slabs
 
 GRADES = 3
 
@@ -77,35 +77,61 @@ def _grade(dose: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     return np.where(toxic, 1 + (dose > cuts[0]).astype(int) + (dose > cuts[1]).astype(int), 0)
 
 
+#: Features are worth a weight when their log odds of presence in toxic rows are over this.
+LEAST_ODDS = 1.2
+_BUCKET_BITS = 22
+
+
+def _bucket(words: np.ndarray) -> np.ndarray:
+    return (mix(words) >> np.uint64(64 - _BUCKET_BITS)).astype(np.int64)
+
+
+def _log_odds(in_toxic: np.ndarray, in_clean: np.ndarray, toxic: int, clean: int) -> np.ndarray:
+    return np.log((in_toxic + 0.5) / (toxic + 1)) - np.log((in_clean + 0.5) / (clean + 1))
+
+
 def fit_severity(texts: list[str | None], toxic: list[int], *, min_rows: int = 4, l1: float = 0.0004, steps: int = 400) -> SeverityModel:
     """Fit on labelled texts; a sample without both classes gives a model that calls nothing toxic."""
-    rows, words = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.uint64)]
-    for first, _, slab_rows, slab_words in _features(pa.array(texts, pa.string())):
-        slab_rows, slab_words = _once(slab_rows, slab_words)
-        rows.append(first + slab_rows)
-        words.append(slab_words)
-    rows, words = np.concatenate(rows), np.concatenate(words)
+    column, n = pa.array(texts, pa.string()), len(texts)
+    y = np.asarray(toxic, dtype=int).astype(bool)
     # Rows with the same words count once: copies would pass for evidence.
-    sums = np.zeros(len(texts), dtype=np.uint64)
-    np.add.at(sums, rows, words)
+    sums = np.zeros(n, dtype=np.uint64)
+    for first, size, slab_rows, slab_words in _features(column):
+        order = np.argsort(slab_rows, kind="stable")
+        begins = np.searchsorted(slab_rows[order], np.arange(size + 1))
+        total = np.concatenate([[np.uint64(0)], np.cumsum(mix(slab_words[order]))])
+        sums[first : first + size] = total[begins[1:]] - total[begins[:-1]]
     _, single = np.unique(sums, return_index=True)
-    chosen = np.zeros(len(texts), dtype=bool)
+    chosen = np.zeros(n, dtype=bool)
     chosen[single] = True
-    y = np.asarray(toxic, dtype=int).astype(bool)
     if not (y & chosen).any() or not (~y & chosen).any():
         return SeverityModel(np.empty(0, dtype=np.uint64), np.empty(0), np.full(GRADES, 40.0))
-    held = chosen[rows]
-    rows, words = np.cumsum(chosen)[rows[held]] - 1, words[held]
+    # Presence is counted in hash buckets first, so that only promising features are ever held.
+    buckets = np.zeros((2, 1 << _BUCKET_BITS), dtype=np.int32)
+    for first, _, slab_rows, slab_words in _features(column):
+        slab_rows, slab_words = _once(slab_rows, slab_words)
+        for k in (False, True):
+            use = chosen[first + slab_rows] & (y[first + slab_rows] == k)
+            buckets[int(k)] += np.bincount(_bucket(slab_words[use]), minlength=1 << _BUCKET_BITS).astype(np.int32)
+    clean, bad = (~y & chosen).sum(), (y & chosen).sum()
+    near = (buckets.sum(axis=0) >= min_rows) & (_log_odds(buckets[1], buckets[0], bad, clean) > LEAST_ODDS)
+    rows, words = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.uint64)]
+    for first, _, slab_rows, slab_words in _features(column):
+        use = near[_bucket(slab_words)] & chosen[first + slab_rows]
+        slab_rows, slab_words = _once(slab_rows[use], slab_words[use])
+        rows.append(first + slab_rows)
+        words.append(slab_words)
+    rows, words = np.cumsum(chosen)[np.concatenate(rows)] - 1, np.concatenate(words)
     y = y[chosen]
     names, cols = np.unique(words, return_inverse=True)
     df = np.bincount(cols)
     in_toxic = np.bincount(cols, weights=y[rows])
-    odds = np.log((in_toxic + 0.5) / (y.sum() + 1)) - np.log((df - in_toxic + 0.5) / ((~y).sum() + 1))
-    use = (df >= min_rows) & (odds > 1.2)
+    odds = _log_odds(in_toxic, df - in_toxic, y.sum(), (~y).sum())
+    use = (df >= min_rows) & (odds > LEAST_ODDS)
     dose = np.bincount(rows, weights=((df >= min_rows) & (odds > 2.0))[cols], minlength=len(y))
     grade = _grade(dose, y)
     keep = use[cols]
-    rows, cols = rows[keep], (np.cumsum(use) - 1)[cols[keep]]
+    rows, cols = rows[keep], (np.cumsum(use) - 1)[cols[keep]] if len(use) else cols
     names = names[use]
     n, m = len(y), len(names)
     target = (grade[:, None] > np.arange(GRADES)[None, :]).astype(float)
@@ -136,7 +162,7 @@ def fit_severity(texts: list[str | None], toxic: list[int], *, min_rows: int = 4
     return SeverityModel(names[on], w[on], t, cut)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", max_rows: int = 8000) -> tuple[list, list]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", max_rows: int = 6000) -> tuple[list, list]:
     """Texts and labels of at most ``max_rows`` labelled rows, chosen by a hash of the id."""
     known = labels.where(F.col(label_column).isNotNull() & F.col(id_column).isNotNull())
     known = known.groupBy(F.col(id_column).alias("_id")).agg(F.max(label_column).cast("int").alias("_label"))
@@ -186,7 +212,7 @@ def score_severity(docs: DataFrame, model: SeverityModel, id_column: str = "doc_
     return scored.withColumn("toxic", F.col("p_toxic") >= model.cut).withColumn("kept", ~F.col("toxic")).withColumnRenamed("id", id_column)
 
 
-def severity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", *, label_column: str = "toxic", max_rows: int = 8000) -> DataFrame:
+def severity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", *, label_column: str = "toxic", max_rows: int = 6000) -> DataFrame:
     """Fit on the labelled part of ``docs`` (at most ``max_rows`` rows) and score all of it."""
     texts, toxic = labelled_sample(docs, labels, id_column=id_column, text_column=text_column, label_column=label_column, max_rows=max_rows)
     return score_severity(docs, fit_severity(texts, toxic), id_column, text_column)
