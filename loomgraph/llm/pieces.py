@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 from loomgraph.llm.lexing import Slab, hash_spans, mix, slabs, spans_hash, _BYTES, _Powers
 
 SPACE = 32
-SLAB = 1 << 21
+SLAB = 1 << 19
 _BLANK_PIECE = "▁"
 FIRST_BYTE = 3  # the id of the piece for byte 0
 _LENGTH = np.array([1] * 192 + [2] * 32 + [3] * 16 + [4] * 16)  # bytes of a character by its first
@@ -367,6 +367,7 @@ def _encode(model_path: str, k: int, seed: int) -> Callable:
                         names=["id", "sample", "pieces", "log_prob", "perturbed", "log_inclusion", "exact"],
                     )
                     yield table.filter(keep)
+                del sampler, paths, path, table  # before the next slab's arrays are made
 
     return run
 
