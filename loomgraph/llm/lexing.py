@@ -1,7 +1,7 @@
 """Vectorised hashing of words, byte strings and runs of them over whole Arrow text columns.
 
 Texts are read as UTF-8 bytes straight from the Arrow buffer and handled in slabs
-of about a megabyte (one text at least), so memory does not grow with a batch. A
+of about half a megabyte (one text at least), so memory does not grow with a batch. A
 hash is a polynomial over random 64-bit values of bytes, modulo 2**64, taken from
 prefix sums and finished by a bit mixer; equal strings hash alike in any slab.
 """
@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLAB = 1 << 20
+SLAB = 1 << 19
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
 _BYTES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)

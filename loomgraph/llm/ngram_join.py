@@ -70,7 +70,7 @@ def _profile(n: int) -> Callable:
         for batch in batches:
             sizes, keys = [], []
             for _, hashes, begins in ngram_sets(batch.column("text"), n):
-                counts += np.bincount(_bucket(hashes), minlength=len(counts))
+                np.add.at(counts, _bucket(hashes), 1)
                 sums = np.zeros((2, len(hashes) + 1), dtype=np.uint64)
                 np.cumsum(hashes, out=sums[0, 1:])
                 np.cumsum(hashes * hashes * np.uint64(0x9E3779B97F4A7C15), out=sums[1, 1:])
