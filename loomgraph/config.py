@@ -10,7 +10,7 @@ PREREQ_THRESHOLD, MIN_COOCCURRENCE = 0.05, 2
 MERGE_SIMILARITY, MERGE_TOP_K = 0.90, 5
 REPLAY_CAPACITY, REPLAY_SAMPLE, SELF_TRAIN_CONFIDENCE = 2000, 64, 0.6
 CLAIM_BATCH, STUCK_MINUTES, MAX_ERROR_CHARS = 100, 10, 2000
-PREVIEW_CHARS, REPLAY_CHARS, CLASSIFY_CHARS, KEYPHRASE_CHARS = 240, 1000, 20_000, 50_000
+PREVIEW_CHARS, REPLAY_CHARS = 240, 1000
 MAX_TREE_DISTANCE, DISCONNECTED, MAX_SENTENCE_TOKENS = 4, 999, 200
 EMBEDDING_DIMENSIONS = 384
 

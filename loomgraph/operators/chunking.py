@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomgraph.config import CHUNK_MAX_CHARS, CHUNK_MIN_CHARS, CHUNK_PERCENTILE, KEYPHRASE_CHARS
+from loomgraph.config import CHUNK_MAX_CHARS, CHUNK_MIN_CHARS, CHUNK_PERCENTILE
 from loomgraph.functions.text import clean_text, hard_split, pack, sentences, strip
 from loomgraph.functions.vector import Embedder, dot, embed, hashed_vectors
 
@@ -66,8 +66,8 @@ _STOP = frozenset(
 
 
 def text_rank(text: str, top: int = 10, window: int = 4, rounds: int = 30) -> list[tuple[str, float, int]]:
-    """Phrases between stop words, ranked by PageRank of their words in a co-occurrence window."""
-    words = [w.strip(".,;:!?\"'()[]").lower() for w in text[:KEYPHRASE_CHARS].split()]
+    """Phrases between stop words of the whole text, ranked by PageRank of their words in a co-occurrence window."""
+    words = [w.strip(".,;:!?\"'()[]").lower() for w in text.split()]
     names = sorted({w for w in words if len(w) > 2 and w not in _STOP})
     if not names:
         return []

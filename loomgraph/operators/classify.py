@@ -9,7 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.config import CLASSIFY_CHARS, SELF_TRAIN_CONFIDENCE
+from loomgraph.config import SELF_TRAIN_CONFIDENCE
 from loomgraph.operators.relational import class_weights
 
 #: One line for each category; the cold start until there are labels.
@@ -53,11 +53,11 @@ def train(samples: DataFrame, replay: DataFrame | None = None, rounds: int = 20,
 
 
 def classify(docs: DataFrame, model: PipelineModel | None, text: str = "text") -> DataFrame:
-    """Add ``category`` and ``category_conf``; without a model all is ``Uncategorized`` with 0."""
+    """Add ``category`` and ``category_conf`` of whole texts; without a model all is ``Uncategorized`` with 0."""
     if model is None:
         return docs.withColumn("category", F.lit("Uncategorized")).withColumn("category_conf", F.lit(0.0))
     labels = F.array(*[F.lit(x) for x in model.stages[0].labels])
-    rows = docs.withColumn("text", F.substring(F.coalesce(F.col(text), F.lit("")), 1, CLASSIFY_CHARS)).withColumn("label", F.lit(model.stages[0].labels[0]))
+    rows = docs.withColumn("text", F.coalesce(F.col(text), F.lit(""))).withColumn("label", F.lit(model.stages[0].labels[0]))
     scored = model.transform(rows).withColumn("__p", F.slice(vector_to_array("probability"), 1, len(model.stages[0].labels)))
     best = F.array_max("__p")
     return scored.select(*docs.columns, F.element_at(labels, F.array_position("__p", best).cast("int")).alias("category"), best.alias("category_conf"))

@@ -108,6 +108,11 @@ def test_keyphrases():
     assert top[0][0] == "graph engine" and top[0][2] == 3 and chunking.text_rank("") == []
 
 
+def test_keyphrases_of_a_long_text():
+    top = chunking.text_rank("of " * 20_000 + "graph engine")
+    assert [(p, n) for p, _, n in top] == [("graph engine", 1)]
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(80)] + [(200, 201), (201, 200), (300, 300)]
     got = dict(pairs(connected_components(spark.createDataFrame(chain, "src int, dst int")), "node", "component"))
@@ -260,6 +265,13 @@ def test_classifier(spark):
     assert pairs(fixed, "id", "category") == [(1, "Uncategorized"), (2, "Law")]
 
 
+def test_classifier_reads_whole_texts(spark):
+    docs = spark.createDataFrame([(1, "the " * 10_000 + "join tables in a database transaction with an index query"), (2, "the")], "id int, text string")
+    model = classify.train(spark.createDataFrame(list(classify.SEED), "text string, label string"), rounds=10, dimensions=1 << 12)
+    got = {r.id: r for r in classify.classify(docs, model).collect()}
+    assert got[1].category == "Databases" and got[1].category_conf > got[2].category_conf
+
+
 def events(spark):
     rows = [(1, "document.chunked", "PENDING", 0, None), (2, "document.uploaded", "PROCESSING", 4, "2024-01-01 00:00:00"), (3, "other", "PROCESSING", 1, "2024-01-01 00:02:00"), (4, "document.indexed", "COMPLETED", 0, None)]
     df = spark.createDataFrame(rows, "id int, event_type string, status string, retry_count int, locked_at string")
