@@ -228,16 +228,47 @@ def neighbours(edges: DataFrame, centre, depth: int = 1, limit: int = 50) -> Dat
     return seen.where("hops > 0").orderBy("hops", "key").limit(limit)
 
 
-def cycles(edges: DataFrame, max_length: int = 10) -> DataFrame:
+def on_cycles(edges: DataFrame) -> DataFrame:
+    """The edges that lie on a cycle: those with both ends in one strongly connected component.
+
+    The greatest key that reaches a node is the same for a whole component, and so is
+    the greatest that it reaches; edges between different ones go, in turns of either
+    direction, until a turn of each drops none.
+    """
+    left = materialise(edges, "on_cycles")
+    n, steady, back = left.count(), 0, False
+    while n and steady < 2:
+        src, dst = ("dst", "src") if back else ("src", "dst")
+        links = left.select(F.col(src).alias("from"), F.col(dst).alias("to")).distinct()
+        best = links.select(F.col("from").alias("key")).union(links.select("to")).distinct().withColumn("best", F.col("key"))
+        best = materialise(best, "best")
+        while True:
+            sent = links.join(best.withColumnRenamed("key", "from"), "from").groupBy(F.col("to").alias("key")).agg(F.max("best").alias("got"))
+            new = best.join(sent, "key", "left").select("key", F.greatest("best", "got").alias("best"), (F.col("got") > F.col("best")).alias("moved"))
+            new = materialise(new, "best")
+            best = new.select("key", "best")
+            if new.where("moved").isEmpty():
+                break
+        x, y = best.select(F.col("key").alias("src"), F.col("best").alias("x")), best.select(F.col("key").alias("dst"), F.col("best").alias("y"))
+        left = materialise(left.join(x, "src").join(y, "dst").where("x = y").select(*edges.columns), "on_cycles")
+        before, n = n, left.count()
+        steady = steady + 1 if n == before else 0
+        back = not back
+    return left
+
+
+def cycles(edges: DataFrame, max_length: int | None = None) -> DataFrame:
     """``(cycle, refd, weakest_src, weakest_dst)``: simple cycles, each once, from its least node.
 
     Paths only go to nodes greater than their first, so every rotation but one is cut
-    off at once. The weakest edge is that of least ``refd``.
+    off at once, and only along edges that lie on a cycle. They go on until none is
+    open, or for ``max_length`` edges if given. The weakest edge is that of least ``refd``.
     """
-    steps = materialise(edges.select("src", "dst", "refd"), "steps")
+    steps = on_cycles(edges.select("src", "dst", "refd"))
     walk = steps.where("src <= dst").select(F.col("src").alias("first"), F.col("dst").alias("last"), F.array("src", "dst").alias("cycle"), F.struct("refd", "src", "dst").alias("weakest"))
-    found = None
-    for _ in range(max_length):
+    found, length = None, 0
+    while max_length is None or length < max_length:
+        length += 1
         closed = walk.where("first = last").select("cycle", F.col("weakest.refd").alias("refd"), F.col("weakest.src").alias("weakest_src"), F.col("weakest.dst").alias("weakest_dst"))
         found = closed if found is None else found.union(closed)
         going = walk.where("first <> last").join(steps.withColumnRenamed("src", "last"), "last")

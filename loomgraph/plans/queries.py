@@ -206,8 +206,8 @@ def _nation_edges(spark, d):
 
 @query
 def graph_cycles(spark, d):
-    found = graph.cycles(_nation_edges(spark, d), max_length=4)
-    return found.where("size(cycle) <= 5").select(F.array_join(F.transform("cycle", lambda x: x.cast("string")), ">").alias("cycle"), "refd")
+    found = graph.cycles(_nation_edges(spark, d))
+    return found.select(F.array_join(F.transform("cycle", lambda x: x.cast("string")), ">").alias("cycle"), "refd")
 
 
 @query

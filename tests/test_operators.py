@@ -11,6 +11,7 @@ from loomgraph.functions import text as T
 from loomgraph.functions import vector as V
 from loomgraph.operators import chunking, classify, dedup, graph, relational, search, triples
 from loomgraph.operators.components import connected_components
+from loomgraph.plans import queries
 from loomgraph.sources import files, sinks
 from loomgraph.streaming import outbox
 
@@ -157,6 +158,35 @@ def test_cycles(spark):
     assert pairs(graph.break_cycles(edges, found), "src", "dst") == [(1, 2), (3, 1), (3, 4), (4, 5)]
 
 
+def simple_cycles(edges):
+    """By brute force: every simple cycle from its least node."""
+    found, open_paths = [], [(s, d) for s, d in edges if s <= d]
+    while open_paths:
+        path = open_paths.pop()
+        if path[-1] == path[0]:
+            found.append(list(path))
+        else:
+            open_paths.extend((*path, d) for s, d in edges if s == path[-1] and d >= path[0] and d not in path[1:])
+    return sorted(found)
+
+
+def test_cycles_of_any_length(spark):
+    ring = [(i, i % 14 + 1) for i in range(1, 15)]
+    edges = [*ring, (14, 7), (3, 9), (20, 20), (30, 31), (31, 30), (14, 30), *[(i, j) for i in range(40, 60) for j in range(i + 1, 60)]]
+    df = spark.createDataFrame([(s, d, float(s)) for s, d in edges], "src int, dst int, refd double")
+    found = graph.cycles(df)
+    want = simple_cycles([e for e in edges if e[0] < 40])
+    assert sorted(r.cycle for r in found.collect()) == want and max(map(len, want)) == 15
+    assert simple_cycles(pairs(graph.break_cycles(df, found).where("src < 40"), "src", "dst")) == []
+
+
+def test_registered_cycles(spark, tmp_path):
+    spark.range(25).select(F.col("id").cast("int").alias("n_nationkey")).write.parquet(f"{tmp_path}/nation.parquet")
+    edges = {(n, (n * a + b) % 25) for n in range(25) for a, b in ((7, 3), (3, 11))}
+    want = [">".join(map(str, c)) for c in simple_cycles([e for e in edges if e[0] != e[1]])]
+    assert sorted(r.cycle for r in queries.QUERIES["graph_cycles"](spark, str(tmp_path)).collect()) == sorted(want)
+
+
 def test_learning_path(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "d"), ("a", "c"), ("c", "d"), ("x", "y")], "src string, dst string")
     rows = [tuple(r) for r in graph.learning_path(edges, "d").collect()]
