@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.storage import discard, materialise
+from loomgraph.storage import Scratch, discard, materialise
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -32,18 +32,20 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
 
     Self loops and repeated edges are harmless, rows with a null end are ignored,
     and vertices without an edge to another vertex are absent. An empty input
-    gives an empty result.
+    gives an empty result. What is written on the way is deleted again.
     """
-    now = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v").distinct()
-    now = materialise(now, "edges")
-    seen = None
-    for _ in range(max_rounds):
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen or not state[0]:
-            break
-        seen, before = state, now
-        now = materialise(_small_star(materialise(_large_star(now), "edges")), "edges")
-        discard(before)
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    with Scratch(edges.sparkSession) as scratch:
+        now = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v").distinct()
+        now = materialise(now, "edges")
+        seen = None
+        for _ in range(max_rounds):
+            state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+            if state == seen or not state[0]:
+                break
+            seen, before = state, now
+            now = materialise(_small_star(materialise(_large_star(now), "edges")), "edges")
+            discard(before)
+        else:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        scratch.keep(now)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v"), F.col("v")).distinct())

@@ -1,8 +1,9 @@
 """Tables written between jobs, in the folder that all executors share.
 
 A written table cuts lineage and survives the loss of any executor. The folder
-is the session's ``spark.checkpoint.dir``; only where that is unset (tests, a
-laptop) a folder under the local temp directory takes its place.
+is the session's ``spark.checkpoint.dir``. Where that is unset, a session whose
+executors live in this process (tests, a laptop) writes under the local temp
+directory; on a cluster that would be a folder of each machine's own, and is an error.
 """
 
 from __future__ import annotations
@@ -19,26 +20,70 @@ def shared_dir(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if master != "local" and not master.startswith("local["):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
     return f"file://{tempfile.gettempdir()}/checkpoints"
 
 
+class Scratch:
+    """Tables written inside the ``with`` block are deleted at its end, but for those that were kept.
+
+    Blocks may lie in one another; what an inner one keeps belongs to the outer one.
+    """
+
+    _open: list[Scratch] = []
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.made: dict[str, None] = {}
+        self.kept: list[str] = []
+
+    def __enter__(self) -> Scratch:
+        Scratch._open.append(self)
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """``df``, whose written tables outlive the block."""
+        folders = _folders(df)
+        self.kept += [p for p in self.made if any(f.endswith(p.rpartition("/")[2]) for f in folders)]
+        return df
+
+    def __exit__(self, *_) -> None:
+        Scratch._open.remove(self)
+        for path in self.made:
+            if path not in self.kept:
+                _delete(self.spark, path)
+            elif Scratch._open:
+                Scratch._open[-1].made[path] = None
+        release(self.spark)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return the table read back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomgraph/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if Scratch._open:
+        Scratch._open[-1].made[path] = None
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a table that ``materialise`` returned; later reads of it fail."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "/loomgraph/" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+def _folders(df: DataFrame) -> set[str]:
+    return {f.rpartition("/")[0] for f in df.inputFiles()}
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``materialise`` returned; later reads of them fail."""
+    for df in tables:
+        for folder in _folders(df):
+            if "/loomgraph/" in folder:
+                _delete(df.sparkSession, folder)
 
 
 def release(spark: SparkSession) -> None:
