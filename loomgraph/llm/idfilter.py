@@ -1,4 +1,4 @@
-"""A bounded bitmap of hashed keys, as a broadcast prefilter for key joins.
+"""Row keys, and a bounded bitmap of hashed keys as a broadcast prefilter for key joins.
 
 Joining whole texts to a list of ids shuffles every text. The bitmap has a fixed
 size whatever the number of keys, is broadcast, and lets rows whose key can't be
@@ -8,11 +8,19 @@ join. A saturated bitmap costs time, never results.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PAGE = 32768  # bits in one bitmap of Spark's bitmap aggregates
 DEFAULT_BITS = 1 << 23
+MOST_BITS = 1 << 26
+NAMELESS = 1 << 62  # rows without an id get numbers from here on: after all others
+
+
+def node(id_column: str, text_column: str) -> Column:
+    """A row's id as a long; without one, a number after all ids that is a hash of the text."""
+    nameless = F.lit(NAMELESS) + F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))), 2)
+    return F.coalesce(F.col(id_column).cast("long"), nameless)
 
 
 def key_bitmap(keys: DataFrame, columns: list[str], bits: int = DEFAULT_BITS) -> DataFrame:
@@ -36,8 +44,15 @@ def with_membership(df: DataFrame, columns: list[str], bitmap: DataFrame, flag:
     return spread.join(F.broadcast(bitmap), "__lg_page", "left").withColumn(flag, F.coalesce(hit, F.lit(False))).drop("__lg_page", "__lg_slot", "__lg_words")
 
 
-def without_ids(df: DataFrame, id_column: str, dropped: DataFrame, bits: int = DEFAULT_BITS) -> DataFrame:
-    """``df`` less the rows whose ``id_column`` is in ``dropped(id_column)``; rows with a null id stay."""
+def bits_for(keys: int, most: int = MOST_BITS) -> int:
+    """Bits that leave about one false hit in sixteen: a power of two, at most 8 MB of them."""
+    return min(most, max(1 << 18, 1 << (16 * max(1, keys) - 1).bit_length()))
+
+
+def without_ids(df: DataFrame, id_column: str, dropped: DataFrame) -> DataFrame:
+    """``df`` less the rows whose ``id_column`` is in ``dropped(id_column)``, a written table; rows with a null id stay."""
+    bits = bits_for(dropped.count())
     marked = with_membership(df, [id_column], key_bitmap(dropped, [id_column], bits), "__lg_maybe", bits)
-    rest = marked.where("__lg_maybe").join(dropped.select(id_column).distinct(), id_column, "left_anti")
+    # The same join at every size: a broadcast of small lists would only move the cost to large ones.
+    rest = marked.where("__lg_maybe").join(dropped.select(id_column).distinct().hint("merge"), id_column, "left_anti")
     return marked.where("not __lg_maybe").select(*df.columns).unionByName(rest.select(*df.columns))

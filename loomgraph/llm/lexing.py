@@ -2,7 +2,8 @@
 
 Texts are read as UTF-8 bytes straight from the Arrow buffer and handled in slabs
 of about half a megabyte (one text at least), so memory does not grow with a batch. A
-hash is a polynomial over random 64-bit values of bytes, modulo 2**64, taken from
+word's hash is a sum over its bytes, each mixed with its place in the word; that of
+a short run is a polynomial over 64-bit values, modulo 2**64. Both are taken from
 prefix sums and finished by a bit mixer; equal strings hash alike in any slab.
 """
 
@@ -54,18 +55,21 @@ class _Powers:
 
 
 def rolling(values: np.ndarray, width: int) -> np.ndarray:
-    """Hashes of all runs of ``width`` neighbours of a uint64 array."""
-    n = len(values) - width + 1
-    if n <= 0:
-        return np.empty(0, dtype=np.uint64)
-    up, down = _Powers.to(len(values) + 1)
-    sums = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum(values * up[: len(values)], out=sums[1:])
-    return mix((sums[width:] - sums[:n]) * down[:n])
+    """Hashes of all runs of ``width`` neighbours of a uint64 array, a slab's worth at a time."""
+    n = max(0, len(values) - width + 1)
+    out = np.empty(n, dtype=np.uint64)
+    for lo in range(0, n, SLAB):
+        hi = min(n, lo + SLAB)
+        part = values[lo : hi + width - 1]
+        up, down = _Powers.to(len(part) + 1)
+        sums = np.zeros(len(part) + 1, dtype=np.uint64)
+        np.cumsum(part * up[: len(part)], out=sums[1:])
+        out[lo:hi] = mix((sums[width:] - sums[: hi - lo]) * down[: hi - lo])
+    return out
 
 
 def spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of ``values[start:end]`` for many spans, lengths included."""
+    """Hashes of ``values[start:end]`` for many short spans, lengths included."""
     up, down = _Powers.to(len(values) + 1)
     sums = np.zeros(len(values) + 1, dtype=np.uint64)
     np.cumsum(values * up[: len(values)], out=sums[1:])
@@ -84,6 +88,11 @@ def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
     return (low - (least & low)).astype(np.int64)
 
 
+def byte_values(data: np.ndarray) -> np.ndarray:
+    """A random 64-bit value for each byte."""
+    return _BYTES[data]
+
+
 @dataclass
 class Slab:
     """Neighbouring texts: their bytes and where each begins; ``first`` is the first one's row."""
@@ -92,9 +101,6 @@ class Slab:
     data: np.ndarray
     offsets: np.ndarray
 
-    def byte_values(self) -> np.ndarray:
-        return _BYTES[self.data]
-
     def words(self, lower: bool, plain: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """The hash of every word, and for each text where its words begin (one more entry than texts).
 
@@ -121,16 +127,56 @@ class Slab:
         return starts, ends
 
 
-def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of ordered byte spans, a slab's worth of bytes at a time."""
+def place_sums(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Running sums of a hash of each byte and its distance from the last of ``starts``.
+
+    The difference of two of them is a hash of the string between, the same wherever
+    it stands; each byte is mixed with its place, so that no structure of a string
+    makes parts of the sum cancel out.
+    """
+    since = np.zeros(len(data), dtype=np.int64)
+    since[starts] = starts
+    np.maximum.accumulate(since, out=since)
+    place = (np.arange(len(data)) - since).astype(np.uint64)
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(mix(_BYTES[data] + place * _P), out=sums[1:])
+    return sums
+
+
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lengths: tuple[int, ...] = ()) -> np.ndarray | list[np.ndarray]:
+    """Hashes of ordered byte spans, a slab's worth of bytes at a time.
+
+    With ``lengths``, a list: of the spans, and for each length of the beginnings of
+    those that are longer.
+    """
     hashes = np.empty(len(starts), dtype=np.uint64)
+    short: list[list[np.ndarray]] = [[] for _ in lengths]
     lo = 0
     while lo < len(starts):
         hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + SLAB)))
         base, stop = starts[lo], ends[hi - 1]
-        hashes[lo:hi] = spans_hash(_BYTES[data[base:stop]], starts[lo:hi] - base, ends[lo:hi] - base)
+        a, b = starts[lo:hi] - base, ends[lo:hi] - base
+        if hi == lo + 1 and stop - base > SLAB:
+            hashes[lo] = _long_hash(data[base:stop])
+            for k, out in zip(lengths, short, strict=True):
+                out.append(hash_spans(data[base : base + k], np.array([0]), np.array([k])) + np.uint64(k))
+        else:
+            sums = place_sums(data[base:stop], a)
+            hashes[lo:hi] = mix(sums[b] - sums[a] + (b - a).astype(np.uint64))
+            for k, out in zip(lengths, short, strict=True):
+                at = a[b - a > k]
+                out.append(mix(sums[at + k] - sums[at] + np.uint64(k)) + np.uint64(k))
         lo = hi
-    return hashes
+    return [hashes, *(np.concatenate([np.empty(0, dtype=np.uint64), *out]) for out in short)] if lengths else hashes
+
+
+def _long_hash(word: np.ndarray) -> np.uint64:
+    """The same hash of one word that is longer than a slab."""
+    total = np.zeros(1, dtype=np.uint64)
+    for lo in range(0, len(word), SLAB):
+        part = word[lo : lo + SLAB]
+        total += mix(_BYTES[part] + np.arange(lo, lo + len(part)).astype(np.uint64) * _P).sum(dtype=np.uint64)
+    return mix(total + np.uint64(len(word)))[0]
 
 
 def slabs(texts: pa.Array, limit: int = SLAB) -> Iterator[Slab]:

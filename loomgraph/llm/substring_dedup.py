@@ -1,4 +1,9 @@
-"""Removal of word sequences that already stand earlier in the corpus, by seed and extend (see ``repeats``)."""
+"""Removal of word sequences that already stand earlier in the corpus, by seed and extend.
+
+Documents meet on winnowed anchors; the regions of a common anchor are compared word by
+word, to the right and to the left, and runs of at least ``window_words`` equal words are
+kept as maximal repeats. See ``repeats`` for the steps.
+"""
 
 from __future__ import annotations
 
@@ -7,9 +12,9 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from loomgraph.llm.repeats import NO_ID, Repeats, numbered_texts, repeated_spans, span_arrays, with_spans
+from loomgraph.llm.repeats import ENTRY_COLUMNS, Repeats, extended, found_spans, named, numbered_texts, repeated_spans, span_arrays, with_spans
+from loomgraph.storage import discard, materialise
 
 
 def _render(with_text: bool):
@@ -36,6 +41,12 @@ def _render(with_text: bool):
     return run
 
 
+def _extend(entries: DataFrame, spec: Repeats) -> DataFrame:
+    compared = materialise(extended(entries, spec).drop(*(c for c in ENTRY_COLUMNS if c != "id")), "extended")
+    discard(entries)
+    return found_spans(compared, spec)
+
+
 def substring_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", *, window_words: int = 20, gram_words: int = 12, with_text: bool = True) -> DataFrame:
     """Return ``(id, n_words, n_removed, kept_sha256)`` and, ``with_text``, ``kept_text`` and the raw ``spans``.
 
@@ -44,12 +55,12 @@ def substring_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str
     text and earlier start); windows are judged on the input. Kept words are
     joined by one space. A null or empty text has no words; texts shorter than a
     window lose nothing. Rows that repeat an id are taken for one text: they don't
-    repeat each other. A null id comes before all others. Other columns are
-    ignored. Ids are integers. An empty table gives an empty result.
+    repeat each other. A row without an id comes after all others and its text stands for
+    it. Other columns are ignored. Ids are integers under 2**62. An empty table gives an
+    empty result.
     """
     texts = numbered_texts(docs, id_column, text_column)
-    spans = repeated_spans(texts, Repeats("word", window_words, gram_words))
+    spans = repeated_spans(texts, Repeats("word", window_words, gram_words), _extend)
     schema = "id long, n_words long, n_removed long, kept_sha256 string"
     schema += ", kept_text string, spans array<struct<start:int,stop:int>>" if with_text else ""
-    done = with_spans(texts, spans, _render(with_text), schema)
-    return done.withColumn("id", F.when(F.col("id") != NO_ID, F.col("id"))).withColumnRenamed("id", id_column)
+    return named(with_spans(texts, spans, _render(with_text), schema), id_column)

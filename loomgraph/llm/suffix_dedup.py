@@ -1,19 +1,22 @@
 """Removal of byte strings that already stand earlier in the corpus, by a logarithmic family of suffix arrays.
 
-Suffixes are sampled where they can matter: at anchors (see ``repeats``) whose
-gram has several different regions. Texts come in batches of rising ids. For
-each new batch
-
-1. its suffix array is built: the sampled suffixes with what stands before them,
-   range-partitioned and sorted by their bytes, a distributed array on disk;
-2. it is merge-scanned against every existing level: both sides meet in sorted
-   order on the gram that a suffix begins with, and the windows of a new suffix are
-   looked up among those of the suffixes it meets, and among its own batch's;
-3. it becomes a level of its size, and levels of equal size merge, so ``n``
-   batches leave at most ``log2(n) + 1`` sorted tables.
-
-A level's texts are all earlier than a new batch's, so a window found there is a
-repeat whatever comes later; results of earlier batches never change.
+A suffix array here is a table of sampled suffixes in the order of their bytes.
+Suffixes are sampled at winnowed anchors (see ``repeats``), where a match of
+``window_bytes`` must have one, and hold as many bytes before and after the anchor
+as windows can reach. Equal suffixes stand in the array once, for the first of
+them. Texts come in batches of rising ids. For each new batch
+
+1. its suffixes are sorted by range together with those of the levels that it will
+   merge with, and with the suffixes of the other levels that begin with a gram of
+   the batch: one merge-scan of the batch against every level;
+2. neighbours in this order are compared byte by byte; common lengths before and after
+   the anchor of at least ``window_bytes`` in all are matches, and a window of the
+   batch that stands in a level or earlier in the batch is a repeat;
+3. the sorted table, without what was only read along, is the new level: levels of
+   equal size merge, so ``n`` batches leave at most ``log2(n) + 1`` tables.
+
+A level's texts are all earlier than a new batch's, so a repeat found once stays one
+whatever comes later; results of earlier batches never change.
 """
 
 from __future__ import annotations
@@ -26,78 +29,51 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.repeats import NO_ID, Repeats, later_windows, numbered_texts, repeated_spans, span_arrays, texts_with, with_spans
+from loomgraph.llm.idfilter import bits_for, key_bitmap, with_membership
+from loomgraph.llm.repeats import ENTRY_COLUMNS, Repeats, extended, found_spans, named, numbered_texts, repeated_spans, span_arrays, with_spans
 from loomgraph.storage import discard, materialise, release
 
 
-def _contexts(length: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: tuple[list, ...] = ([], [], [], [])
-            for doc, text, regions in zip(batch.column("id").to_pylist(), batch.column("text"), batch.column("regions"), strict=True):
-                data = (text.as_py() or "").encode()
-                for gram, start, runs in zip(*(regions.values.field(k).to_pylist() for k in ("gram", "start", "runs")), strict=True):
-                    if start + runs - 1 + length > len(data):  # rows may wrongly share an id
-                        continue
-                    rows[0].append(gram)
-                    rows[1].append(doc)
-                    rows[2].append(start)
-                    rows[3].append(data[start : start + runs - 1 + length])
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
-            yield pa.record_batch([pa.array(r, k) for r, k in zip(rows, kinds, strict=True)], names=["gram", "id", "start", "context"])
-
-    return run
-
-
 class SuffixLevels:
-    """The family of sorted suffix tables and the merge-scan of a new batch against it."""
+    """The family of sorted suffix tables and the merge-scan of a new batch against it.
 
-    def __init__(self, length: int) -> None:
-        self.length = length
-        self.levels: dict[int, DataFrame] = {}
-
-    def _array(self, entries: DataFrame) -> DataFrame:
-        """Entries as a sorted table: by gram's place in the suffix order, then by the bytes themselves."""
-        return materialise(entries.repartitionByRange("context", "id", "start").sortWithinPartitions("context", "id", "start"), "level")
+    ``levels`` maps a size, as a power of two in batches, to ``(table, entries)``.
+    """
 
-    def _windows(self, entries: DataFrame) -> DataFrame:
-        shift = F.explode(F.sequence(F.lit(0), F.octet_length("context") - self.length))
-        cut = entries.select("id", "start", "context", shift.alias("shift"))
-        window = F.xxhash64(F.substring("context", F.col("shift") + 1, F.lit(self.length)), F.lit(7))
-        return cut.select(window.alias("window"), "id", (F.col("start") + F.col("shift")).alias("start"))
+    def __init__(self, spec: Repeats) -> None:
+        self.spec = spec
+        self.levels: dict[int, tuple[DataFrame, DataFrame]] = {}
 
     def add(self, batch: DataFrame) -> DataFrame:
-        """Spans of the batch's windows that stand in a level or earlier in the batch; the batch joins the family."""
-        array = self._array(batch)
-        windows = materialise(self._windows(array), "windows")
-        found = later_windows(windows, self.length)
-        for level in self.levels.values():
-            met = level.join(array.select("gram").distinct(), "gram", "left_semi")
-            known = self._windows(met).select("window").distinct()
-            known = windows.join(known, "window", "left_semi")
-            found = found.unionByName(known.select("id", "start", (F.col("start") + self.length).alias("stop")))
-        found = materialise(found, "found")
-        discard(windows)
-        size, table = 0, array
+        """Spans ``(id, start, stop)`` of the batch's windows that stand in a level or earlier in the batch; the batch joins the family."""
+        size, joined = 0, []
         while size in self.levels:
-            other = self.levels.pop(size)
-            merged = self._array(table.unionByName(other))
-            discard(other)
-            discard(table)
-            size, table = size + 1, merged
-        self.levels[size] = table
+            joined.append(self.levels.pop(size))
+            size += 1
+        fresh = lambda df, new, stays: df.select(*ENTRY_COLUMNS, F.lit(new).alias("fresh"), F.lit(stays).alias("stays"))
+        rows = fresh(batch, True, True)
+        for _, level in joined:
+            rows = rows.unionByName(fresh(level, False, True))
+        if self.levels:
+            bits = bits_for(batch.count())
+            grams = materialise(key_bitmap(batch, ["gram"], bits), "grams")
+            for _, level in self.levels.values():
+                met = with_membership(level, ["gram"], grams, "__lg_met", bits).where("__lg_met")
+                rows = rows.unionByName(fresh(met, False, False))
+        rows = materialise(rows, "rows")
+        array = materialise(extended(rows, self.spec), "level")
+        found = materialise(found_spans(array, self.spec, "fresh"), "found")
+        discard(rows, *(table for table, _ in joined))
+        self.levels[size] = (array, array.where("stays").select(*ENTRY_COLUMNS))
         release(batch.sparkSession)
         return found
 
 
 def _level_spans(batches: int):
-    def extend(texts: DataFrame, partial: DataFrame, spec: Repeats) -> DataFrame:
-        lists = materialise(partial.groupBy("id").agg(F.collect_list(F.struct("gram", "start", "runs")).alias("regions")), "regions")
-        entries = texts_with(texts, lists).select("id", "text", "regions").mapInArrow(_contexts(spec.length), "gram long, id long, start int, context binary")
-        entries = materialise(entries, "entries")
+    def extend(entries: DataFrame, spec: Repeats) -> DataFrame:
         cuts = entries.agg(F.percentile_approx("id", [i / batches for i in range(1, batches)], 1000)).first()[0] or []
         edges = [None, *sorted(set(cuts)), None]
-        family = SuffixLevels(spec.length)
+        family = SuffixLevels(spec)
         found = None
         for low, high in zip(edges, edges[1:], strict=False):
             batch = entries
@@ -107,7 +83,7 @@ def _level_spans(batches: int):
                 batch = batch.where(F.col("id") <= high)
             new = family.add(batch)
             found = new if found is None else found.unionByName(new)
-        discard(entries)
+        discard(entries, *(table for table, _ in family.levels.values()))
         return found
 
     return extend
@@ -139,12 +115,11 @@ def suffix_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     covers it also starts earlier (smaller id, or same text and earlier start).
     ``spans`` holds the removed strings, overlaps not yet joined; ``n_spans``
     counts the maximal ones; null where nothing is removed. A null or empty text
-    has no bytes. Rows that repeat an id are taken for one text. A null id comes
-    before all others. Other columns are ignored. Ids are integers. An empty table
-    gives an empty result.
+    has no bytes. Rows that repeat an id are taken for one text. A row without an id
+    comes after all others and its text stands for it. Other columns are ignored. Ids
+    are integers under 2**62. An empty table gives an empty result.
     """
     texts = numbered_texts(docs, id_column, text_column)
     spans = repeated_spans(texts, Repeats("byte", window_bytes, gram_bytes), _level_spans(batches))
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,stop:int>>"
-    done = with_spans(texts, spans, _render, schema)
-    return done.withColumn("id", F.when(F.col("id") != NO_ID, F.col("id"))).withColumnRenamed("id", id_column)
+    return named(with_spans(texts, spans, _render, schema), id_column)
