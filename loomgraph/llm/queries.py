@@ -66,8 +66,7 @@ def op8_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    digest = {"text_sha256": F.sha2(_exact.normalised("text"), 256)}
-    return _exact.exact_dedup(_documents(spark, sf_dir), extra=digest)
+    return _exact.exact_dedup(_documents(spark, sf_dir), digest="text_sha256")
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
