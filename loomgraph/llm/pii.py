@@ -1,10 +1,13 @@
 """Personal data: fixed patterns, and a character-level BiLSTM-CRF beside them.
 
-A byte mask finds the characters that every kind needs, a digit or ``@``. The CRF
-lets no other text hold an entity, so a text without one is settled, and the
-tagger reads the neighbourhoods of these characters: regions of text around them,
-cut into overlapping windows. Window outputs are reconciled by the middle of each
-window having most weight, and one Viterbi pass decodes a whole region.
+A byte mask finds the characters that every kind needs, a digit or ``@``. A model
+span without them is dropped (``plausible``), so a text without one is settled, and the
+tagger reads the neighbourhoods of these characters: regions of text around them, of
+the length of any kind's longest part beside its last digit, cut into overlapping
+windows; a test compares this with tagging whole texts. Window outputs are reconciled
+by the middle of each window having most weight, and a Viterbi pass decodes the region.
+A very long region is decoded in overlapping stretches that are joined where both say
+that no entity is, so memory is bounded whatever the length of a text.
 
 The tagger is trained in numpy, once for a process, on seeded examples with
 labelled spans: invented words around generated personal data, and numbers,
@@ -16,6 +19,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -42,6 +46,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _small(part: str) -> bool:
+    """Whether digits, however many, are a number up to 255."""
+    part = part.lstrip("0")
+    return len(part) < 4 and int(part or 0) <= 255
+
+
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     """Matches of the address pattern, each found from its ``@``: to the left the run of local characters."""
     done, at = 0, text.find("@")
@@ -59,7 +69,7 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """Spans ``(start, stop, kind)`` of the fixed patterns, by kind as listed, then start."""
     found = [(a, b, "email") for a, b in _emails(text)]
-    found += [(m.start(), m.end(), "ip") for m in _IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m.group().split("."))]
+    found += [(m.start(), m.end(), "ip") for m in _IP.finditer(text) if all(_small(p) for p in m.group().split("."))]
     for m in _CARD.finditer(text):
         digits = "".join(_DIGITS.findall(m.group()))
         if 13 <= len(digits) <= 19 and luhn(digits):
@@ -78,11 +88,11 @@ WIDTH, STEP, MARGIN = 64, 32, 24
 
 def _fold(text: str) -> np.ndarray:
     codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
-    table = np.full(128, _OTHER)
+    table = np.full(128, _OTHER, dtype=np.uint8)
     table[[*range(97, 123)]], table[[*range(65, 91)]] = _LETTER, _CAPITAL
     for i, c in enumerate(_ALPHABET[:-3]):
         table[ord(c)] = i
-    return np.where(codes < 128, table[np.minimum(codes, 127)], _LETTER)
+    return np.where(codes < 128, table[np.minimum(codes, 127)], np.uint8(_LETTER))
 
 
 def _allowed() -> tuple[np.ndarray, np.ndarray]:
@@ -267,36 +277,73 @@ def regions(triggers: np.ndarray, length: int) -> list[tuple[int, int]]:
 
 
 _CENTRE = np.minimum(np.arange(1, WIDTH + 1), np.arange(WIDTH, 0, -1)).astype(np.float64)
+STRETCH, OVERLAP, BATCH = 4096, 256, 1024
+
+
+def stretches(a: int, b: int) -> list[tuple[int, int]]:
+    """A region as one stretch, or several that overlap if it is long."""
+    starts = range(a, max(a + 1, b - OVERLAP), STRETCH - OVERLAP)
+    return [(s, min(b, s + STRETCH)) for s in starts]
+
+
+def _decoded(jobs: list[tuple], windows: list[np.ndarray], p: dict) -> Iterator[np.ndarray]:
+    """The best tags of each stretch ``(start, stop, window starts, first window)``."""
+    scored = np.concatenate([emissions(p, np.stack(windows[k : k + 256], axis=1)) for k in range(0, len(windows), 256)], axis=1)
+    for a, b, at, k in jobs:
+        total, weight = np.zeros((b - a, TAGS)), np.zeros((b - a, 1))
+        for j, s in enumerate(at):
+            n = min(WIDTH, b - s)
+            total[s - a : s - a + n] += scored[:n, k + j] * _CENTRE[:n, None]
+            weight[s - a : s - a + n] += _CENTRE[:n, None]
+        yield viterbi(total / weight, p["t"].astype(np.float64))
 
 
-def tag_texts(texts: list[str], p: dict) -> list[list[tuple[int, int, str]]]:
-    """Model spans of each text: windows of all regions in one batch, reconciled and decoded by region."""
-    jobs, windows = [], []
+def _tagged(texts: list[str], p: dict, whole: bool) -> Iterator[tuple[int, int, np.ndarray]]:
+    """``(text, start, tags)`` of each stretch, in order; a bounded number of windows at a time."""
+    jobs, owner, windows = [], [], []
     for i, text in enumerate(texts):
         codes = _fold(text)
         chars = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
         triggers = np.flatnonzero(((chars >= 48) & (chars <= 57)) | (chars == 64))
-        for a, b in regions(triggers, len(text)):
+        found = [(0, len(text))] if whole and text else regions(triggers, len(text))
+        for a, b in (part for region in found for part in stretches(*region)):
             at = list(range(a, max(a + 1, b - WIDTH + STEP), STEP))
-            jobs.append((i, a, b, at, len(windows)))
+            jobs.append((a, b, at, len(windows)))
+            owner.append(i)
             for s in at:
                 part = codes[s : min(s + WIDTH, b)]
                 windows.append(np.pad(part, (0, WIDTH - len(part))))
+            if len(windows) >= BATCH:
+                yield from ((o, job[0], tags) for o, job, tags in zip(owner, jobs, _decoded(jobs, windows, p), strict=True))
+                jobs, owner, windows = [], [], []
+    if jobs:
+        yield from ((o, job[0], tags) for o, job, tags in zip(owner, jobs, _decoded(jobs, windows, p), strict=True))
+
+
+def tag_texts(texts: list[str], p: dict, whole: bool = False) -> list[list[tuple[int, int, str]]]:
+    """Model spans of each text; ``whole`` tags all of it and not only the neighbourhoods of digits and ``@``."""
     found: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-    scored = [emissions(p, np.stack(windows[k : k + 256], axis=1)) for k in range(0, len(windows), 256)]
-    scored = np.concatenate(scored, axis=1) if scored else np.empty((WIDTH, 0, TAGS))
-    for i, a, b, at, k in jobs:
-        total, weight = np.zeros((b - a, TAGS)), np.zeros((b - a, 1))
-        for j, s in enumerate(at):
-            n = min(WIDTH, b - s)
-            total[s - a : s - a + n] += scored[:n, k + j] * _CENTRE[:n, None]
-            weight[s - a : s - a + n] += _CENTRE[:n, None]
-        tags = viterbi(total / weight, p["t"].astype(np.float64))
+
+    def note(i: int, a: int, tags: np.ndarray) -> None:
         for s in np.flatnonzero(tags % 2 == 1):
             e = s + 1
             while e < len(tags) and tags[e] == tags[s] + 1:
                 e += 1
             found[i].append((a + int(s), a + int(e), KINDS[tags[s] // 2]))
+
+    held: tuple[int, int, np.ndarray] | None = None
+    for i, a, tags in _tagged(texts, p, whole):
+        if held and held[0] == i and held[1] + len(held[2]) > a:  # the stretch before overlaps this one
+            low, before = a - held[1], held[2]
+            clear = np.flatnonzero((before[low:] == 0) & (tags[: len(before) - low] == 0))
+            cut = int(clear[np.abs(clear - OVERLAP // 2).argmin()]) if len(clear) else OVERLAP // 2
+            note(i, held[1], before[: low + cut])
+            a, tags = a + cut, tags[cut:]
+        elif held:
+            note(*held)
+        held = (i, a, tags)
+    if held:
+        note(*held)
     return found
 
 
@@ -316,12 +363,30 @@ def plausible(text: str, start: int, stop: int, kind: str) -> bool:
     return 13 <= digits <= 19 and len(part) <= 24 if kind == "card" else 9 <= digits <= 15 and len(part) <= 22
 
 
+def apart(spans: list[tuple[int, int, str]], others: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """The spans that overlap none of the others."""
+    starts: list[int] = []
+    stops: list[int] = []
+    for start, stop, _ in sorted(others):
+        if starts and start <= stops[-1]:
+            stops[-1] = max(stops[-1], stop)
+        else:
+            starts.append(start)
+            stops.append(stop)
+    out = []
+    for span in spans:
+        k = bisect_left(starts, span[1]) - 1  # the last that begins before the span's end
+        if k < 0 or stops[k] <= span[0]:
+            out.append(span)
+    return out
+
+
 def find_personal(texts: list[str], p: dict) -> list[tuple[list, list]]:
     """Of each text the base spans, and all spans: the model's are added where no base span lies."""
     out = []
     for text, tagged in zip(texts, tag_texts(texts, p), strict=True):
         base = base_spans(text)
-        added = [s for s in tagged if plausible(text, *s) and not any(b[0] < s[1] and s[0] < b[1] for b in base)]
+        added = apart([s for s in tagged if plausible(text, *s)], base)
         out.append((base, sorted(base + added, key=lambda s: (KINDS.index(s[2]), s[0]))))
     return out
 
@@ -346,9 +411,9 @@ def _scan(model) -> Callable:
             counts = np.zeros((len(KINDS), n), dtype=np.int64)
             digest, spans = [nothing] * n, [""] * n
             chosen = np.flatnonzero(suspect)
-            for lo in range(0, len(chosen), 64):
-                rows = chosen[lo : lo + 64]
-                for i, (base, found) in zip(rows, find_personal([texts[int(i)].as_py() or "" for i in rows], model.value), strict=True):
+            for lo in range(0, len(chosen), 16):
+                rows = chosen[lo : lo + 16]
+                for i, (base, found) in zip(rows, find_personal([texts[int(i)].as_py() or "" for i in rows], model), strict=True):
                     for *_, kind in base:
                         counts[KINDS.index(kind), i] += 1
                     digest[i] = hashlib.sha256(span_text(base).encode()).hexdigest()
@@ -367,7 +432,7 @@ def scan_personal(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     by one; a null id stays null. Other columns are ignored. An empty table gives
     an empty result.
     """
-    model = docs.sparkSession.sparkContext.broadcast(train_tagger())
+    model = train_tagger()
     kind = docs.schema[id_column].dataType.simpleString()
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     counts = ", ".join(f"n_{k} long" for k in KINDS)
