@@ -114,11 +114,29 @@ class Lattice:
     chance: np.ndarray
     running: np.ndarray
     first: np.ndarray
-    end: np.ndarray
 
 
-def build_lattice(data: np.ndarray, end: np.ndarray, vocab: Vocabulary) -> Lattice:
-    """The lattice over bytes that fall into stretches; ``end`` is the end of each byte's stretch."""
+BLOCK = 1 << 17
+
+
+def build_lattice(data: np.ndarray, stops: np.ndarray, vocab: Vocabulary) -> Lattice:
+    """The lattice over bytes that fall into stretches with the given ends, a block of stretches at a time."""
+    parts, lo, base, edges = [], 0, 0, 0
+    while lo < len(stops):
+        hi = max(lo + 1, int(np.searchsorted(stops, base + BLOCK)))
+        size = int(stops[hi - 1]) - base
+        end = np.repeat(stops[lo:hi] - base, np.diff(stops[lo:hi], prepend=base))
+        target, piece, logp, first = _edges(data[base : base + size], end, vocab)
+        parts.append((target + base, piece, logp, first[:-1] + edges))
+        lo, base, edges = hi, base + size, edges + len(target)
+    empty = (np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int32), np.empty(0), np.empty(0, dtype=np.int64))
+    target, piece, logp, first = (np.concatenate(x) for x in zip(empty, *parts, strict=True))
+    chance = np.where(np.isfinite(logp), np.exp(logp), 0.0)
+    return Lattice(target, piece, logp, chance, np.concatenate([[0.0], np.cumsum(chance)]), np.append(first, edges))
+
+
+def _edges(data: np.ndarray, end: np.ndarray, vocab: Vocabulary) -> tuple[np.ndarray, ...]:
+    """Target, piece and log chance of the edges by source node, and each node's first; ``end`` is the end of each byte's stretch."""
     n = len(data)
     up, down = _Powers.to(n + 1)
     sums = np.zeros(n + 1, dtype=np.uint64)
@@ -165,8 +183,7 @@ def build_lattice(data: np.ndarray, end: np.ndarray, vocab: Vocabulary) -> Latti
     order = len(source) - 1 - np.argsort(source[::-1], kind="stable")
     source, target, piece = source[order], target[order], piece[order]
     logp = vocab.scores[piece] + np.where(target == end[source], 0.0, back[target]) - back[source]
-    chance = np.where(np.isfinite(logp), np.exp(logp), 0.0)
-    return Lattice(target, piece, logp, chance, np.concatenate([[0.0], np.cumsum(chance)]), np.searchsorted(source, np.arange(n + 1)), end)
+    return target, piece, logp, np.searchsorted(source, np.arange(n + 1))
 
 
 def uniform(key: np.ndarray, path: int, place: np.ndarray, use: int) -> np.ndarray:
@@ -207,7 +224,7 @@ class Sampler:
         self.begins = slab.offsets + np.concatenate([[0], np.cumsum(sizes > 0)])
         data, n = self.data, len(self.data)
         self.texts = len(sizes)
-        self.text_of = np.repeat(np.arange(self.texts), np.diff(self.begins))
+        self.text_of = np.repeat(np.arange(self.texts, dtype=np.int32), np.diff(self.begins))
         cut = np.zeros(n + 1, dtype=bool)
         if n:
             cut[1:n] = (data[1:] == SPACE) & (data[:-1] != SPACE)
@@ -220,7 +237,7 @@ class Sampler:
         lengths = (stops - self.starts)[chosen]
         self.kind_at = np.concatenate([[0], np.cumsum(lengths)])
         source = np.repeat(self.starts[chosen] - self.kind_at[:-1], lengths) + np.arange(lengths.sum())
-        self.lattice = build_lattice(data[source], np.repeat(self.kind_at[1:], lengths), vocab)
+        self.lattice = build_lattice(data[source], self.kind_at[1:], vocab)
         self.shift = self.kind_at[self.kind] - self.starts  # from a byte of the slab to its node
 
     def _walk(self, place: np.ndarray, unit: np.ndarray, path: int, edge_at: np.ndarray) -> None:
@@ -246,28 +263,32 @@ class Sampler:
     def _path(self, edge_at: np.ndarray, path: int, value: np.ndarray, since: np.ndarray, taken: list[tuple[int, ...]]) -> _Path:
         """Note a path; ``since`` is the place from which it is its own, where ``taken`` edges are out already."""
         lat = self.lattice
-        place = np.flatnonzero(edge_at >= 0)
+        place = np.flatnonzero(edge_at >= 0).astype(np.int32)
         edge = edge_at[place]
         begins = np.searchsorted(place, self.begins)
-        text = self.text_of[place]
-        logp = lat.logp[edge]
-        total = np.concatenate([[0.0], np.cumsum(logp)])
-        before = total[:-1] - total[begins[:-1]][text]
-        gone = lat.chance[edge].copy()
-        own = place >= since[text]
+        total = np.concatenate([[0.0], np.cumsum(lat.logp[edge])])
+        first = total[begins[:-1]]
+        gone = {}
         for i in np.flatnonzero([len(t) > 1 for t in taken]):
             j = begins[i] + np.searchsorted(place[begins[i] : begins[i + 1]], since[i])
-            gone[j] = sum(lat.chance[e] for e in taken[i])
-        with np.errstate(divide="ignore"):
-            mass = before + np.log(np.where(gone < 1 - 1e-12, 1 - gone, 0.0))
-        u = uniform(self.keys[text], path, place - self.begins[text], 1)
-        beside = np.where(own, _truncated(mass, value[text], u), -np.inf)
-        return _Path(place, edge, begins, beside, total[begins[1:]] - total[begins[:-1]], value, taken)
+            gone[int(j)] = sum(lat.chance[e] for e in taken[i])
+        beside = np.empty(len(place))
+        for lo in range(0, len(place), SLAB):
+            part = slice(lo, lo + SLAB)
+            text, out = self.text_of[place[part]], lat.chance[edge[part]]
+            for j, chance in gone.items():
+                if lo <= j < lo + SLAB:
+                    out[j - lo] = chance
+            with np.errstate(divide="ignore"):
+                mass = total[:-1][part] - first[text] + np.log(np.where(out < 1 - 1e-12, 1 - out, 0.0))
+            u = uniform(self.keys[text], path, place[part] - self.begins[text], 1)
+            beside[part] = np.where(place[part] >= since[text], _truncated(mass, value[text], u), -np.inf)
+        return _Path(place, edge, begins, beside, total[begins[1:]] - first, value, taken)
 
     def sample(self, k: int) -> tuple[list[_Path], np.ndarray, np.ndarray]:
         """Up to k paths, which texts have the r-th (paths, texts), and each text's threshold."""
         n = len(self.data)
-        edge_at = np.full(n, -1, dtype=np.int64)
+        edge_at = np.full(n, -1, dtype=np.int32)
         self._walk(self.starts, np.arange(len(self.starts)), 0, edge_at)
         value = -np.log(-np.log(uniform(self.keys, 0, np.zeros(self.texts), 1) ))
         paths = [self._path(edge_at, 0, value, self.begins[:-1], [()] * self.texts)]
@@ -289,7 +310,7 @@ class Sampler:
                 break
             go = np.isfinite(best) & has[-1]
             has.append(go)
-            fresh = np.full(n, -1, dtype=np.int64)
+            fresh = np.full(n, -1, dtype=np.int32)
             since, taken = np.full(self.texts, n), [()] * self.texts
             places, units = [], []
             for i in np.flatnonzero(go):
@@ -338,11 +359,25 @@ def decode_flat(ids: np.ndarray, begins: np.ndarray, vocab: Vocabulary) -> tuple
     return vocab.bytes[source], places[begins]
 
 
-def _encode(model_path: str, k: int, seed: int) -> Callable:
+def _run_places(keys: np.ndarray, last: tuple[int, int]) -> tuple[np.ndarray, tuple[int, int]]:
+    """Of each key how many equal ones stand directly before it, and ``(key, place)`` to go on from."""
+    new = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    place = np.arange(len(keys)) - np.repeat(new, np.diff(np.append(new, len(keys))))
+    if int(keys[0]) == last[0]:
+        place[: new[1] if len(new) > 1 else len(keys)] += last[1] + 1
+    return place, (int(keys[-1]), int(place[-1]))
+
+
+def _encode(model_path: str, k: int, seed: int, repeats: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(model_path)
+        vocab, last = vocabulary(model_path), (-1, -1)
         for batch in batches:
+            if not batch.num_rows:
+                continue
             keys = mix(batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64) ^ np.uint64(seed))
+            if repeats:
+                place, last = _run_places(keys, last)
+                keys = np.where(place > 0, mix(keys + place.astype(np.uint64)), keys)
             for slab in slabs(batch.column("text"), SLAB):
                 rows = len(slab.offsets) - 1
                 sampler = Sampler(slab, keys[slab.first : slab.first + rows], vocab)
@@ -372,7 +407,7 @@ def _encode(model_path: str, k: int, seed: int) -> Callable:
     return run
 
 
-def encode_samples(docs: DataFrame, model_path: str, id_column: str = "doc_id", text_column: str = "text", *, samples: int = 2, seed: int = 1) -> DataFrame:
+def encode_samples(docs: DataFrame, model_path: str, id_column: str = "doc_id", text_column: str = "text", *, samples: int = 2, seed: int = 1, repeats: bool = False) -> DataFrame:
     """Return ``(id, sample, pieces, log_prob, perturbed, log_inclusion, exact)``, ``samples`` rows for each row of ``docs``.
 
     ``sample`` counts from 1 by falling perturbed value; segmentations of one text
@@ -380,13 +415,15 @@ def encode_samples(docs: DataFrame, model_path: str, id_column: str = "doc_id",
     the log chance to be in a sample with the text's threshold, and ``exact`` tells
     that the pieces decode to the text. A null or empty text has one sample without
     pieces. Scores are rounded to nine places, so that they don't tell how texts
-    were batched. Rows that repeat an id draw the same numbers. Other columns are ignored.
-    An empty table gives an empty result.
+    were batched. Rows that repeat an id draw the same numbers, unless ``repeats``: then a
+    row directly after one of its id draws others. Rows without an id draw by their
+    text. Other columns are ignored. An empty table gives an empty result.
     """
     kind = docs.schema[id_column].dataType.simpleString()
-    rows = docs.select(F.col(id_column).alias("id"), F.xxhash64(F.col(id_column)).alias("key"), F.col(text_column).alias("text"))
+    key = F.when(F.col(id_column).isNull(), F.xxhash64(F.col(text_column))).otherwise(F.xxhash64(F.col(id_column)))
+    rows = docs.select(F.col(id_column).alias("id"), key.alias("key"), F.col(text_column).alias("text"))
     schema = f"id {kind}, sample int, pieces array<int>, log_prob double, perturbed double, log_inclusion double, exact boolean"
-    return rows.mapInArrow(_encode(model_path, samples, seed), schema).withColumnRenamed("id", id_column)
+    return rows.mapInArrow(_encode(model_path, samples, seed, repeats), schema).withColumnRenamed("id", id_column)
 
 
 def decode_pieces(encoded: DataFrame, model_path: str, pieces_column: str = "pieces", out: str = "text") -> DataFrame:
