@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.llm import exact_dedup, lattice_dedup, lexing, mixing, ngram_join, pieces, pii, secrets, substring_dedup, suffix_dedup, toxicity
+from loomgraph.llm import exact_dedup, lattice_dedup, lexing, mixing, ngram_join, pieces, pii, repeats, secrets, substring_dedup, suffix_dedup, toxicity
 from loomgraph.llm.queries import piece_model
 
 SCHEMA = "doc_id long, text string, source string, id long, spans string, n int, start int, key string, size int, part int, taken long"
@@ -132,10 +132,13 @@ def test_suffix_dedup(docs, table):
 
 
 def test_suffix_levels_are_logarithmic(spark):
-    family = suffix_dedup.SuffixLevels(100)
-    for i in range(6):
-        family.add(spark.createDataFrame([(i, i, 0, bytes([65 + i]) * 120)], "gram long, id long, start int, context binary"))
-    assert sorted(family.levels) == [1, 2]
+    family = suffix_dedup.SuffixLevels(repeats.Repeats("byte", 100, 64))
+    data = [bytes(range(100, 250)), bytes(range(60, 210)), b"x" * 150, bytes(range(105, 255)), b"y" + b"x" * 149, bytes(range(100, 250))]
+    found = []
+    for i, context in enumerate(data):  # one region of all windows, its anchor 60 bytes in
+        batch = spark.createDataFrame([(1, i, 0, 37, 36, bytearray(context[:136]))], repeats.ENTRY)
+        found.append(sorted((r.id, r.start, r.stop) for r in family.add(batch).distinct().collect()))
+    assert sorted(family.levels) == [1, 2] and found == [[], [], [], [], [(4, 1, 136)], [(5, 0, 136)]]
 
 
 def test_exact_dedup(docs, table):
@@ -159,13 +162,70 @@ def test_exact_dedup_saturated_bitmap(docs):
 
 def test_null_ids(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (5, "a b c d e f"), (7, "other words")], "doc_id long, text string")
-    assert {(r.doc_id, r.component_id) for r in ngram_join.ngram_components(df).collect()} == {(None, None), (5, None), (7, 7)}
+    assert {(r.doc_id, r.component_id) for r in ngram_join.ngram_components(df).collect()} == {(None, 5), (5, 5), (7, 7)}
     assert {(r.doc_id, r.keep_id, r.kept) for r in exact_dedup.exact_dedup(df).collect()} == {(None, 5, False), (5, 5, True), (7, 7, True)}
     assert {r.doc_id for r in substring_dedup.substring_dedup(df).collect()} == {None, 5, 7}
     assert mixing.mix_sources(df.withColumn("source", F.lit(None).cast("string"))).count() == 3
     assert {r.doc_id for r in pieces.encode_samples(df, piece_model()).collect()} == {None, 5, 7}
 
 
+def test_keep_first_copies_tells_rows_apart_by_text(spark):
+    def kept(rows):
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        return sorted(((r.doc_id, r.text) for r in exact_dedup.keep_first_copies(df).collect()), key=str)
+
+    assert kept([(None, "t"), (5, "t")]) == [(5, "t")]
+    assert kept([(None, "t"), (None, "t"), (None, "u")]) == [(None, "t"), (None, "u")]
+    assert kept([(1, "a b"), (1, "c d"), (2, "a b"), (3, "c d")]) == [(1, "a b"), (1, "c d")]
+    assert kept([(4, "x"), (4, "x"), (5, None), (6, ""), (7, "x  y"), (7, "x y")]) in ([(4, "x"), (5, None), (7, "x  y")], [(4, "x"), (5, None), (7, "x y")])
+
+
+def test_component_heads_of_rows_without_id(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, long), (5, long + " more"), (None, "other words of their own here"), (None, "other words of their own here"), (9, None), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(((r.doc_id, r.text) for r in ngram_join.keep_component_heads(df).collect()), key=str)
+    assert kept == sorted([(5, long + " more"), (None, "other words of their own here"), (9, None), (None, None)], key=str)
+
+
+def test_words_of_like_structure_have_hashes_of_their_own(spark):
+    a, b = "a", "b"
+    for _ in range(10):  # each twice as long, and different in every byte
+        a, b = a + b, b + a
+    one, two = (lexing.hash_spans(np.frombuffer(w.encode(), dtype=np.uint8), np.array([0]), np.array([1024]))[0] for w in (a, b))
+    assert one != two
+    tail = " ".join(f"w{i}" for i in range(30))
+    df = spark.createDataFrame([(1, f"{a} {tail}"), (2, f"{b} {tail}")], "doc_id long, text string")
+    rows = got(substring_dedup.substring_dedup(df))
+    assert rows[2].n_removed == 30 and rows[2].kept_text == b
+
+
+def test_repeats_in_very_long_and_very_common_texts(spark):
+    rng = np.random.default_rng(8)
+    pool = ["".join(rng.choice(list("abcdefghij"), rng.integers(2, 9))) for _ in range(3000)]
+    long = " ".join(rng.choice(pool, 150_000))  # more than a slab of bytes
+    line = " ".join(rng.choice(pool, 24))
+    rows = [(0, long), (1, long[5:400_000]), (2, " ".join(rng.choice(pool, 30)) + " " + long[600_001:600_900])]
+    rows += [(10 + i, " ".join([*rng.choice(pool, 6), line, *rng.choice(pool, 6)])) for i in range(400)]  # a line in nearly all
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    before, repeats.CHUNK = repeats.CHUNK, 64
+    try:  # chunks so small that the line's regions are many
+        have, kept = got(suffix_dedup.suffix_dedup(df)), got(substring_dedup.substring_dedup(df))
+    finally:
+        repeats.CHUNK = before
+    seen, seen_words = set(), set()
+    for i, t in rows:
+        b, w = t.encode(), t.split()
+        for items, length, known, count in ((b, 100, seen, have[i].n_removed), (w, 20, seen_words, kept[i].n_removed)):
+            gone = np.zeros(len(items), dtype=bool)
+            for s in range(len(items) - length + 1):
+                k = hash(bytes(items[s : s + length]) if length == 100 else tuple(items[s : s + length]))
+                if k in known:
+                    gone[s : s + length] = True
+                known.add(k)
+            assert count == gone.sum()
+
+
 def test_mixing(docs):
     rows = mixing.mix_sources(docs, shard_words=200, fan_out=4, block_words=8).collect()
     assert len(rows) == docs.count()
@@ -192,6 +252,16 @@ def test_mixing(docs):
     assert sorted((r.doc_id, r.taken) for r in rows) == sorted((r.doc_id, r.taken) for r in again)
 
 
+def test_mixing_cuts_shards_by_rows(spark):
+    rows = [(i, "", "blank") for i in range(90)] + [(100 + i, None, None) for i in range(50)] + [(None, f"text {i}", "s") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mix_sources(df, shard_rows=10, block_words=2).collect()
+    shards = Counter((r.source, r.shard) for r in out)
+    assert len(out) == 180 and len({s for s in shards if s[0] == "blank"}) == 9 and len([s for s in shards if s[0] == "s"]) >= 3
+    assert all(r.taken == 0 for r in out if not r.size) and sum(r.taken for r in out) == 80
+    assert mixing.repeat_by_mix(df).where("source = 'blank'").count() == 90
+
+
 def test_apportionment(spark):
     rng = np.random.default_rng(5)
     rows = []
@@ -243,6 +313,58 @@ def test_secret_scan_agrees_with_plain_scan(spark):
         assert r.spans == secrets.span_text(found) and r.base_sha256 == hashlib.sha256(secrets.span_text(base).encode()).hexdigest()
 
 
+def plain_secrets(text):
+    """All spans by the definition: patterns one by one, entropy of every window afresh."""
+    found = [(m.start(), m.end(), "assign") for m in re.finditer(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text, re.I | re.A) if len(m.group(2)) >= 6]
+    found += [(m.start(), m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m.group()) >= 20]
+    found += [(m.start(), m.end(), "hex") for m in re.finditer("[0-9a-f]+", text) if len(m.group()) >= 24]
+    base, added = list(found), []
+    for m in re.finditer("[A-Za-z0-9+/_=-]+", text):
+        t = m.group()
+        digit, lower, upper = (bool(re.search(c, t)) for c in ("[0-9]", "[a-z]", "[A-Z]"))
+        if len(t) < 20 or not (lower or upper) or digit + lower + upper < 2:
+            continue
+        kind = "hex" if digit and re.fullmatch("[0-9a-fA-F]+", t) else {(1, 1): "mixed", (0, 1): "letters"}.get((digit, lower and upper)) or ("lower" if lower else "upper")
+        bits = max(-sum(c / 20 * np.log2(c / 20) for c in Counter(t[i : i + 20]).values()) for i in range(len(t) - 19))
+        if bits >= secrets.LEAST_BITS[kind] and not any(p.fullmatch(t) for p in secrets.ALLOWED) and all(b[1] <= m.start() or b[0] >= m.end() for b in base):
+            added.append((m.start(), m.end(), "entropy"))
+    order = lambda x: sorted(x, key=lambda s: (s[0], secrets.KINDS.index(s[2])))
+    return order(base), order(base + added)
+
+
+def test_secret_spans_by_definition(spark):
+    rng = np.random.default_rng(6)
+    letters = ["0123456789abcdef", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcXYZ019+/_=-", "aab01"]
+    texts = []
+    for _ in range(300):
+        parts = ["".join(rng.choice(list(rng.choice(letters)), rng.integers(1, 50))) for _ in range(rng.integers(1, 6))]
+        texts.append("".join(p + str(rng.choice([" ", "é ", ' token="', " AKIA", ". Secret : '"])) for p in parts))
+    rows = [(i % 250, t) for i, t in enumerate(texts)] + [(None, "secret=abcdefgh"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("id", F.lit("x")).withColumn("n_hex", F.lit("y"))
+    have = sorted((r.doc_id is None, r.doc_id or 0, r.n_assign, r.n_access, r.n_hex, r.base_sha256, r.spans) for r in secrets.scan_secrets(df).collect())
+    want, kinds = [], Counter()
+    for i, t in rows:
+        base, every = plain_secrets(t or "")
+        n = Counter(k for *_, k in base)
+        kinds.update(secrets.character_class(t[a:b]) for a, b, k in every if k == "entropy")
+        want.append((i is None, i or 0, n["assign"], n["access"], n["hex"], hashlib.sha256(secrets.span_text(base).encode()).hexdigest(), secrets.span_text(every)))
+    assert have == sorted(want) and len(kinds) >= 4
+
+
+def test_secret_classes():
+    spans = lambda t: [k for *_, k in secrets.find_secrets(t)[1]]
+    for secret in ("k3j9x0q2m5v7b1n4c8z6", "ABCD1234EFGH5678IJKL9012", "qWeRtYuIoPaSdFgHjKlZxCvB", "q8Zr2Lm9Xw4Tn7Vb1Kc6Pd3H"):
+        assert spans(secret) == ["entropy"]
+    for word in ("getUserNameFromDatabaseConnection", "my-long-file-name-of-2024-report", "photosynthesis2019conference", "123e4567-e89b-12d3-a456-426614174000", "2024-01-02/2024-02-03"):
+        assert spans(word) == []
+
+
+def test_many_digests_in_one_text_take_linear_time():
+    text = " ".join(f"{i:032x}" for i in range(60_000))
+    base, found = secrets.find_secrets(text)
+    assert len(base) == len(found) == 60_000
+
+
 def plain_personal(text):
     found = [(m.start(), m.end(), "email") for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     found += [(m.start(), m.end(), "ip") for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if max(map(int, m.group().split("."))) <= 255]
@@ -258,6 +380,36 @@ def test_personal_patterns():
     assert [k for *_, k in pii.base_spans("4111 1111-1111 1111 a.b@c.de 1.2.3.4 1.2.3.456 +1 (555) 123-4567")] == ["email", "ip", "card", "phone"]
 
 
+def test_personal_patterns_of_odd_texts(spark):
+    texts = ["1." + "0" * 5000 + ".1.1", "0.0.0.0 1.2.3.0256", "5" * 6000 + ".1.1.1", None, "", "12 a@b.cd " * 30_000]
+    df = spark.createDataFrame([(None if i % 2 else 7, t) for i, t in enumerate(texts)], "doc_id long, text string").withColumn("id", F.lit("x")).withColumn("n_ip", F.lit("y"))
+    have = sorted((r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in pii.scan_personal(df).collect())
+    want = [(0, 1, 0, 0, "ip:0:5006"), (0, 1, 0, 0, "ip:0:7"), (0, 0, 0, 0, "")] + [(0, 0, 0, 0, "")] * 2
+    want.append((30_000, 0, 0, 0, ",".join(f"email:{10 * i + 3}:{10 * i + 9}" for i in range(30_000))))
+    assert have == sorted((*w[:4], hashlib.sha256(w[4].encode()).hexdigest()) for w in want)
+
+
+def test_neighbourhoods_say_what_whole_texts_say():
+    model, rng = pii.train_tagger(), np.random.default_rng(77)
+    filler = "the quiet words of a long page go on, and on; no data is here. " * 4
+    texts = [filler.join(pii.training_example(rng)[0] for _ in range(4)) for _ in range(60)]
+    found = [[[s for s in spans if pii.plausible(t, *s)] for t, spans in zip(texts, pii.tag_texts(texts, model, whole=whole), strict=True)] for whole in (False, True)]
+    near, whole = ({(i, *s) for i, spans in enumerate(f) for s in spans} for f in found)
+    assert len(whole) > 200 and len(near & whole) >= 0.98 * len(near | whole)
+
+
+def test_long_regions_are_joined():
+    model, rng = pii.train_tagger(), np.random.default_rng(78)
+    text = " ".join(pii.training_example(rng)[0] for _ in range(400))  # digits all along: one region
+    whole = [s for s in pii.tag_texts([text], model)[0] if pii.plausible(text, *s)]
+    before, pii.STRETCH = pii.STRETCH, 1 << 30
+    try:
+        once = [s for s in pii.tag_texts([text], model)[0] if pii.plausible(text, *s)]
+    finally:
+        pii.STRETCH = before
+    assert len(text) > 10 * before and len(set(whole) & set(once)) >= 0.99 * len(set(whole) | set(once))
+
+
 def test_tagger_on_held_out_examples():
     model = pii.train_tagger()
     rng = np.random.default_rng(12345)
@@ -313,7 +465,43 @@ def test_lattice_decoder():
     p = lattice_dedup.decode_e8(x)
     near = ((x[:, None] - (p[:, None] + lattice_dedup.roots()[None])) ** 2).sum(axis=2).min(axis=1)
     assert len(lattice_dedup.roots()) == 240 and (((x - p) ** 2).sum(axis=1) <= near + 1e-12).all()
-    assert lattice_dedup.near_pairs  # the pairs are verified there
+
+
+def test_lattice_tells_rows_apart_by_vector(spark):
+    e = np.eye(64)
+    rows = [(1, e[0]), (1, e[1]), (2, e[1] + 0.1 * e[2]), (None, e[3]), (None, e[3] * 2), (7, e[3] + 0.1 * e[4]), (None, e[5]), (8, e[6] * 1e-200), (9, e[6] * 1e200)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>")
+    have = [(r.vec_id, r.n_links, r.component_id, r.kept) for r in lattice_dedup.lattice_near_dups(df).collect()]
+    want = [(1, 0, 1, True), (1, 1, 1, True), (2, 1, 1, False), (None, 2, 7, False), (None, 2, 7, False), (7, 2, 7, True), (None, 0, None, True), (8, 1, 8, True), (9, 1, 8, False)]
+    assert sorted(have, key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("dims", [64, 384])
+def test_lattice_recall_at_the_threshold(spark, dims):
+    rng = np.random.default_rng(dims)
+    u, r = rng.normal(size=(2, 1500, dims))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    r -= (r * u).sum(axis=1, keepdims=True) * u
+    r /= np.linalg.norm(r, axis=1, keepdims=True)
+    c = 0.9005
+    rows = np.concatenate([u, c * u + np.sqrt(1 - c * c) * r])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    found = sum(r.n_links for r in lattice_dedup.lattice_near_dups(df).collect()) / 3000
+    assert 0.95 <= found <= 1.0
+
+
+def test_lattice_counts_dense_groups(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(3, 64))
+    rows = np.concatenate([c + 0.12 * rng.normal(size=(120, 64)) for c in centres] + [centres[:1] + 0.4 * rng.normal(size=(40, 64))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    x = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    near = x @ x.T >= 0.9
+    np.fill_diagonal(near, False)
+    have = got(lattice_dedup.lattice_near_dups(df), "vec_id")
+    assert all(have[i].n_links <= near[i].sum() for i in have)
+    assert sum(r.n_links for r in have.values()) >= 0.97 * near.sum()
+    assert len({have[i].component_id for i in range(360)}) == 3
 
 
 def labelled(n, seed):
@@ -345,6 +533,52 @@ def test_severity(spark):
     assert np.corrcoef(np.array(doses).T)[0, 1] > 0.5
 
 
+def test_severity_of_odd_rows(spark):
+    texts, toxic = labelled(300, 3)
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, "vilex vilest nastyx vilely"), (0, texts[0]), (4, "plain abc"), (None, None), (900, "plain " * 20_000 + "vilex vilest nastyx vilely")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("id", F.lit("x")).withColumn("label", F.lit("y"))
+    labels = spark.createDataFrame([(i, y) for i, y in enumerate(toxic)] + [(0, toxic[0]), (None, 1), (7, None)], "doc_id long, toxic int")
+    scored = toxicity.severity(docs, labels).collect()
+    kept = toxicity.keep_civil(docs, labels)
+    assert len(scored) == len(rows) and kept.columns == docs.columns
+    bad = [i for i, y in enumerate(toxic) if y]
+    assert sum(r.toxic for r in scored if r.doc_id in set(bad)) >= 0.95 * len(bad)
+    have = Counter((r.doc_id, r.text) for r in kept.collect())
+    assert have[None, None] == 1 and have[4, "plain abc"] == 1 and (None, "vilex vilest nastyx vilely") not in have
+    assert sum(have.values()) == sum(r.kept for r in scored) and not any(r.doc_id == 900 for r in kept.collect())
+
+
+def test_severity_by_definition():
+    """Scores are those of the model's own words, looked up one by one."""
+    texts, toxic = labelled(300, 9)
+    m = toxicity.fit_severity(texts, toxic)
+    weight = dict(zip(m.words.tolist(), m.weights.tolist(), strict=True))
+
+    def value(text):
+        found = set()
+        for w in re.findall("[a-z]+", text.lower()):
+            data = np.frombuffer(w.encode(), dtype=np.uint8)
+            hashes = lexing.hash_spans(data, np.array([0]), np.array([len(data)]), toxicity.BEGINNINGS)
+            found |= {int(h) for part in hashes for h in part}
+        return 1 / (1 + np.exp(m.thresholds - sum(weight.get(h, 0.0) for h in found)))
+
+    expected, grade, chance = toxicity._scores(m, pa.array(texts))
+    for i, t in enumerate(texts[:60]):
+        over = value(t)
+        assert expected[i] == pytest.approx(over.sum()) and chance[i] == pytest.approx(over[0])
+        assert grade[i] == np.argmax(-np.diff(np.concatenate([[1], over, [0]])))
+
+
+def test_severity_sample_is_bounded(spark):
+    texts, toxic = labelled(200, 2)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] * 2, "doc_id long, text string")
+    labels = spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int")
+    sample = toxicity.labelled_sample(docs, labels, max_rows=50)
+    assert sample.count() == 50
+    some = list(toxicity._fit(10, 1 << 20)(iter([sample.select("text", "label").toArrow().to_batches()[0]])))
+    assert len(some) == 1 and toxicity.fitted_severity(sample, max_bytes=0).words.size == 0
+
+
 def test_severity_without_labels(spark, empty):
     model = toxicity.fit_severity([], [])
     assert toxicity.score_severity(empty, model).count() == 0
@@ -385,6 +619,37 @@ def test_piece_sampling_follows_the_lattice(spark):
     assert all(len({tuple(x.pieces) for x in s.values()}) == 3 and s[1].perturbed >= s[2].perturbed >= s[3].perturbed for s in seen.values())
 
 
+def test_piece_samples_are_without_replacement(spark):
+    vocab, n = pieces.vocabulary(piece_model()), 6000
+    chance = {p: np.exp(s) for p, s in segmentations(vocab, b" of it").items()}
+    rows = spark.range(n).selectExpr("id AS doc_id", "'of it' AS text")
+    three, four = ({(r.doc_id, r.sample): r for r in pieces.encode_samples(rows, piece_model(), samples=k).collect()} for k in (3, 4))
+    seen = Counter((tuple(three[i, 1].pieces), tuple(three[i, 2].pieces)) for i in range(n))
+    thirds = Counter(tuple(three[i, 3].pieces) for i in range(n))
+    want = Counter()
+    for a, p in chance.items():
+        for b, q in chance.items():
+            if a != b:
+                pair = p * q / (1 - p)
+                assert abs(seen[a, b] / n - pair) < 4.5 * np.sqrt(pair * (1 - pair) / n) + 1e-3
+                for c, r in chance.items():
+                    if c not in (a, b):
+                        want[c] += pair * r / (1 - p - q)
+    for c, p in want.items():
+        assert abs(thirds[c] / n - p) < 4.5 * np.sqrt(p * (1 - p) / n) + 1e-3
+    for (i, k), r in three.items():  # the fourth value is the threshold of the first three
+        assert r.pieces == four[i, k].pieces
+        gap = r.log_prob - four[i, 4].perturbed
+        assert r.log_inclusion == pytest.approx(np.log(-np.expm1(-np.exp(gap))), abs=1e-6)
+
+
+def test_piece_repeats_draw_others(spark):
+    rows = spark.createDataFrame([(1, "the same text of some length, which has many segmentations " * 5)] * 4 + [(2, "x")], "doc_id long, text string").coalesce(1)
+    seen = Counter(tuple(r.pieces) for r in pieces.encode_samples(rows, piece_model(), repeats=True).where("doc_id = 1").collect())
+    assert len(seen) > 4
+    assert len({tuple(r.pieces) for r in pieces.encode_samples(rows, piece_model()).where("doc_id = 1").collect()}) == 2
+
+
 def test_piece_round_trip(spark, docs, empty):
     odd = ["▁ literal", "tab\tnew\nline  two   spaces ", "日本語 текст 🎉", " lead", "é", "\x00\x01", "a" * 3000, "", None]
     df = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")
