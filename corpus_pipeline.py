@@ -1,7 +1,8 @@
 """A pipeline from raw documents to sampled token sequences.
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on all that the one before it
-kept; between stages the table is written as Parquet and read again.
+kept; between stages the table is written as Parquet and read again. Tables that a
+stage writes on its way are deleted as soon as it is decided.
 
 1. toxicity: documents that the severity model rejects go.
 2. exact dedup: of equal texts the one of least id stays.
@@ -9,52 +10,49 @@ kept; between stages the table is written as Parquet and read again.
    document of least id stays.
 4. mixing: a document comes as often as the mix takes its words, to the nearest
    whole number; documents without words come once.
-5. SentencePiece: two sampled segmentations of each document.
+5. SentencePiece: two sampled segmentations of each document, others for each
+   repeat of a document.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from loomgraph.llm.exact_dedup import keep_first_copies
-from loomgraph.llm.mixing import mix_sources
+from loomgraph.llm.mixing import repeat_by_mix
 from loomgraph.llm.ngram_join import keep_component_heads
 from loomgraph.llm.pieces import encode_samples
 from loomgraph.llm.queries import piece_model
-from loomgraph.llm.toxicity import severity
-from loomgraph.llm.idfilter import without_ids
-from loomgraph.storage import materialise
+from loomgraph.llm.toxicity import keep_civil
+from loomgraph.storage import discard, materialise
 
 #: The severity model and the token samples have no SQL form; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = severity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    gone = materialise(scored.where("toxic").select("doc_id"), "toxic")
-    return without_ids(docs, "doc_id", gone)
+    """Documents that the model, fitted on the labelled ones, does not reject; an empty or null text stays."""
+    return keep_civil(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each text; of null and empty texts one in all."""
     return keep_first_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of least id of each component of near copies; texts without words link with nothing and stay."""
     return keep_component_heads(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mixed = mix_sources(docs)
-    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(1).cast("int")
-    times = mixed.groupBy("doc_id").agg(F.max(times).alias("__lg_times"))
-    times = materialise(times.where("__lg_times > 0").withColumnRenamed("doc_id", "__lg_id"), "times")
-    joined = docs.join(times, F.col("doc_id").eqNullSafe(F.col("__lg_id")))
-    return joined.withColumn("__lg_time", F.explode(F.sequence(F.lit(1), F.col("__lg_times")))).select(*docs.columns)
+    """Documents by target weights of their sources, null being a source of its own; some are repeated, some go."""
+    return repeat_by_mix(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return encode_samples(docs, piece_model())
+    """Two sampled segmentations of each row; one without pieces of an empty or null text."""
+    return encode_samples(docs, piece_model(), repeats=True)
 
 
 STAGES = [
@@ -67,7 +65,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token samples of ``documents`` in ``sf_dir``: columns of ``encode_samples``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

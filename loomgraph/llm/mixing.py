@@ -12,8 +12,11 @@
    ever holds the shards of a whole source, and the seats of a node always sum.
 4. Selection: inside a shard documents are put in an order seeded by a hash of
    their id, their words are laid end to end, and the first ``quota`` blocks of
-   that circular line are taken. A shard is cut to ``shard_words`` whatever the
-   size of its source, so a source with a third of all rows is many shards.
+   that circular line are taken. A shard is cut to ``shard_words`` and ``shard_rows``
+   whatever the size of its source, so a source with a third of all rows is many
+   shards, of blank texts too.
+
+Sources are ranked in one task, a row for each; documents never are.
 """
 
 from __future__ import annotations
@@ -22,7 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomgraph.storage import materialise
+from loomgraph.llm.idfilter import node
+from loomgraph.storage import Scratch, materialise
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -37,8 +41,8 @@ def _digit(salt: str, of: Column, start: int) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...], max_epochs: int) -> DataFrame:
-    """``(source, source_no, source_size, weight, target)``, one row for each source."""
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    """``(source, source_no, source_size, source_rows, weight, target)``, one row for each source."""
+    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows"))
     by_name = W.orderBy(F.col("source").asc_nulls_last())
     cycle = F.array(*[F.lit(int(x)).cast("long") for x in weights])
     ranked = per.withColumn("source_no", F.row_number().over(by_name)).withColumn(
@@ -61,7 +65,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], max_epochs: int)
     target = F.when(F.col("_open").isNull() | (F.col("_row") < F.col("_open")), (max_epochs * F.col("source_size")).cast("double")).otherwise(
         F.col("_w").cast("double") * F.col("weight").cast("double") / F.col("_v").cast("double")
     )
-    return at.select("source", "source_no", "source_size", "weight", target.alias("target"))
+    return at.select("source", "source_no", "source_size", "source_rows", "weight", target.alias("target"))
 
 
 def apportion(children: DataFrame, parent: list[str], order: list[str], claim: str, seats: str, out: str) -> DataFrame:
@@ -102,6 +106,7 @@ def mix_sources(
     max_epochs: int = 3,
     block_words: int = 16,
     shard_words: int = 16384,
+    shard_rows: int = 16384,
     fan_out: int = 64,
     seed: str = "mix",
 ) -> DataFrame:
@@ -109,16 +114,18 @@ def mix_sources(
 
     ``weights`` repeat over the sources in code point order, null last. A null
     text has size 0. ``taken`` counts words, repeats included, and is at most
-    ``max_epochs * size``. Equal inputs give equal results in any partitioning;
+    ``max_epochs * size``. A row without an id is placed by its text. Equal inputs give equal results in any partitioning;
     rows that repeat an id tie, and then the longer one comes first. Other columns
     are ignored. An empty table gives an empty result.
     """
+    key = F.coalesce(F.col(id_column).cast("string"), F.concat(F.lit("text:"), F.md5(F.col(text_column))), F.lit("text:"))
     sizes = docs.select(
-        F.col(id_column).alias("id"), F.col(source_column).alias("source"), word_count(text_column).alias("size")
-    ).withColumn("_u", _digit(f"{seed}-shard:", F.coalesce(F.col("id").cast("string"), F.lit("")), 1))
+        F.col(id_column).alias("id"), F.col(source_column).alias("source"), word_count(text_column).alias("size"),
+        _digit(f"{seed}-shard:", key, 1).alias("_u"), F.md5(F.concat(F.lit(f"{seed}-order:"), key)).alias("_order"),
+    )
     sizes = materialise(sizes, "sizes")
     sources = source_targets(sizes, weights, max_epochs).withColumn(
-        "shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("long")
+        "shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words), F.ceil(F.col("source_rows") / shard_rows)).cast("long")
     )
     sources = sources.withColumn("_total", F.sum("source_size").over(W.partitionBy()))
     sources = sources.withColumn("_blocks", F.floor(F.col("_total") / block_words + 0.5).cast("long")).withColumn("_one", F.lit(1))
@@ -142,7 +149,7 @@ def mix_sources(
         seats = quotas.select("source_no", F.col("node").alias("parent"), F.col("quota").alias("seats"))
     quotas = materialise(quotas.select("source_no", F.col("node").alias("shard"), "words", "quota"), "quotas")
 
-    seeded = W.partitionBy("source_no", "shard").orderBy(F.md5(F.concat(F.lit(f"{seed}-order:"), F.coalesce(F.col("id").cast("string"), F.lit("")))), F.col("id"), F.desc("size"))
+    seeded = W.partitionBy("source_no", "shard").orderBy("_order", "id", F.desc("size"))
     line = placed.withColumn("_end", F.sum("size").over(seeded.rowsBetween(W.unboundedPreceding, 0))).drop("seats")
     line = line.join(quotas, ["source_no", "shard"]).withColumn("_take", F.least(F.col("quota") * block_words, max_epochs * F.col("words")))
     rounds = F.when(F.col("words") > 0, F.floor(F.col("_take") / F.col("words"))).otherwise(0).cast("long")
@@ -150,3 +157,20 @@ def mix_sources(
     part = F.greatest(F.lit(0), F.least(F.col("_end"), F.col("_rest")) - (F.col("_end") - F.col("size")))
     line = line.withColumn("_rounds", rounds).withColumn("_rest", rest).withColumn("taken", (F.col("_rounds") * F.col("size") + part).cast("long"))
     return line.select(F.col("id").alias(id_column), "source", "size", "source_size", "target", "taken", "shard", "quota")
+
+
+def repeat_by_mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", **options) -> DataFrame:
+    """``docs`` with each row as often as the mix takes its words, to the nearest whole number; all columns as they were.
+
+    Rows without words come once. Repeats of a row stand next to each other. Rows are
+    told apart by id and number of words, those without an id by their text. Texts
+    move once, in a shuffle join that is the same at every size.
+    """
+    keyed = docs.withColumn("__lg_node", node(id_column, text_column)).withColumn("__lg_size", word_count(text_column))
+    with Scratch(docs.sparkSession) as scratch:
+        mixed = mix_sources(keyed, "__lg_node", text_column, source_column, **options)
+        times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(1).cast("int")
+        times = mixed.groupBy(F.col("__lg_node"), F.col("size").alias("__lg_size")).agg(F.max(times).alias("__lg_times")).where("__lg_times > 0")
+        times = scratch.keep(materialise(times, "times"))
+    joined = keyed.join(times.hint("shuffle_hash"), ["__lg_node", "__lg_size"])
+    return joined.withColumn("__lg_time", F.explode(F.sequence(F.lit(1), F.col("__lg_times")))).select(*docs.columns)

@@ -34,7 +34,7 @@ WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{_WORD}')), 0)::BIGINT AS size,
          ('0x' || substr(md5('mix-shard:' || doc_id::VARCHAR), 1, 8))::BIGINT AS u,
          md5('mix-order:' || doc_id::VARCHAR) AS o FROM documents),
-s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS source_rows FROM d GROUP BY source),
 r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS source_no FROM s),
 w AS (SELECT *, [5, 2, 1][((source_no - 1) % 3 + 1)::INT]::BIGINT AS weight FROM r),
 f AS (SELECT *, row_number() OVER o AS row_,
@@ -47,7 +47,7 @@ l AS (SELECT min(row_) AS open_, arg_min(words_, row_) AS lw, arg_min(weights_,
 t AS (SELECT source, source_no, source_size,
         CASE WHEN open_ IS NULL OR row_ < open_ THEN (3 * source_size)::DOUBLE
              ELSE lw::DOUBLE * weight::DOUBLE / lv::DOUBLE END AS target,
-        greatest(1, ceil(source_size / 16384))::BIGINT AS shards, 1 AS one_,
+        greatest(1, ceil(source_size / 16384), ceil(source_rows / 16384))::BIGINT AS shards, 1 AS one_,
         floor((sum(source_size) OVER ()) / 16 + 0.5)::BIGINT AS blocks FROM f, l),
 {_apportion("ts", "t", "one_", "source_no", "target", "blocks")},
 p AS (SELECT d.doc_id, d.size, d.o, ts.source_no, ts.source_size, ts.target, (d.u * ts.shards) >> 32 AS shard

@@ -3,8 +3,10 @@
 ``P(severity > k | x) = sigmoid(w . x - threshold_k)`` with one weight vector for all
 ordered thresholds. Features are the presence of hashed words and of their
 beginnings, which inflected forms of a word share. The fit is an
-accelerated proximal gradient descent with an L1 penalty, in numpy, on a bounded
-sample of labelled rows; scoring is one vectorised pass over all whole texts.
+accelerated proximal gradient descent with an L1 penalty, in numpy, on a sample of
+labelled rows that is bounded in rows and bytes, in one task of an executor; scoring is
+one vectorised pass over all whole texts. A clean text is one without the marks of
+the toxic class: features that mark clean rows get no weight.
 
 The labels say toxic or not. Grades are drawn from them in the sample: rows
 labelled clean are grade 0; the words that mark the toxic class (a high log odds
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.idfilter import key_bitmap, with_membership
 from loomgraph.llm.lexing import hash_spans, mix, owners, slabs
+from loomgraph.storage import Scratch, materialise
 
 GRADES = 3
 
@@ -55,12 +58,8 @@ def _features(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
         starts, ends = slab.word_spans(plain=True)
         begins = np.searchsorted(starts, slab.offsets)
         text = owners(begins, len(starts))
-        rows, found = [text], [hash_spans(slab.data, starts, ends)]
-        for k in BEGINNINGS:
-            long = ends - starts > k
-            rows.append(text[long])
-            found.append(hash_spans(slab.data, starts[long], starts[long] + k) + np.uint64(k))
-        yield slab.first, len(begins) - 1, np.concatenate(rows), np.concatenate(found)
+        rows = [text, *(text[ends - starts > k] for k in BEGINNINGS)]
+        yield slab.first, len(begins) - 1, np.concatenate(rows), np.concatenate(hash_spans(slab.data, starts, ends, BEGINNINGS))
 
 
 def _once(rows: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,61 +78,59 @@ def _grade(dose: np.ndarray, toxic: np.ndarray) -> np.ndarray:
 
 #: Features are worth a weight when their log odds of presence in toxic rows are over this.
 LEAST_ODDS = 1.2
-_BUCKET_BITS = 22
-
-
-def _bucket(words: np.ndarray) -> np.ndarray:
-    return (mix(words) >> np.uint64(64 - _BUCKET_BITS)).astype(np.int64)
+FOLDS = 3
 
 
 def _log_odds(in_toxic: np.ndarray, in_clean: np.ndarray, toxic: int, clean: int) -> np.ndarray:
     return np.log((in_toxic + 0.5) / (toxic + 1)) - np.log((in_clean + 0.5) / (clean + 1))
 
 
-def fit_severity(texts: list[str | None], toxic: list[int], *, min_rows: int = 4, l1: float = 0.0004, steps: int = 400) -> SeverityModel:
-    """Fit on labelled texts; a sample without both classes gives a model that calls nothing toxic."""
-    column, n = pa.array(texts, pa.string()), len(texts)
-    y = np.asarray(toxic, dtype=int).astype(bool)
-    # Rows with the same words count once: copies would pass for evidence.
-    sums = np.zeros(n, dtype=np.uint64)
-    for first, size, slab_rows, slab_words in _features(column):
-        order = np.argsort(slab_rows, kind="stable")
-        begins = np.searchsorted(slab_rows[order], np.arange(size + 1))
-        total = np.concatenate([[np.uint64(0)], np.cumsum(mix(slab_words[order]))])
+def _single(column: pa.Array) -> np.ndarray:
+    """Rows that are the first with their words: copies would pass for evidence."""
+    sums = np.zeros(len(column), dtype=np.uint64)
+    for first, size, rows, words in _features(column):
+        order = np.argsort(rows, kind="stable")
+        begins = np.searchsorted(rows[order], np.arange(size + 1))
+        total = np.concatenate([[np.uint64(0)], np.cumsum(mix(words[order]))])
         sums[first : first + size] = total[begins[1:]] - total[begins[:-1]]
-    _, single = np.unique(sums, return_index=True)
-    chosen = np.zeros(n, dtype=bool)
-    chosen[single] = True
-    if not (y & chosen).any() or not (~y & chosen).any():
-        return SeverityModel(np.empty(0, dtype=np.uint64), np.empty(0), np.full(GRADES, 40.0))
-    # Presence is counted in hash buckets first, so that only promising features are ever held.
-    buckets = np.zeros((2, 1 << _BUCKET_BITS), dtype=np.int32)
-    for first, _, slab_rows, slab_words in _features(column):
-        slab_rows, slab_words = _once(slab_rows, slab_words)
-        for k in (False, True):
-            use = chosen[first + slab_rows] & (y[first + slab_rows] == k)
-            buckets[int(k)] += np.bincount(_bucket(slab_words[use]), minlength=1 << _BUCKET_BITS).astype(np.int32)
-    clean, bad = (~y & chosen).sum(), (y & chosen).sum()
-    near = (buckets.sum(axis=0) >= min_rows) & (_log_odds(buckets[1], buckets[0], bad, clean) > LEAST_ODDS)
-    rows, words = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.uint64)]
-    for first, _, slab_rows, slab_words in _features(column):
-        use = near[_bucket(slab_words)] & chosen[first + slab_rows]
-        slab_rows, slab_words = _once(slab_rows[use], slab_words[use])
-        rows.append(first + slab_rows)
-        words.append(slab_words)
-    rows, words = np.cumsum(chosen)[np.concatenate(rows)] - 1, np.concatenate(words)
-    y = y[chosen]
-    names, cols = np.unique(words, return_inverse=True)
-    df = np.bincount(cols)
-    in_toxic = np.bincount(cols, weights=y[rows])
-    odds = _log_odds(in_toxic, df - in_toxic, y.sum(), (~y).sum())
-    use = (df >= min_rows) & (odds > LEAST_ODDS)
-    dose = np.bincount(rows, weights=((df >= min_rows) & (odds > 2.0))[cols], minlength=len(y))
-    grade = _grade(dose, y)
-    keep = use[cols]
-    rows, cols = rows[keep], (np.cumsum(use) - 1)[cols[keep]] if len(use) else cols
-    names = names[use]
-    n, m = len(y), len(names)
+    chosen = np.zeros(len(column), dtype=bool)
+    chosen[np.unique(sums, return_index=True)[1]] = True
+    return chosen
+
+
+def _counted(names: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    known, at = np.unique(np.concatenate([np.empty(0, dtype=np.uint64), *names]), return_inverse=True)
+    return known, np.bincount(at, weights=np.concatenate([np.empty(0), *times]), minlength=len(known))
+
+
+def _toxic_features(column: pa.Array, rows_in: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted features of the toxic rows, and in how many of them each is."""
+    names, times, held = [], [], 0
+    for first, _, rows, words in _features(column):
+        use = rows_in[first + rows]
+        found, n = np.unique(_once(rows[use], words[use])[1], return_counts=True)
+        names.append(found)
+        times.append(n)
+        held += len(found)
+        if held > 1 << 21:
+            merged = _counted(names, times)
+            names, times, held = [merged[0]], [merged[1]], 0
+    return _counted(names, times)
+
+
+def _matches(column: pa.Array, names: np.ndarray, rows_in: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``(row, place in names)`` of each distinct feature of the chosen rows, slab by slab."""
+    for first, _, rows, words in _features(column):
+        use = rows_in[first + rows]
+        rows, words = _once(rows[use], words[use])
+        at = np.minimum(np.searchsorted(names, words), max(0, len(names) - 1))
+        hit = names[at] == words if len(names) else np.zeros(len(words), dtype=bool)
+        yield first + rows[hit], at[hit]
+
+
+def _descend(rows: np.ndarray, cols: np.ndarray, grade: np.ndarray, m: int, l1: float, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of ``m`` features and ordered thresholds: accelerated proximal gradient steps on the cumulative-link likelihood."""
+    n = len(grade)
     target = (grade[:, None] > np.arange(GRADES)[None, :]).astype(float)
     w, t = np.zeros(m), np.linspace(1.0, 3.0, GRADES)
     vw, vt, momentum = w.copy(), t.copy(), 1.0
@@ -150,49 +147,134 @@ def fit_severity(texts: list[str | None], toxic: list[int], *, min_rows: int = 4
         pull = (momentum - 1) / following
         vw, vt = new_w + pull * (new_w - w), new_t + pull * (new_t - t)
         w, t, momentum = new_w, new_t, following
-    on = w != 0
-    # The penalty pulls chances towards the common class; the cut is set where the sample
-    # has the least errors, a clean row rejected counting as three, midway between rows.
-    chance = 1 / (1 + np.exp(-np.clip(np.bincount(rows, weights=w[cols], minlength=n) - t[0], -40, 40)))
-    order = np.argsort(chance)
+    return w, t
+
+
+def _chance(rows: np.ndarray, cols: np.ndarray, w: np.ndarray, t: np.ndarray, n: int) -> np.ndarray:
+    """``P(severity > 0)`` of each row."""
+    return 1 / (1 + np.exp(-np.clip(np.bincount(rows, weights=w[cols], minlength=n) - t[0], -40, 40)))
+
+
+def fit_severity(texts: pa.Array | list[str | None], toxic: list[int], *, min_rows: int = 4, l1: float = 0.0004, steps: int = 400) -> SeverityModel:
+    """Fit on labelled texts; a sample without both classes gives a model that calls nothing toxic.
+
+    Features come from toxic rows, which they are to mark, and are counted exactly in
+    both classes. The cut is set where rows, each scored by a model that has not seen
+    it, are told apart with the least errors.
+    """
+    column = texts if isinstance(texts, (pa.Array, pa.ChunkedArray)) else pa.array(texts, pa.string())
+    y = np.asarray(toxic, dtype=int).astype(bool)
+    chosen = _single(column)
+    if not (y & chosen).any() or not (~y & chosen).any():
+        return SeverityModel(np.empty(0, dtype=np.uint64), np.empty(0), np.full(GRADES, 40.0))
+    names, in_toxic = _toxic_features(column, chosen & y)
+    in_clean = np.zeros(len(names))
+    for _, at in _matches(column, names, chosen & ~y):
+        in_clean += np.bincount(at, minlength=len(names))
+    odds = _log_odds(in_toxic, in_clean, (chosen & y).sum(), (chosen & ~y).sum())
+    use = (in_toxic + in_clean >= min_rows) & (odds > LEAST_ODDS)
+    names, odds = names[use], odds[use]
+    found = list(_matches(column, names, chosen))
+    rows, cols = (np.concatenate([np.empty(0, dtype=np.int64), *(x[k] for x in found)]) for k in (0, 1))
+    rows, y = (np.cumsum(chosen) - 1)[rows], y[chosen]
+    n, m = len(y), len(names)
+    grade = _grade(np.bincount(rows, weights=(odds > 2.0)[cols], minlength=n), y)
+    w, t = _descend(rows, cols, grade, m, l1, steps)
+    # Each class is dealt to the folds in turn, so that every fold has both where it can.
+    fold = np.zeros(n, dtype=np.int64)
+    for part in (np.flatnonzero(y), np.flatnonzero(~y)):
+        fold[part] = np.arange(len(part)) % FOLDS
+    chance = np.zeros(n)
+    for k in range(FOLDS):
+        seen, place = fold != k, np.cumsum(fold != k) - 1
+        pick = seen[rows]
+        fw, ft = _descend(place[rows[pick]], cols[pick], grade[seen], m, l1, steps // 2) if y[seen].any() and not y[seen].all() else (w, t)
+        chance[~seen] = _chance(rows, cols, fw, ft, n)[~seen]
+    # A clean row rejected counts as three; the cut lies midway between two rows.
+    order = np.argsort(chance, kind="stable")
     ranked, clean_above = chance[order], (~y).sum() - np.cumsum(~y[order])
     errors = 3 * clean_above + np.cumsum(y[order])
     best = int(np.argmin(errors[:-1])) if n > 1 else 0
     cut = float(np.clip((ranked[best] + ranked[min(best + 1, n - 1)]) / 2, 0.05, 0.5))
+    on = w != 0
     return SeverityModel(names[on], w[on], t, cut)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", max_rows: int = 6000) -> tuple[list, list]:
-    """Texts and labels of at most ``max_rows`` labelled rows, chosen by a hash of the id."""
+def _fit(max_rows: int, max_bytes: int) -> Callable:
+    """The model of the one partition of the sample, as a row of bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, labels, held = [], [], 0
+        for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+            fits = int(np.searchsorted(held + np.cumsum(sizes, dtype=np.int64), max_bytes, side="right"))
+            fits = min(fits, max_rows - sum(map(len, texts)))
+            texts.append(batch.column("text").slice(0, fits))
+            labels += batch.column("label").slice(0, fits).to_pylist()
+            held += int(sizes[:fits].sum())
+            if fits < batch.num_rows:
+                break
+        m = fit_severity(pa.chunked_array(texts, pa.string()).combine_chunks(), labels)
+        parts = [pa.array([x.astype(kind).tobytes()], pa.binary()) for x, kind in ((m.words, np.uint64), (m.weights, np.float64), (m.thresholds, np.float64))]
+        yield pa.record_batch([*parts, pa.array([m.cut])], names=["words", "weights", "thresholds", "cut"])
+
+    return run
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", max_rows: int = 8000) -> DataFrame:
+    """``(place, id, text, label)`` of at most ``max_rows`` labelled rows, chosen and placed by a hash of the id.
+
+    An id that has several rows gives one, that of the least text; ids and labels that are null give none.
+    """
     known = labels.where(F.col(label_column).isNotNull() & F.col(id_column).isNotNull())
-    known = known.groupBy(F.col(id_column).alias("_id")).agg(F.max(label_column).cast("int").alias("_label"))
-    picked = known.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
-    texts = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text"))
-    near = with_membership(texts, ["_id"], key_bitmap(picked, ["_id"]), "__lg_maybe").where("__lg_maybe")
-    rows = near.join(picked, "_id").select("_id", "_text", "_label").toArrow().sort_by("_id")
-    return rows.column("_text").to_pylist(), rows.column("_label").to_pylist()
+    known = known.groupBy(F.col(id_column).alias("id")).agg(F.max(label_column).cast("int").alias("label"))
+    picked = known.select("id", "label", F.xxhash64("id").alias("place")).orderBy("place", "id").limit(max_rows)
+    picked = materialise(picked, "labelled")
+    texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    near = with_membership(texts, ["id"], key_bitmap(picked, ["id"]), "__lg_maybe").where("__lg_maybe")
+    return near.join(picked, "id").groupBy("place", "id", "label").agg(F.min("text").alias("text"))
+
+
+def fitted_severity(sample: DataFrame, *, max_rows: int = 8000, max_bytes: int = 1 << 26) -> SeverityModel:
+    """Fit in one task on the first ``max_rows`` rows and ``max_bytes`` bytes of the sample; only the weights reach the driver."""
+    inside = sample.repartition(1).sortWithinPartitions("place", "id").select("text", "label")
+    row = inside.mapInArrow(_fit(max_rows, max_bytes), "words binary, weights binary, thresholds binary, cut double").first()
+    if row is None:  # no partition at all
+        return fit_severity([], [])
+    return SeverityModel(*(np.frombuffer(row[k], dtype=kind) for k, kind in (("words", np.uint64), ("weights", np.float64), ("thresholds", np.float64))), row.cut)
+
+
+def _scores(m: SeverityModel, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expected severity, likeliest grade and ``P(severity > 0)`` of each text."""
+    maybe = np.zeros(1 << 16, dtype=bool)
+    maybe[m.words >> np.uint64(48)] = True
+    expected, grade, chance = [np.empty(0)], [np.empty(0, dtype=np.int64)], [np.empty(0)]
+    for _, n, rows, words in _features(texts):
+        near = maybe[words >> np.uint64(48)]
+        rows, words = _once(rows[near], words[near])
+        at = np.searchsorted(m.words, words)
+        hit = at < len(m.words)
+        hit[hit] = m.words[at[hit]] == words[hit]
+        over = m.over(np.bincount(rows[hit], weights=m.weights[at[hit]], minlength=n))
+        expected.append(over.sum(axis=1))
+        chance.append(over[:, 0])
+        each = np.column_stack([1 - over[:, 0], over[:, :-1] - over[:, 1:], over[:, -1]])
+        grade.append(each.argmax(axis=1))
+    return np.concatenate(expected), np.concatenate(grade), np.concatenate(chance)
+
+
+def _score(model: SeverityModel) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([batch.column("id"), *map(pa.array, _scores(model, batch.column("text")))], names=["id", "expected_severity", "severity", "p_toxic"])
+
+    return run
 
 
-def _score(model) -> Callable:
+def _civil(model: SeverityModel, text_column: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: SeverityModel = model.value
-        maybe = np.zeros(1 << 16, dtype=bool)
-        maybe[m.words >> np.uint64(48)] = True
         for batch in batches:
-            expected, grade, chance = [], [], []
-            for _, n, rows, words in _features(batch.column("text")):
-                near = maybe[words >> np.uint64(48)]
-                rows, words = _once(rows[near], words[near])
-                at = np.searchsorted(m.words, words)
-                hit = at < len(m.words)
-                hit[hit] = m.words[at[hit]] == words[hit]
-                over = m.over(np.bincount(rows[hit], weights=m.weights[at[hit]], minlength=n))
-                expected.append(over.sum(axis=1))
-                chance.append(over[:, 0])
-                each = np.column_stack([1 - over[:, 0], over[:, :-1] - over[:, 1:], over[:, -1]])
-                grade.append(each.argmax(axis=1))
-            columns = [pa.array(np.concatenate(x)) if x else pa.array([], kind) for x, kind in ((expected, pa.float64()), (grade, pa.int64()), (chance, pa.float64()))]
-            yield pa.record_batch([batch.column("id"), *columns], names=["id", "expected_severity", "severity", "p_toxic"])
+            yield batch.filter(pa.array(_scores(model, batch.column(text_column))[2] < model.cut))
 
     return run
 
@@ -205,14 +287,29 @@ def score_severity(docs: DataFrame, model: SeverityModel, id_column: str = "doc_
     the thresholds alone. Rows that repeat an id are scored one by one; a null id
     stays null. Other columns are ignored. An empty table gives an empty result.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_column].dataType.simpleString()
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    scored = rows.mapInArrow(_score(shared), f"id {kind}, expected_severity double, severity long, p_toxic double")
+    scored = rows.mapInArrow(_score(model), f"id {kind}, expected_severity double, severity long, p_toxic double")
     return scored.withColumn("toxic", F.col("p_toxic") >= model.cut).withColumn("kept", ~F.col("toxic")).withColumnRenamed("id", id_column)
 
 
-def severity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", *, label_column: str = "toxic", max_rows: int = 6000) -> DataFrame:
-    """Fit on the labelled part of ``docs`` (at most ``max_rows`` rows) and score all of it."""
-    texts, toxic = labelled_sample(docs, labels, id_column=id_column, text_column=text_column, label_column=label_column, max_rows=max_rows)
-    return score_severity(docs, fit_severity(texts, toxic), id_column, text_column)
+def severity(
+    docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", *, label_column: str = "toxic", max_rows: int = 8000, max_bytes: int = 1 << 26
+) -> DataFrame:
+    """Fit on the labelled part of ``docs``, at most ``max_rows`` rows and ``max_bytes`` of text, and score all of it."""
+    with Scratch(docs.sparkSession):
+        sample = labelled_sample(docs, labels, id_column=id_column, text_column=text_column, label_column=label_column, max_rows=max_rows)
+        model = fitted_severity(sample, max_rows=max_rows, max_bytes=max_bytes)
+    return score_severity(docs, model, id_column, text_column)
+
+
+def keep_civil(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", *, label_column: str = "toxic", max_rows: int = 8000, max_bytes: int = 1 << 26) -> DataFrame:
+    """``docs`` less the rows that ``severity`` calls toxic; all columns as they were.
+
+    Rows are judged one by one where they stand: no id is joined, so null and repeated
+    ids make no difference. A null or empty text stays.
+    """
+    with Scratch(docs.sparkSession):
+        sample = labelled_sample(docs, labels, id_column=id_column, text_column=text_column, label_column=label_column, max_rows=max_rows)
+        model = fitted_severity(sample, max_rows=max_rows, max_bytes=max_bytes)
+    return docs.mapInArrow(_civil(model, text_column), docs.schema)
