@@ -90,3 +90,13 @@ def release(spark: SparkSession) -> None:
     """Let the context cleaner drop shuffle files of finished jobs now, not when the driver next collects garbage."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def bounded_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Hand rows to Python in Arrow batches of at most ``size``, one row at least, unless the session has a bound of its own.
+
+    The default is 64 MB, of which a task holds several copies.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, size)
