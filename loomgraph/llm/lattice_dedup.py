@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.operators.components import connected_components
-from loomgraph.storage import Scratch, discard, materialise
+from loomgraph.storage import Scratch, bounded_batches, discard, materialise
 
 
 def roots() -> np.ndarray:
@@ -221,6 +221,7 @@ def lattice_near_dups(
         fields = "cell long, node long, ball long, s long, t long, filed boolean"
         return heads.select("node", "ball", "s", "t", "unit").mapInArrow(_filed(tables, blocks, seed, scale, probes), fields)
 
+    bounded_batches(vectors.sparkSession)
     rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).alias("vector"))
     with Scratch(vectors.sparkSession) as scratch:
         units = rows.mapInArrow(_units(seed), "id long, unit array<double>, s long, t long")

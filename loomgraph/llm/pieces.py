@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomgraph.llm.lexing import Slab, hash_spans, mix, slabs, spans_hash, _BYTES, _Powers
+from loomgraph.storage import bounded_batches
 
 SPACE = 32
 SLAB = 1 << 19
@@ -419,6 +420,7 @@ def encode_samples(docs: DataFrame, model_path: str, id_column: str = "doc_id",
     row directly after one of its id draws others. Rows without an id draw by their
     text. Other columns are ignored. An empty table gives an empty result.
     """
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_column].dataType.simpleString()
     key = F.when(F.col(id_column).isNull(), F.xxhash64(F.col(text_column))).otherwise(F.xxhash64(F.col(id_column)))
     rows = docs.select(F.col(id_column).alias("id"), key.alias("key"), F.col(text_column).alias("text"))

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.lexing import slabs
+from loomgraph.storage import bounded_batches
 
 KINDS = ("email", "ip", "card", "phone")
 _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -432,6 +433,7 @@ def scan_personal(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     by one; a null id stays null. Other columns are ignored. An empty table gives
     an empty result.
     """
+    bounded_batches(docs.sparkSession)
     model = train_tagger()
     kind = docs.schema[id_column].dataType.simpleString()
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.idfilter import NAMELESS, bits_for, key_bitmap, node, with_membership
 from loomgraph.llm.lexing import Slab, byte_values, mix, owners, rolling, slabs, sliding_argmin, spans_hash
-from loomgraph.storage import discard, materialise, release
+from loomgraph.storage import bounded_batches, discard, materialise, release
 
 PIECE = 1 << 19
 CHUNK = 1 << 14
@@ -314,6 +314,7 @@ def found_spans(compared: DataFrame, spec: Repeats, wanted: str = "true") -> Dat
 
 def numbered_texts(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """``(id, text)`` with ``node`` as the id."""
+    bounded_batches(docs.sparkSession)
     return docs.select(node(id_column, text_column).alias("id"), F.col(text_column).alias("text"))
 
 

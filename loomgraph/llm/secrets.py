@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.lexing import slabs
 from loomgraph.llm.pii import apart
+from loomgraph.storage import bounded_batches
 
 KINDS = ("assign", "access", "hex", "entropy")
 WINDOW = 20
@@ -166,6 +167,7 @@ def scan_secrets(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     empty and has no spans. Rows that repeat an id are scanned one by one; a null
     id stays null. Other columns are ignored. An empty table gives an empty result.
     """
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_column].dataType.simpleString()
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     schema = f"id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.idfilter import key_bitmap, with_membership
 from loomgraph.llm.lexing import hash_spans, mix, owners, slabs
-from loomgraph.storage import Scratch, materialise
+from loomgraph.storage import Scratch, bounded_batches, materialise
 
 GRADES = 3
 
@@ -237,6 +237,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc
 
 def fitted_severity(sample: DataFrame, *, max_rows: int = 8000, max_bytes: int = 1 << 26) -> SeverityModel:
     """Fit in one task on the first ``max_rows`` rows and ``max_bytes`` bytes of the sample; only the weights reach the driver."""
+    bounded_batches(sample.sparkSession)
     inside = sample.repartition(1).sortWithinPartitions("place", "id").select("text", "label")
     row = inside.mapInArrow(_fit(max_rows, max_bytes), "words binary, weights binary, thresholds binary, cut double").first()
     if row is None:  # no partition at all
