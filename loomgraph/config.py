@@ -9,7 +9,7 @@ SEEDS, HOPS, DECAY, GATE, ACTIVATED_LIMIT, FALLBACK_NODES = 5, 3, 0.7, 0.25, 50,
 PREREQ_THRESHOLD, MIN_COOCCURRENCE = 0.05, 2
 MERGE_SIMILARITY, MERGE_TOP_K = 0.90, 5
 REPLAY_CAPACITY, REPLAY_SAMPLE, SELF_TRAIN_CONFIDENCE = 2000, 64, 0.6
-CLAIM_BATCH, STUCK_MINUTES, MAX_ERROR_CHARS = 100, 10, 2000
+CLAIM_BATCH, STUCK_MINUTES, MAX_ERROR_CHARS, MAX_RETRIES = 100, 10, 2000, 5
 PREVIEW_CHARS, REPLAY_CHARS = 240, 1000
 MAX_TREE_DISTANCE, DISCONNECTED, MAX_SENTENCE_TOKENS = 4, 999, 200
 EMBEDDING_DIMENSIONS = 384
@@ -19,7 +19,10 @@ CATEGORIES = (
     "Personal", "Backend Development", "Frontend Development", "Networking", "Databases",
 )
 
-#: Event type to the tasks it starts.
+#: The state of a document after each task. Fixed values.
+DONE = {"ingest_document": "EXTRACTED", "chunk_document": "CHUNKED", "classify_chunks": "INDEXED"}
+
+#: Event type to the tasks it starts. Fixed values.
 ROUTES = {
     "document.uploaded": ("ingest_document",),
     "document.text_ready": ("chunk_document",),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pyarrow as pa
@@ -22,7 +23,7 @@ _CONTROL = r"[\x00-\x08\x0b-\x0c\x0e-\x1f\x7f-\x9f\x{200b}-\x{200f}\x{feff}]"
 @F.arrow_udf(StringType())
 def nfkc(s: pa.Array) -> pa.Array:
     """Unicode compatibility composition; no built-in function does it, and Arrow's leaves letters apart from their accents."""
-    return pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in s.to_pylist()], pa.string())
+    return pa.array([t if t is None or t.isascii() else unicodedata.normalize("NFKC", t) for t in s.to_pylist()], pa.string())
 
 
 def strip(s: Column) -> Column:
@@ -30,18 +31,24 @@ def strip(s: Column) -> Column:
     return F.regexp_replace(s, r"(?U)^\s+|\s+$", "")
 
 
-def normalise(s: Column) -> Column:
-    """NFKC; no control or zero-width characters; runs of blanks as one space and of newlines as two at most; stripped."""
-    s = F.regexp_replace(nfkc(s), _CONTROL, "")
+def _blanks(s: Column) -> Column:
     s = F.regexp_replace(s, r"(?U)[^\S\n]+", " ")
     return strip(F.regexp_replace(s, r"\n{3,}", "\n\n"))
 
 
+def normalise(s: Column) -> Column:
+    """NFKC; no control or zero-width characters; runs of blanks as one space and of newlines as two at most; stripped."""
+    return _blanks(F.regexp_replace(nfkc(s), _CONTROL, ""))
+
+
 def clean_text(s: Column) -> Column:
-    """Normalised, words hyphenated over a line end joined, lines that hold only a page number dropped. One pass."""
+    """Normalised, words hyphenated over a line end joined, lines that hold only a page number dropped. One pass.
+
+    What is joined and dropped are ASCII letters and digits, so the text stays composed and only blanks are seen to again.
+    """
     s = F.regexp_replace(normalise(s), r"(?U)(\b[A-Za-z]{2,})-\n([A-Za-z]{2,}\b)", "$1$2")
     s = F.regexp_replace(s, r"(?mU)^\s*\d{1,4}\s*$", "")
-    return normalise(F.regexp_replace(s, r"\n{3,}", "\n\n"))
+    return _blanks(s)
 
 
 def slug(name: Column) -> Column:
@@ -88,7 +95,16 @@ def hard_split(s: Column, limit: int) -> Column:
 
 
 def tokens(s: Column) -> Column:
-    return F.filter(F.split(F.lower(s), r"\s+"), lambda w: w != "")
+    """Lower-case words of the normalised text."""
+    return F.filter(F.split(F.lower(normalise(s)), r"(?U)\s+"), lambda w: w != "")
+
+
+_PLAIN_CONTROL = re.compile("[\x00-\x08\x0b-\x0c\x0e-\x1f\x7f-\x9f\u200b-\u200f\ufeff]")
+
+
+def plain_tokens(text: str) -> list[str]:
+    """``tokens`` of one text in Python, for functions over whole documents."""
+    return _PLAIN_CONTROL.sub("", text if text.isascii() else unicodedata.normalize("NFKC", text)).lower().split()
 
 
 def shingles(words: Column, k: int = 3) -> Column:
@@ -102,11 +118,15 @@ def shingles(words: Column, k: int = 3) -> Column:
     return F.coalesce(F.transform(F.array(words), lambda w: F.when(F.size(w) >= k, runs(w)).otherwise(none))[0], none)
 
 
+# What is taken out of Markdown, in this order, and what stays of it.
+MARKDOWN = (
+    (r"```[\s\S]*?```", ""), (r"`[^`]+`", ""), (r"(?dm)^#{1,6}\s+", ""), (r"!\[([^\]]*)\]\([^)]*\)", "$1"),
+    (r"\[([^\]]+)\]\([^)]*\)", "$1"), (r"\*{1,2}([^*]+)\*{1,2}", "$1"), (r"_{1,2}([^_]+)_{1,2}", "$1"),
+)
+
+
 def strip_markdown(s: Column) -> Column:
-    """Text of Markdown: code, headings, images, links and emphasis marks removed, in this order."""
-    for pattern, to in (
-        (r"```[\s\S]*?```", ""), (r"`[^`]+`", ""), (r"(?m)^#{1,6}\s+", ""), (r"!\[[^\]]*\]\([^)]*\)", ""),
-        (r"\[([^\]]+)\]\([^)]*\)", "$1"), (r"\*{1,3}([^*]+)\*{1,3}", "$1"), (r"_{1,3}([^_]+)_{1,3}", "$1"),
-    ):
+    """Text of Markdown without code, heading and emphasis marks; links and images leave their display text."""
+    for pattern, to in MARKDOWN:
         s = F.regexp_replace(s, pattern, to)
-    return strip(s)
+    return s

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.config import CHUNK_MAX_CHARS, CHUNK_MIN_CHARS, CHUNK_PERCENTILE
 from loomgraph.functions.text import clean_text, hard_split, pack, sentences, strip
-from loomgraph.functions.vector import Embedder, dot, embed, hashed_vectors
+from loomgraph.functions.vector import Embedder, dot, hashed_vectors
 
 
 def adjacent_distances(rows: DataFrame, doc: str, order: str, vector: str = "embedding") -> DataFrame:
@@ -29,6 +29,28 @@ def boundaries(rows: DataFrame, doc: str, order: str, percentile: float = CHUNK_
     return rows.withColumn("tau", tau).withColumn("grp", F.coalesce(F.sum(cut).over(before), F.lit(0)))
 
 
+def _sentence_groups(embedder: Embedder, percentile: float = CHUNK_PERCENTILE):
+    """Sentences of each document, grouped as ``boundaries`` groups rows, within one Arrow pass."""
+    kind = pa.list_(pa.struct([("s", pa.list_(pa.string()))]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            groups = []
+            for parts in batch.column(1).to_pylist():
+                # Vectors are made 512 sentences at a time, the last one again as the next first.
+                far = [np.empty(0)]
+                for lo in range(0, len(parts) - 1, 511):
+                    v = np.asarray(embedder(parts[lo : lo + 512]), dtype=np.float32).astype(np.float64)
+                    far.append(1 - np.einsum("ij,ij->i", v[:-1], v[1:]))
+                far = np.concatenate(far)
+                ends = np.flatnonzero(far > np.percentile(far, percentile * 100)) + 1 if len(far) else np.empty(0, dtype=int)
+                edges = [0, *ends.tolist(), len(parts)]
+                groups.append([{"s": parts[a:b]} for a, b in zip(edges, edges[1:], strict=False)])
+            yield pa.record_batch([batch.column(0), pa.array(groups, kind)], names=[batch.schema.names[0], "g"])
+
+    return run
+
+
 def chunk_documents(docs: DataFrame, doc: str, text: str, *, least: int = CHUNK_MIN_CHARS, most: int = CHUNK_MAX_CHARS, embedder: Embedder = hashed_vectors) -> DataFrame:
     """``(doc, chunk_index, text, char_count)`` of cleaned documents.
 
@@ -36,11 +58,9 @@ def chunk_documents(docs: DataFrame, doc: str, text: str, *, least: int = CHUNK_
     document's percentile. A group too short joins the chunk before it, one too long
     is packed from whole sentences; a text of one sentence is split between words.
     """
-    split = docs.select(doc, F.posexplode(sentences(clean_text(F.col(text)))).alias("pos", "sentence"))
-    marked = boundaries(adjacent_distances(embed(split, "sentence", embedder=embedder), doc, "pos"), doc, "pos")
-    groups = marked.groupBy(doc, "grp").agg(F.array_sort(F.collect_list(F.struct("pos", "sentence"))).alias("s"))
-    groups = groups.select(doc, "grp", F.transform("s", lambda x: x["sentence"]).alias("s"))
-    ordered = groups.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("grp", "s"))).alias("g"))
+    cut = docs.select(doc, sentences(clean_text(F.col(text))).alias("s")).where(F.size("s") > 0)
+    kind = docs.schema[doc].dataType.simpleString()
+    ordered = cut.mapInArrow(_sentence_groups(embedder), f"`{doc}` {kind}, g array<struct<s:array<string>>>")
 
     def step(done, group):
         whole = F.array_join(group["s"], " ")

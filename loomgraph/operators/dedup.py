@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.config import JACCARD_THRESHOLD, NUM_BANDS, NUM_PERMUTATIONS, SHINGLE_WORDS
-from loomgraph.functions.text import shingles, tokens
+from loomgraph.functions.text import plain_tokens
 from loomgraph.operators.components import connected_components
 from loomgraph.storage import materialise
 
@@ -25,23 +26,31 @@ def permutation(i: int) -> tuple[int, int]:
 def exact_groups(docs: DataFrame, id_column: str, digest: str) -> DataFrame:
     """``(id, representative, members)``; the least id of equal digests represents them."""
     groups = docs.groupBy(digest).agg(F.min(id_column).alias("representative"), F.count("*").alias("members"))
+    groups = materialise(groups, "groups")  # so that both sides of the join are shuffled for it and a hot digest can be split
     return docs.join(groups, digest).select(id_column, "representative", "members")
 
 
-def shingle_hash(s: Column) -> Column:
-    """31 bits of the md5 of a shingle, which any SQL engine can compute too."""
-    return F.pmod(F.conv(F.substring(F.md5(s), 1, 8), 16, 10).cast("long"), F.lit(PRIME))
-
-
-def _least_slots(permutations: int) -> Callable:
+def _least_slots(k: int, permutations: int) -> Callable:
     pairs = np.array([permutation(i) for i in range(permutations)], dtype=np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [((h.values.to_numpy()[:, None] * pairs[:, 0] + pairs[:, 1]) % PRIME).min(axis=0) for h in batch.column(1)]
+            ids, rows = [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                words = plain_tokens(text or "")
+                if len(words) < k:
+                    continue
+                found = {" ".join(words[j : j + k]) for j in range(len(words) - k + 1)}
+                # 31 bits of the md5 of each shingle, which any SQL engine can compute too.
+                heads = np.frombuffer(b"".join(md5(s.encode()).digest()[:4] for s in found), dtype=">u4").astype(np.int64) % PRIME
+                least = np.full(permutations, PRIME)
+                for lo in range(0, len(heads), 4096):
+                    least = np.minimum(least, ((heads[lo : lo + 4096, None] * pairs[:, 0] + pairs[:, 1]) % PRIME).min(axis=0))
+                ids.append(i)
+                rows.append(least)
             flat = pa.array(np.concatenate(rows)) if rows else pa.array([], pa.int64())
             starts = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * permutations)
-            yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(starts, flat)], names=[batch.schema.names[0], "signature"])
+            yield pa.record_batch([batch.column(0).take(pa.array(ids, pa.int64())), pa.ListArray.from_arrays(starts, flat)], names=[batch.schema.names[0], "signature"])
 
     return run
 
@@ -49,13 +58,11 @@ def _least_slots(permutations: int) -> Callable:
 def signatures(docs: DataFrame, id_column: str, text: str, k: int = SHINGLE_WORDS, permutations: int = NUM_PERMUTATIONS) -> DataFrame:
     """``(id, signature)`` of documents with at least ``k`` words: the least of each permuted hash.
 
-    Shingles are hashed in the JVM; the permutations of a document's hashes are one
-    matrix in numpy, which array functions would interpret slot by slot. No row is
-    multiplied by its shingles and nothing is shuffled.
+    One Arrow pass: words are cut and hashed as ``shingles`` has them, and the permutations
+    are a matrix in numpy. No row is multiplied by its shingles and nothing is shuffled.
     """
-    hashes = docs.select(F.col(id_column), F.transform(shingles(tokens(F.col(text)), k), shingle_hash).alias("h")).where(F.size("h") > 0)
     kind = docs.schema[id_column].dataType.simpleString()
-    return hashes.mapInArrow(_least_slots(permutations), f"`{id_column}` {kind}, signature array<bigint>")
+    return docs.select(id_column, text).mapInArrow(_least_slots(k, permutations), f"`{id_column}` {kind}, signature array<bigint>")
 
 
 def band_rows(signed: DataFrame, id_column: str, bands: int = NUM_BANDS) -> DataFrame:
@@ -88,14 +95,18 @@ def similar_pairs(signed: DataFrame, id_column: str, threshold: float = JACCARD_
 def duplicate_clusters(docs: DataFrame, id_column: str, text: str, digest: str, threshold: float = JACCARD_THRESHOLD) -> DataFrame:
     """``(id, representative, members, jaccard)`` of documents in clusters of two or more.
 
-    Equal texts collapse to one document before LSH, so a group of copies costs one
-    signature; clusters are the components of all verified pairs, and ``jaccard``
+    Equal texts collapse to one document before LSH and equal signatures to one row of
+    the bands, so a group of copies costs one signature; clusters are the components of all verified pairs, and ``jaccard``
     is each member's estimate to its representative.
     """
     groups = materialise(docs.groupBy(digest).agg(F.min(id_column).alias("head")), "groups")
     heads = docs.join(groups, F.col(id_column) == F.col("head"), "left_semi")
     signed = materialise(signatures(heads, id_column, text), "signatures")
-    pairs = materialise(similar_pairs(signed, id_column, threshold), "pairs")
+    # Equal signatures are one for the bands: a group of near copies is a link to its first each.
+    firsts = materialise(signed.groupBy("signature").agg(F.min(id_column).alias(id_column), F.count("*").alias("n")), "firsts")
+    alike = signed.join(firsts.where("n > 1").select("signature", F.col(id_column).alias("a")), "signature").select("a", F.col(id_column).alias("b")).where("a <> b")
+    pairs = similar_pairs(firsts.select(id_column, "signature"), id_column, threshold).select("a", "b")
+    pairs = materialise(pairs.union(alike), "pairs")
     parts = connected_components(pairs, "a", "b").select(F.col("node").alias("head"), "component")
     member = docs.select(id_column, digest).join(groups, digest).join(parts, "head", "left")
     member = member.select(id_column, "head", F.coalesce("component", "head").alias("representative"))
@@ -107,6 +118,24 @@ def duplicate_clusters(docs: DataFrame, id_column: str, text: str, digest: str,
     return rows.select(id_column, "representative", "members", jaccard.alias("jaccard"))
 
 
+def attach(clusters: DataFrame, links: DataFrame, id_column: str) -> DataFrame:
+    """``(id, representative, members)`` after new links ``(a, b)``: clusters ``(id, representative)`` grow, and join where a new document links two."""
+    known = clusters.select(F.col(id_column).alias("a"), F.col("representative").alias("b"))
+    parts = connected_components(links.select("a", "b").union(known), "a", "b")
+    sizes = materialise(parts.groupBy("component").agg(F.count("*").alias("members")), "sizes")
+    return parts.join(sizes, "component").select(F.col("node").alias(id_column), F.col("component").alias("representative"), "members")
+
+
+def links_to(new: DataFrame, known: DataFrame, id_column: str, threshold: float = JACCARD_THRESHOLD, bands: int = NUM_BANDS) -> DataFrame:
+    """Similar pairs ``(a, b)`` of signed documents with a ``new`` one in each; ``known`` ones are not compared with each other."""
+    signed = new.withColumn("__new", F.lit(True)).unionByName(known.withColumn("__new", F.lit(False)))
+    rows = band_rows(signed, id_column, bands).join(signed.select(id_column, "__new"), id_column)
+    x, y = rows.where("__new").select("band", "key", F.col(id_column).alias("a")), rows.select("band", "key", F.col(id_column).alias("b"), F.col("__new").alias("n"))
+    pairs = x.join(y, ["band", "key"]).where("a <> b and (not n or a < b)").select("a", "b").distinct()
+    left, right = (signed.select(F.col(id_column).alias(c), F.col("signature").alias(f"s{c}")) for c in ("a", "b"))
+    return pairs.join(left, "a").join(right, "b").where(estimate(F.col("sa"), F.col("sb")) >= threshold).select("a", "b")
+
+
 def duplicate_edges(clusters: DataFrame, id_column: str) -> DataFrame:
     """Edges from each member to its representative."""
     return clusters.where(F.col(id_column) != F.col("representative")).select(F.col(id_column).alias("src"), F.col("representative").alias("dst"), F.lit("DUPLICATE_OF").alias("type"))

@@ -7,6 +7,7 @@ their state between rounds and stop on a count; nothing but counts reaches the d
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgraph.config import DAMPING, MERGE_SIMILARITY, MERGE_TOP_K, MIN_COOCCURRENCE, PAGERANK_FALLBACK_ROUNDS, PAGERANK_ROUNDS, PREREQ_THRESHOLD
@@ -15,11 +16,27 @@ from loomgraph.operators.components import connected_components
 from loomgraph.storage import materialise
 
 
+#: Entities of one chunk that a task pairs with as many others; larger chunks are split.
+BLOCK = 1024
+
+
+def _blocks(rows: DataFrame, by: str, key: str, x: str, y: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` twice, with columns ``x`` and ``y`` of block numbers: joined on both, each pair of a group meets once.
+
+    A group of more than ``BLOCK`` rows is as many blocks, each sent to all of its group's, so a large group is many tasks.
+    """
+    sizes = rows.groupBy(by).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("__blocks")).where("__blocks > 1")
+    placed = rows.join(materialise(sizes, "sizes"), by, "left").withColumn("__blocks", F.coalesce("__blocks", F.lit(1)))
+    own, every = F.pmod(F.xxhash64(key), F.col("__blocks")).cast("int"), F.explode(F.expr("sequence(0, __blocks - 1)"))
+    return placed.withColumn(x, own).withColumn(y, every).drop("__blocks"), placed.withColumn(y, own).withColumn(x, every).drop("__blocks")
+
+
 def cooccurrence(mentions: DataFrame, chunk: str = "chunk", key: str = "key", least: int = 1) -> DataFrame:
     """``(src, dst, weight)``, ``src < dst``: in how many chunks two entities stand together."""
-    once = mentions.select(chunk, key).distinct()
-    x, y = once.select(chunk, F.col(key).alias("src")), once.select(chunk, F.col(key).alias("dst"))
-    pairs = x.join(y, chunk).where("src < dst").groupBy("src", "dst").agg(F.count("*").alias("weight"))
+    once = materialise(mentions.select(chunk, key).distinct(), "mentions")
+    x, y = _blocks(once, chunk, key, "__x", "__y")
+    on = [chunk, "__x", "__y"]
+    pairs = x.withColumnRenamed(key, "src").join(y.withColumnRenamed(key, "dst"), on).where("src < dst").groupBy("src", "dst").agg(F.count("*").alias("weight"))
     return pairs.where(F.col("weight") >= (least or MIN_COOCCURRENCE))
 
 
@@ -32,15 +49,20 @@ def both_ways(edges: DataFrame) -> DataFrame:
 def prerequisites(pairs: DataFrame, threshold: float = PREREQ_THRESHOLD, previous: DataFrame | None = None) -> DataFrame:
     """``(src, dst, refd)`` from co-mention pairs: src is a prerequisite of dst.
 
-    The reference distance of A and B is ``(|N(B)| - |N(A)|) / |N(A) union N(B)|``;
-    common neighbours are counted by one join of pairs with adjacency, no set built.
+    The reference distance of A and B is ``(|N(B)| - |N(A)|) / |N(A) union N(B)|``.
+    Common neighbours of a pair are the triangles over it. Each triangle is found once,
+    from its end of least degree, so a hub does not multiply its neighbours.
     """
-    near = both_ways(pairs.select("src", "dst")).distinct()
-    degree = near.groupBy("src").agg(F.count("*").alias("n"))
+    pairs = materialise(pairs.select("src", "dst").distinct(), "pairs")
+    degree = materialise(both_ways(pairs).groupBy("src").agg(F.count("*").alias("n")), "degrees")
     open_pairs = pairs.select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    x = near.select(F.col("src").alias("a"), F.col("dst").alias("c"))
-    y = near.select(F.col("src").alias("b"), F.col("dst").alias("c"))
-    common = open_pairs.join(x, "a").join(y, ["b", "c"]).groupBy("a", "b").agg(F.count("*").alias("common"))
+    ends = pairs.join(degree.withColumnRenamed("n", "ns"), "src").join(degree.select(F.col("src").alias("dst"), F.col("n").alias("nd")), "dst")
+    up = F.struct("ns", "src") < F.struct("nd", "dst")
+    rising = materialise(ends.select(F.when(up, F.col("src")).otherwise(F.col("dst")).alias("u"), F.when(up, F.col("dst")).otherwise(F.col("src")).alias("v")), "rising")
+    wedges = rising.alias("x").join(rising.alias("y"), "u").where("x.v < y.v").select("u", F.col("x.v").alias("a"), F.col("y.v").alias("b"))
+    triangles = wedges.join(open_pairs, ["a", "b"])
+    sides = F.explode(F.array(*[F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")) for x, y in (("a", "b"), ("u", "a"), ("u", "b"))]))
+    common = triangles.select(sides.alias("s")).groupBy("s.a", "s.b").agg(F.count("*").alias("common"))
     na, nb = degree.select(F.col("src").alias("a"), F.col("n").alias("na")), degree.select(F.col("src").alias("b"), F.col("n").alias("nb"))
     sized = open_pairs.join(common, ["a", "b"], "left").join(na, "a").join(nb, "b")
     refd = (F.col("nb") - F.col("na")) / (F.col("na") + F.col("nb") - F.coalesce("common", F.lit(0)))
@@ -79,7 +101,7 @@ def top_similar(nodes: DataFrame, threshold: float = MERGE_SIMILARITY, k: int =
     """``(key, other, similarity)``: of each node the ``k`` most similar of its label at or over the threshold.
 
     Nodes of a label meet in blocks: a node is sent to as many blocks as its label
-    has, so a large label is many tasks; the ``k`` best are kept by a bounded heap.
+    has, so a large label is many tasks; the ``k`` best of each are cut before the shuffle.
     """
     vectors = nodes.where(F.col("embedding").isNotNull()).select("key", "label", unit(F.col("embedding")).alias("v"))
     vectors = materialise(vectors, "vectors")
@@ -90,8 +112,8 @@ def top_similar(nodes: DataFrame, threshold: float = MERGE_SIMILARITY, k: int =
     x = left.select("label", "block", "with", "key", "v")
     y = right.select("label", "block", "with", F.col("key").alias("other"), F.col("v").alias("w"))
     pairs = x.join(y, ["label", "block", "with"]).where("key <> other").select("key", "other", dot(F.col("v"), F.col("w")).alias("similarity"))
-    best = pairs.where(F.col("similarity") >= threshold).groupBy("key").agg(F.expr(f"slice(array_sort(collect_list(struct(-similarity as s, other as o))), 1, {k})").alias("best"))
-    return best.select("key", F.explode("best").alias("b")).select("key", F.col("b.o").alias("other"), (-F.col("b.s")).alias("similarity"))
+    rank = F.row_number().over(W.partitionBy("key").orderBy(F.desc("similarity"), "other"))
+    return pairs.where(F.col("similarity") >= threshold).withColumn("__rank", rank).where(F.col("__rank") <= k).drop("__rank")
 
 
 def embedding_canonical(nodes: DataFrame, threshold: float = MERGE_SIMILARITY, k: int = MERGE_TOP_K) -> DataFrame:
@@ -117,8 +139,9 @@ def pagerank(edges: DataFrame, rounds: int = PAGERANK_ROUNDS, damping: float = D
     links = materialise(edges.join(out, "src"), "links")
     rank = nodes.withColumn("pagerank", F.lit(1.0))
     for i in range(rounds):
-        sent = links.join(rank.withColumnRenamed("key", "src"), "src").groupBy(F.col("dst").alias("key")).agg(F.sum(F.col("pagerank") / F.col("degree")).alias("got"))
-        rank = nodes.join(sent, "key", "left").select("key", (1 - damping + damping * F.coalesce("got", F.lit(0.0))).alias("pagerank"))
+        sent = links.join(rank.withColumnRenamed("key", "src"), "src").select(F.col("dst").alias("key"), (F.col("pagerank") / F.col("degree")).alias("got"))
+        # Every node gets at least nothing, so no join brings the nodes back.
+        rank = sent.unionByName(nodes.withColumn("got", F.lit(0.0))).groupBy("key").agg((1 - damping + damping * F.sum("got")).alias("pagerank"))
         if i % 5 == 4:
             rank = materialise(rank, "rank")
     return rank
@@ -148,7 +171,7 @@ def pagerank_weighted(edges: DataFrame, rounds: int = PAGERANK_FALLBACK_ROUNDS,
     return rank
 
 
-def closure(edges: DataFrame, start: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def closure(edges: DataFrame, start: DataFrame, max_rounds: int = 100_000) -> DataFrame:
     """``(key)``: all that leads to ``start(key)`` along edges, the start included; any graph, cycles too."""
     seen = materialise(start.select("key").distinct(), "seen")
     frontier = seen
@@ -156,12 +179,12 @@ def closure(edges: DataFrame, start: DataFrame, max_rounds: int = 1000) -> DataF
         found = edges.join(frontier.withColumnRenamed("key", "dst"), "dst", "left_semi").select(F.col("src").alias("key")).distinct()
         frontier = materialise(found.join(seen, "key", "left_anti"), "frontier")
         if frontier.isEmpty():
-            break
+            return seen
         seen = materialise(seen.union(frontier), "seen")
-    return seen
+    raise RuntimeError(f"the closure goes on after {max_rounds} rounds")
 
 
-def learning_path(edges: DataFrame, target, max_rounds: int = 1000) -> DataFrame:
+def learning_path(edges: DataFrame, target, max_rounds: int = 100_000) -> DataFrame:
     """``(key, level, has_cycle)`` of everything the target needs, in order of (level, key).
 
     Nodes peel off in rounds once all their prerequisites have; ``level`` is the
@@ -179,8 +202,10 @@ def learning_path(edges: DataFrame, target, max_rounds: int = 1000) -> DataFrame
         free = materialise(left.join(blocked, "key", "left_anti").withColumn("level", F.lit(level)), "free")
         if free.isEmpty():
             break
-        done = free if done is None else done.union(free)
+        done = free if done is None else materialise(done.union(free), "done")
         left = materialise(left.join(free, "key", "left_anti"), "left")
+    else:
+        raise RuntimeError(f"the path goes on after {max_rounds} rounds")
     rest = left.withColumn("level", F.lit(None).cast("int"))
     cyclic = not left.isEmpty()
     result = rest if done is None else done.union(rest)
@@ -202,7 +227,8 @@ def paths(edges: DataFrame, start: DataFrame, hops: int, carry: Column | None =
     ``carry`` is each edge's factor, multiplied along the path.
     """
     factor = (carry if carry is not None else F.lit(1.0)).cast("double")
-    numbered = edges.select("src", "dst", factor.alias("factor"), F.xxhash64("src", "dst").alias("edge"))
+    name = [c for c in ("src", "dst", "type") if c in edges.columns]  # edges of different types between two nodes are two
+    numbered = edges.select("src", "dst", factor.alias("factor"), F.xxhash64(*name).alias("edge"))
     steps = materialise(both_ways(numbered), "steps")
     level = start.select(F.col("key").alias("seed"), "key", F.array().cast("array<bigint>").alias("trail"), F.lit(1.0).alias("product"))
     found = None
@@ -228,6 +254,31 @@ def neighbours(edges: DataFrame, centre, depth: int = 1, limit: int = 50) -> Dat
     return seen.where("hops > 0").orderBy("hops", "key").limit(limit)
 
 
+def neighbourhood(nodes: DataFrame, edges: DataFrame, centre, depth: int = 1, limit: int = 50) -> DataFrame:
+    """``(key, label, name, pagerank, relationship_type, relationship_weight, hops)`` of what paths from the centre end in.
+
+    Paths have up to ``depth`` edges, either way, none twice; type and weight, 1 where
+    there is none, are the last edge's. Documents and chunks are not listed, though paths
+    go through them. A node without a label is a Concept and one without a name has its
+    key. Nearest first, at most ``limit`` rows; none for a centre that is not there.
+    """
+    spark = edges.sparkSession
+    numbered = edges.select("src", "dst", "type", F.coalesce(F.col("weight").cast("double"), F.lit(1.0)).alias("weight"), F.xxhash64("src", "dst", "type").alias("edge"))
+    steps = materialise(both_ways(numbered), "steps")
+    start = spark.createDataFrame([(centre,)], f"key {edges.schema['src'].dataType.simpleString()}").join(nodes.select("key"), "key", "left_semi")
+    level, found = start.withColumn("trail", F.array().cast("array<bigint>")), None
+    for hop in range(1, depth + 1):
+        level = level.join(steps.withColumnRenamed("src", "key"), "key").where(~F.array_contains("trail", F.col("edge")))
+        level = materialise(level.select(F.col("dst").alias("key"), F.array_append("trail", F.col("edge")).alias("trail"), "type", "weight"), "level")
+        now = level.select("key", F.col("type").alias("relationship_type"), F.col("weight").alias("relationship_weight"), F.lit(hop).alias("hops"))
+        found = now if found is None else found.union(now)
+        level = level.select("key", "trail")
+    found = found.groupBy("key", "relationship_type", "relationship_weight").agg(F.min("hops").alias("hops"))
+    named = nodes.select("key", F.coalesce("label", F.lit("Concept")).alias("label"), F.coalesce("name", F.col("key").cast("string")).alias("name"), "pagerank")
+    rows = found.join(named.where(~F.col("label").isin("Document", "Chunk")), "key").orderBy("hops", "key", "relationship_type").limit(limit)
+    return rows.select("key", "label", "name", "pagerank", "relationship_type", "relationship_weight", "hops").orderBy("hops", "key", "relationship_type")
+
+
 def on_cycles(edges: DataFrame) -> DataFrame:
     """The edges that lie on a cycle: those with both ends in one strongly connected component.
 

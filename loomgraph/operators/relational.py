@@ -21,6 +21,11 @@ def list_documents(docs: DataFrame, user_id, *, status: str | None = None, categ
     return found.crossJoin(F.broadcast(total))  # the total is one row
 
 
+def get_document(docs: DataFrame, user_id, document_id) -> DataFrame:
+    """The one row of a user's document; none for what another owns."""
+    return docs.where((F.col("user_id") == F.lit(user_id)) & (F.col("id") == F.lit(document_id)))
+
+
 def status_counts(events: DataFrame) -> DataFrame:
     """Number of queue events by status but the completed; 0 where there is none."""
     wanted = [s for s in OUTBOX_STATUS if s != "COMPLETED"]

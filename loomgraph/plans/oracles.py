@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgraph.functions.text import ABBREVIATIONS
+from loomgraph.functions.text import ABBREVIATIONS, MARKDOWN
 from loomgraph.operators.dedup import PRIME, permutation
 
 # Building blocks: the fixture tables in the engine's roles.
@@ -57,8 +57,9 @@ def _pagerank_weighted(rounds: int) -> str:
 _STARTS = "starts AS (SELECT DISTINCT src AS key FROM pairs ORDER BY key LIMIT 5)"
 _WALKS = """
 und AS (SELECT src, dst, weight, src * 1000000 + dst AS edge FROM pairs UNION ALL SELECT dst, src, weight, src * 1000000 + dst FROM pairs),
-p1 AS (SELECT s.key AS seed, u.dst AS key, u.edge, 0.7 * u.weight AS product FROM starts s JOIN und u ON u.src = s.key),
-p2 AS (SELECT p1.seed, u.dst AS key, p1.product * 0.7 * u.weight AS product FROM p1 JOIN und u ON u.src = p1.key AND u.edge <> p1.edge)"""
+p1 AS (SELECT s.key AS seed, u.dst AS key, u.edge, 0.7::DOUBLE * u.weight AS product FROM starts s JOIN und u ON u.src = s.key),
+p2 AS (SELECT p1.seed, u.dst AS key, p1.edge AS e1, u.edge AS e2, p1.product * 0.7::DOUBLE * u.weight AS product FROM p1 JOIN und u ON u.src = p1.key AND u.edge <> p1.edge),
+p3 AS (SELECT p2.seed, u.dst AS key, p2.product * 0.7::DOUBLE * u.weight AS product FROM p2 JOIN und u ON u.src = p2.key AND u.edge <> p2.e1 AND u.edge <> p2.e2)"""
 
 _TOKENS = "regexp_extract_all(lower(text), '[^ \\t\\n\\r\\f\\x0b]+')"
 _HASHED = f"""
@@ -102,21 +103,42 @@ _NATIONS = """
 hops AS (SELECT n_nationkey AS src, (n_nationkey * 7 + 3) % 25 AS dst, ((n_nationkey * 7 + 3) % 11) / 10.0::DOUBLE AS refd, 0 AS o FROM nation
          UNION ALL SELECT n_nationkey, (n_nationkey * 3 + 11) % 25, ((n_nationkey * 7 + 11) % 11) / 10.0::DOUBLE, 1 FROM nation)"""
 
+# Simple cycles from their least node: ways over greater nodes that come back to it, with the weakest edge on the way.
+_CYCLES = _NATIONS + """,
+e AS MATERIALIZED (SELECT src, dst, arg_min(refd, o) AS refd FROM hops WHERE src <> dst GROUP BY 1, 2),
+w AS (SELECT [src] AS way, dst AS tip, {'refd': refd, 'src': src, 'dst': dst} AS weak FROM e WHERE dst > src
+      UNION ALL SELECT list_append(way, tip), e.dst, least(weak, {'refd': e.refd, 'src': e.src, 'dst': e.dst}) FROM w JOIN e ON e.src = w.tip
+      WHERE w.tip <> way[1] AND e.dst >= way[1] AND (e.dst = way[1] OR NOT list_contains(way, e.dst))),
+closed AS (SELECT way, weak FROM w WHERE tip = way[1])"""
+_MARKDOWN = "x"
+for _pattern, _to in MARKDOWN:
+    _MARKDOWN = "regexp_replace({}, '{}', '{}', 'g')".format(_MARKDOWN, _pattern.replace("(?dm)", "(?m)"), _to.replace("$", chr(92)))
+_TYPED = """
+typed AS (SELECT src, dst, 'CO_OCCURS_WITH' AS type, weight::DOUBLE AS weight FROM pairs UNION ALL SELECT src, dst, 'PREREQUISITE_OF', 1.0::DOUBLE FROM prereq),
+und AS (SELECT *, concat_ws(':', src, dst, type) AS edge FROM typed UNION ALL SELECT dst, src, type, weight, concat_ws(':', src, dst, type) FROM typed)"""
+_SEARCHED = f"""
+sig AS MATERIALIZED (SELECT key, {_COS.format(a='embedding', b='q.e')} AS sigma FROM nodes, q WHERE embedding IS NOT NULL),
+sd AS MATERIALIZED (SELECT key FROM sig ORDER BY sigma DESC, key DESC LIMIT 5),
+w1 AS (SELECT u.dst AS key, u.edge AS e1, 0.7::DOUBLE * u.weight AS product FROM sd JOIN und u ON u.src = sd.key),
+w2 AS (SELECT u.dst AS key, w1.product * 0.7::DOUBLE * u.weight AS product FROM w1 JOIN und u ON u.src = w1.key AND u.edge <> w1.e1),
+allways AS (SELECT key, product FROM w1 UNION ALL SELECT key, product FROM w2),
+found AS MATERIALIZED (SELECT key, sum(product * sigma) AS activation FROM allways JOIN sig USING (key) WHERE sigma >= 0.25 GROUP BY key ORDER BY 2 DESC, key LIMIT 50)"""
+
 ORACLES: dict[str, str] = {
     "semantic_search": f"WITH {_QUERY} SELECT v.vec_id AS chunk_id, v.vec_id AS document_id, coalesce(d.text[1:40], 'Unknown') AS document_title, "
-    f"round(greatest(0, least(1, {_COS.format(a='v.embedding', b='q.e')})), 6) AS score, v.label AS category "
+    f"round(greatest(0, least(1, {_COS.format(a='v.embedding', b='q.e')})), 6) AS score, coalesce(d.text[1:240], '') AS preview, v.label AS category "
     "FROM embeddings v, q LEFT JOIN documents d ON d.doc_id = v.vec_id WHERE v.vec_id <> 0 AND v.vec_id % 20 = 0 ORDER BY "
     f"greatest(0, least(1, {_COS.format(a='v.embedding', b='q.e')})) DESC, v.vec_id LIMIT 10",
     "semantic_search_in_category": f"WITH {_QUERY} SELECT v.vec_id AS chunk_id, v.vec_id AS document_id, coalesce(d.text[1:40], 'Unknown') AS document_title, "
-    f"round(greatest(0, least(1, {_COS.format(a='v.embedding', b='q.e')})), 6) AS score, v.label AS category "
-    "FROM embeddings v, q LEFT JOIN documents d ON d.doc_id = v.vec_id WHERE v.vec_id <> 0 AND v.label = 3 ORDER BY "
+    f"round(greatest(0, least(1, {_COS.format(a='v.embedding', b='q.e')})), 6) AS score, coalesce(d.text[1:240], '') AS preview, v.label AS category "
+    "FROM embeddings v, q LEFT JOIN documents d ON d.doc_id = v.vec_id WHERE v.vec_id <> 0 AND v.vec_id % 20 = 0 AND v.label = 5 ORDER BY "
     f"greatest(0, least(1, {_COS.format(a='v.embedding', b='q.e')})) DESC, v.vec_id LIMIT 5",
     "document_page": "SELECT doc_id AS id, source AS user_id, lang AS category, text[1:40] AS title, (SELECT count(*) FROM documents WHERE source = 'src3' AND lang = 'en') AS total "
     "FROM documents WHERE source = 'src3' AND lang = 'en' ORDER BY doc_id DESC OFFSET 10 LIMIT 10",
     "outbox_summary": f"WITH {_OUTBOX} SELECT s AS status, count(id) AS n FROM (SELECT unnest(['PENDING', 'PROCESSING', 'FAILED']) AS s) LEFT JOIN ob ON status = s GROUP BY s",
     "exact_duplicates": "SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS representative, count(*) OVER (PARTITION BY text) AS members FROM documents",
-    "minhash_signatures": f"WITH {_HASHED.format(source='documents')}, sig AS (SELECT doc_id, {_slots(16)} FROM hs GROUP BY doc_id) "
-    f"SELECT doc_id, concat_ws(',', {', '.join(f's{i}' for i in range(16))}) AS signature FROM sig",
+    "minhash_signatures": f"WITH {_HASHED.format(source='documents')}, sig AS (SELECT doc_id, {_slots(128)} FROM hs GROUP BY doc_id) "
+    f"SELECT doc_id, concat_ws(',', {', '.join(f's{i}' for i in range(128))}) AS signature FROM sig",
     "lsh_pairs": None,
     "duplicate_clusters": _CLUSTERS + " SELECT * FROM clus",
     "duplicate_edges": _CLUSTERS + " SELECT doc_id AS src, representative AS dst, 'DUPLICATE_OF' AS type FROM clus WHERE doc_id <> representative",
@@ -144,8 +166,9 @@ ORACLES: dict[str, str] = {
     "concept_neighbourhoods": f"WITH {_PAIRS} SELECT src AS key, count(*) AS neighbours, min(dst) AS first, max(dst) AS last FROM near GROUP BY 1",
     "prerequisite_edges": f"WITH {_PREREQ} SELECT src, dst, round(refd, 6) AS refd FROM prereq",
     "orphan_entities": f"WITH {_PAIRS} SELECT p_partkey AS key FROM part WHERE p_partkey NOT IN (SELECT src FROM near)",
-    "alias_merges": "WITH n AS (SELECT 'n' || p_partkey AS key, 'concept:' || trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', '_', 'g'), '_') AS to_, "
-    "count(*) OVER (PARTITION BY p_brand) AS n FROM part) SELECT key, to_ AS \"to\" FROM n WHERE n > 1",
+    "alias_merges": "WITH a AS (SELECT 'n' || p_partkey AS key, coalesce(['k8s', 'kubernetes', 'kube', 'js', 'javascript', 'rust', 'postgres', 'pg', 'sklearn', NULL][(p_partkey % 10 + 1)::INT], trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', '_', 'g'), '_')) AS slug FROM part), "
+    "n AS (SELECT key, 'technology:' || CASE WHEN slug IN ('k8s', 'kube') THEN 'kubernetes' WHEN slug = 'js' THEN 'javascript' WHEN slug IN ('postgres', 'pg') THEN 'postgresql' WHEN slug = 'sklearn' THEN 'scikit_learn' ELSE slug END AS to_ FROM a) "
+    "SELECT key, to_ AS \"to\" FROM n QUALIFY count(*) OVER (PARTITION BY to_) > 1",
     "similar_entities": "WITH s AS (SELECT a.vec_id AS key, b.vec_id AS other, " + _COS.format(a="a.embedding", b="b.embedding") + " AS similarity "
     "FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY similarity DESC, other) AS rn FROM s WHERE similarity >= 0.25) "
     "SELECT key, other, round(similarity, 6) AS similarity FROM r WHERE rn <= 5",
@@ -159,8 +182,8 @@ ORACLES: dict[str, str] = {
     "pagerank": f"WITH {_PAIRS}, {_pagerank(20)} SELECT key, round(pr, 6) AS pagerank FROM r20",
     "central_concepts": f"WITH {_PAIRS}, {_pagerank(20)} SELECT key, round(pr, 6) AS pagerank FROM r20 ORDER BY 2 DESC, 1 LIMIT 20",
     "pagerank_weighted": f"WITH {_PAIRS}, {_pagerank_weighted(40)} SELECT key, round(pr, 7) AS pagerank FROM w40",
-    "learning_gaps": f"WITH {_PREREQ.replace('deg AS (', 'deg_ AS (').replace('JOIN deg ', 'JOIN deg_ ')}, {_pagerank(3)}, st AS (SELECT DISTINCT m.key FROM m JOIN orders ON o_orderkey = chunk WHERE o_custkey % 100 = 7) "
-    "SELECT src AS concept_key, count(DISTINCT dst) AS dependents, coalesce(round(max(pr), 6), 0.0) AS pagerank FROM prereq LEFT JOIN r3 ON r3.key = src "
+    "learning_gaps": f"WITH {_PREREQ.replace('deg AS (', 'deg_ AS (').replace('JOIN deg ', 'JOIN deg_ ')}, {_pagerank(20)}, st AS (SELECT DISTINCT m.key FROM m JOIN orders ON o_orderkey = chunk WHERE o_custkey % 100 = 7) "
+    "SELECT src AS concept_key, count(DISTINCT dst) AS dependents, coalesce(round(max(pr), 6), 0.0) AS pagerank FROM prereq LEFT JOIN r20 ON r20.key = src "
     "WHERE dst IN (FROM st) AND src NOT IN (FROM st) GROUP BY 1 ORDER BY 2 DESC, 3 DESC, 1 LIMIT 10",
     "learning_path": f"WITH RECURSIVE {_PREREQ.replace('prereq AS (', 'prereq AS MATERIALIZED (')}, target AS (SELECT dst FROM prereq GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 1), "
     "anc AS (SELECT dst AS key FROM target UNION SELECT p.src FROM prereq p JOIN anc ON p.dst = anc.key), "
@@ -175,14 +198,14 @@ ORACLES: dict[str, str] = {
     "SELECT key, min(hops) AS hops FROM a WHERE key <> 1 GROUP BY 1 ORDER BY 2, 1 LIMIT 50",
     "graph_overview": f"WITH {_PAIRS} SELECT (SELECT count(DISTINCT o_orderkey) FROM orders) AS documents, (SELECT count(*) FROM part) AS concepts, (SELECT count(*) FROM supplier) AS technologies, (SELECT count(*) FROM pairs) AS edges",
     "search_seeds": f"WITH {_QUERY}, {_NODES} SELECT key, round({_COS.format(a='embedding', b='q.e')}, 6) AS score FROM nodes, q WHERE embedding IS NOT NULL ORDER BY {_COS.format(a='embedding', b='q.e')} DESC, key DESC LIMIT 5",
-    "graph_activation": f"WITH {_PAIRS}, {_QUERY}, {_NODES}, {_STARTS}, {_WALKS}, s AS (SELECT seed, key, sum(product) AS strength FROM (SELECT seed, key, product FROM p1 UNION ALL SELECT * FROM p2) GROUP BY 1, 2), "
+    "graph_activation": f"WITH {_PAIRS}, {_QUERY}, {_NODES}, {_STARTS}, {_WALKS}, s AS (SELECT seed, key, sum(product) AS strength FROM (SELECT seed, key, product FROM p1 UNION ALL SELECT seed, key, product FROM p2 UNION ALL FROM p3) GROUP BY 1, 2), "
     f"g AS (SELECT key, {_COS.format(a='embedding', b='q.e')} AS sigma FROM nodes, q WHERE embedding IS NOT NULL) "
-    "SELECT seed, key, round(strength * sigma, 6) AS activation FROM s JOIN g USING (key) WHERE sigma >= 0.05",
-    "reach_activation": f"WITH {_PAIRS}, {_QUERY}, {_NODES}, {_STARTS}, n1 AS (SELECT DISTINCT dst AS key FROM near WHERE src IN (FROM starts)), n2 AS (SELECT key FROM n1 UNION SELECT dst FROM near WHERE src IN (FROM n1)), "
+    "SELECT seed, key, round(strength * sigma, 6) AS activation FROM s JOIN g USING (key) WHERE sigma >= 0.25 ORDER BY strength * sigma DESC, seed, key LIMIT 50",
+    "reach_activation": f"WITH {_PAIRS}, {_QUERY}, {_NODES}, {_STARTS}, n1 AS (SELECT DISTINCT dst AS key FROM near WHERE src IN (FROM starts)), n2 AS (SELECT key FROM n1 UNION SELECT dst FROM near WHERE src IN (FROM n1)), n3 AS (SELECT key FROM n2 UNION SELECT dst FROM near WHERE src IN (FROM n2)), "
     f"g AS (SELECT key, {_COS.format(a='embedding', b='q.e')} AS sigma FROM nodes, q WHERE embedding IS NOT NULL) "
-    "SELECT key, round(sigma * 0.7, 6) AS activation FROM g WHERE sigma >= 0.05 AND key IN (FROM n2)",
+    "SELECT key, round(sigma * 0.7, 6) AS activation FROM g WHERE sigma >= 0.25 AND key IN (FROM n3) ORDER BY sigma DESC, key LIMIT 50",
     "induced_edges": f"WITH {_PAIRS} SELECT src, dst, weight::DOUBLE AS weight FROM pairs WHERE src % 3 = 0 AND dst % 3 = 0",
-    "retrieval_evaluation": "WITH s AS (SELECT a.vec_id AS q, b.vec_id AS id, a.label = b.label AS rel, round(" + _COS.format(a="b.embedding", b="a.embedding") + ", 9) AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id < 20), "
+    "retrieval_evaluation": "WITH s AS (SELECT a.vec_id AS q, b.vec_id AS id, a.label = b.label AS rel, round(" + _COS.format(a="b.embedding", b="a.embedding") + ", 9) AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0), "
     "r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 10), "
     "p AS (SELECT q, max((rel AND rank <= 1)::INT) AS h1, max((rel AND rank <= 5)::INT) AS h5, max(rel::INT) AS h10, max(CASE WHEN rel THEN 1.0::DOUBLE / rank ELSE 0 END) AS rr, "
     "sum(CASE WHEN rel THEN 1 / log2(rank + 1.0::DOUBLE) ELSE 0 END) AS dcg, sum(rel::INT) AS n FROM r GROUP BY q) "
@@ -211,10 +234,36 @@ ORACLES: dict[str, str] = {
     "vector_rows": "SELECT doc_id AS chunk_id, CASE WHEN lang = 'fr' THEN '' ELSE lang END AS category, source AS user_id, text[1:240] AS preview, len(embedding)::BIGINT AS dimensions FROM documents JOIN embeddings ON vec_id = doc_id",
     "studied_concepts": "SELECT o_custkey AS user_id, count(DISTINCT l_partkey) AS concepts FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1",
     "events_in_pages": "SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS rank FROM events QUALIFY rank <= 5",
-    "graph_cycles": f"WITH {_NATIONS}, e AS (SELECT src, dst, arg_min(refd, o) AS refd FROM hops WHERE src <> dst GROUP BY 1, 2), "
-    "c2 AS (SELECT concat_ws('>', a.src, a.dst, a.src) AS cycle, least(a.refd, b.refd) AS refd FROM e a JOIN e b ON b.src = a.dst AND b.dst = a.src WHERE a.src < a.dst), "
-    "c3 AS (SELECT concat_ws('>', a.src, b.src, c.src, a.src), least(a.refd, b.refd, c.refd) FROM e a JOIN e b ON b.src = a.dst JOIN e c ON c.src = b.dst AND c.dst = a.src WHERE a.src < b.src AND a.src < c.src AND b.src <> c.src), "
-    "c4 AS (SELECT concat_ws('>', a.src, b.src, c.src, d.src, a.src), least(a.refd, b.refd, c.refd, d.refd) FROM e a JOIN e b ON b.src = a.dst JOIN e c ON c.src = b.dst JOIN e d ON d.src = c.dst AND d.dst = a.src "
-    "WHERE a.src < b.src AND a.src < c.src AND a.src < d.src AND b.src <> c.src AND b.src <> d.src AND c.src <> d.src) SELECT * FROM c2 UNION ALL SELECT * FROM c3 UNION ALL SELECT * FROM c4",
+    "graph_cycles": f"WITH RECURSIVE {_CYCLES} SELECT concat_ws('>', array_to_string(way, '>'), way[1]) AS cycle, weak.refd AS refd FROM closed",
+    "broken_cycles": f"WITH RECURSIVE {_CYCLES} SELECT src, dst FROM e ANTI JOIN (SELECT DISTINCT weak.src AS src, weak.dst AS dst FROM closed) USING (src, dst)",
+    "markdown_texts": "WITH a AS (SELECT doc_id, '# Head' || chr(10) || '**bold** ***very*** `code` [link](http://x) ![i](y) __u__ ```a' || chr(10) || 'b``` ' || text AS x FROM documents) "
+    f"SELECT doc_id, sha256({_MARKDOWN}) AS text_sha FROM a",
+    "entity_neighbourhood": f"WITH {_PREREQ}, {_TYPED}, n AS (SELECT dst AS key, type, weight, 1 AS hops FROM und WHERE src = 1 UNION ALL "
+    "SELECT y.dst, y.type, y.weight, 2 FROM und x JOIN und y ON y.src = x.dst AND y.edge <> x.edge WHERE x.src = 1), "
+    "g AS (SELECT key, type, weight, min(hops) AS hops FROM n GROUP BY 1, 2, 3) "
+    "SELECT key, 'Concept' AS label, p_name AS name, p_retailprice AS pagerank, type AS relationship_type, weight AS relationship_weight, hops FROM g JOIN part ON p_partkey = key ORDER BY hops, key, type LIMIT 50",
+    "graph_search_nodes": f"WITH {_PREREQ}, {_TYPED}, {_QUERY}, {_NODES}, {_SEARCHED} SELECT key, 'Concept' AS label, p_name AS name, round(activation, 6) AS activation, p_retailprice AS pagerank, false AS degraded FROM found JOIN part ON p_partkey = key",
+    "graph_search_edges": f"WITH {_PREREQ}, {_TYPED}, {_QUERY}, {_NODES}, {_SEARCHED} SELECT least(src, dst) AS src, greatest(src, dst) AS dst, type, max(weight) AS weight FROM typed "
+    "WHERE src IN (SELECT key FROM found) AND dst IN (SELECT key FROM found) GROUP BY 1, 2, 3",
+    "neighbour_f1": "WITH s AS (SELECT a.vec_id AS q, a.label AS w, b.label AS g, b.vec_id AS id, round(" + _COS.format(a="b.embedding", b="a.embedding") + ", 9) AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0), "
+    "r AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, id) = 1), c AS (SELECT w AS c FROM r UNION SELECT g FROM r), "
+    "f AS (SELECT c, 2.0::DOUBLE * (SELECT count(*) FROM r WHERE w = c AND g = c) / ((SELECT count(*) FROM r WHERE w = c) + (SELECT count(*) FROM r WHERE g = c)) AS f1 FROM c) SELECT round(avg(f1), 6) AS classification_f1 FROM f",
+    "received_uploads": "WITH a AS (SELECT doc_id, text, octet_length(encode(text))::BIGINT AS byte_size FROM documents) SELECT doc_id, byte_size, CASE WHEN byte_size = 0 THEN 400 WHEN byte_size > 3000 THEN 413 ELSE 201 END AS code, "
+    "CASE WHEN byte_size BETWEEN 1 AND 3000 THEN sha256(text) END AS content_sha256 FROM a",
+    "emitted_events": "SELECT substr(sha256('document.uploaded:' || doc_id), 1, 32) AS id, 'document.uploaded' AS event_type, doc_id::VARCHAR AS document_id, source AS user_id, 'PENDING' AS status, 0 AS retry_count, 5 AS max_retries FROM documents",
+    "marked_events": f"WITH {_OUTBOX}, c AS (SELECT id FROM ob WHERE status = 'PENDING' ORDER BY created_at, id LIMIT 100), m AS (SELECT id, id IN (FROM c) AS taken, CASE WHEN id IN (FROM c) THEN 'PROCESSING' ELSE status END AS status FROM ob) "
+    "SELECT status, count(*) AS n, count(*) FILTER (taken) AS locked_now, min(id) AS first_id FROM m GROUP BY 1",
+    "completed_events": f"WITH {_OUTBOX} SELECT event_type, CASE WHEN status = 'PROCESSING' AND (id % 3 = 0 OR event_type = 'document.indexed') THEN 'COMPLETED' ELSE status END AS status, count(*) AS n FROM ob GROUP BY 1, 2",
+    "task_retries": f"WITH {_OUTBOX}, r AS (SELECT 'document.uploaded' AS event_type, 'ingest_document' AS task UNION ALL SELECT 'document.text_ready', 'chunk_document' UNION ALL SELECT 'document.chunked', unnest(['classify_chunks', 'extract_triples', 'detect_duplicates']) "
+    "UNION ALL SELECT 'document.deleted', 'purge_document'), t AS (SELECT task, retry_count AS retries, id % 2 = 1 AS bad FROM ob JOIN r USING (event_type) WHERE status = 'PROCESSING') "
+    "SELECT task, CASE WHEN NOT bad THEN 'COMPLETED' WHEN retries < 5 THEN 'PENDING' ELSE 'FAILED' END AS status, retries, count(*) AS n, max(CASE WHEN bad AND retries < 5 THEN (2 ** retries)::BIGINT END) AS wait_s FROM t GROUP BY 1, 2, 3",
+    "document_states": "WITH a AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 2 ELSE 0 END AS had, doc_id % 3 <> 0 AS tried, doc_id % 7 = 0 AS bad, [1, 2, 3, NULL][(doc_id % 4 + 1)::INT] AS reached, length(text)::INT AS chars FROM documents) "
+    "SELECT doc_id AS id, CASE WHEN tried AND bad THEN 'FAILED' ELSE ['UPLOADED', 'EXTRACTED', 'CHUNKED', 'INDEXED'][greatest(had, CASE WHEN tried THEN coalesce(reached, 0) ELSE 0 END) + 1] END AS status, "
+    "CASE WHEN tried AND bad THEN 'no text' END AS error_log, CASE WHEN tried AND NOT bad THEN chars END AS extracted_chars FROM a",
+    "one_document": "SELECT doc_id AS id, source AS user_id, lang AS category, text[1:40] AS title FROM documents WHERE source = 'src3' AND doc_id = 3",
+    "attached_clusters": "WITH RECURSIVE " + _HEADS + "," + _HASHED.format(source="heads") + "," + _SIMILAR + """,
+e AS MATERIALIZED (SELECT a, b FROM sim WHERE jaccard >= 0.85 UNION SELECT b, a FROM sim WHERE jaccard >= 0.85),
+c AS (SELECT a AS node, a AS reach FROM e UNION SELECT c.node, e.b FROM c JOIN e ON e.a = c.reach),
+r AS (SELECT node, min(reach) AS representative FROM c GROUP BY node) SELECT node AS doc_id, representative, count(*) OVER (PARTITION BY representative) AS members FROM r""",
 }
 ORACLES["lsh_pairs"] = f"WITH {_HEADS}, {_HASHED.format(source='heads')}, {_SIMILAR} SELECT a, b, jaccard FROM sim WHERE jaccard >= 0.85"

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomgraph.functions import names as N
 from loomgraph.functions import text as T
 from loomgraph.functions import vector as V
 from loomgraph.operators import chunking, classify, dedup, graph, relational, search, triples
@@ -38,7 +39,7 @@ def semantic_search(spark, d):
 @query
 def semantic_search_in_category(spark, d):
     vectors = R.chunk_vectors(spark, d).where("chunk_id <> 0")
-    return rounded(search.semantic_search(vectors, R.query_vector(spark, d), R.documents(spark, d), category=3, k=5), "score")
+    return rounded(search.semantic_search(vectors, R.query_vector(spark, d), R.documents(spark, d), user=0, category=5, k=5), "score")
 
 
 @query
@@ -59,13 +60,15 @@ def exact_duplicates(spark, d):
 
 @query
 def minhash_signatures(spark, d):
-    signed = dedup.signatures(R.table(spark, d, "documents"), "doc_id", "text", permutations=16)
+    signed = dedup.signatures(R.table(spark, d, "documents"), "doc_id", "text")
     return signed.select("doc_id", F.array_join(F.transform("signature", lambda x: x.cast("string")), ",").alias("signature"))
 
 
 @query
 def lsh_pairs(spark, d):
-    signed = materialise(dedup.signatures(R.table(spark, d, "documents").dropDuplicates(["text"]), "doc_id", "text"), "signatures")
+    docs = R.table(spark, d, "documents").select("doc_id", "text", F.sha2("text", 256).alias("sha"))
+    heads = docs.groupBy("sha").agg(F.min("doc_id").alias("doc_id"))
+    signed = materialise(dedup.signatures(docs.join(heads, ["sha", "doc_id"], "left_semi"), "doc_id", "text"), "signatures")
     return dedup.similar_pairs(signed, "doc_id").select("a", "b", "jaccard")
 
 
@@ -117,13 +120,13 @@ def upload_kinds(spark, d):
 @query
 def page_texts(spark, d):
     pages = files.extract_pages(R.table(spark, d, "pages"))
-    return pages.select("page_id", F.length("text").alias("n_chars"), sinks.preview(F.col("text")).alias("preview"))
+    return pages.select("page_id", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("text_sha"), sinks.preview(F.col("text")).alias("preview"))
 
 
 @query
 def markdown_texts(spark, d):
     docs = R.table(spark, d, "documents")
-    marked = F.concat(F.lit("# Head\n**bold** `code` [link](http://x) ![i](y) "), F.col("text"))
+    marked = F.concat(F.lit("# Head\n**bold** ***very*** `code` [link](http://x) ![i](y) __u__ ```a\nb``` "), F.col("text"))
     return docs.select("doc_id", F.sha2(T.strip_markdown(marked), 256).alias("text_sha"))
 
 
@@ -174,9 +177,11 @@ def orphan_entities(spark, d):
 
 @query
 def alias_merges(spark, d):
-    nodes = R.table(spark, d, "part").select(F.col("p_partkey").alias("key"), F.lit("Concept").alias("label"), F.col("p_brand").alias("name"))
-    named = nodes.withColumn("key", F.concat(F.lit("n"), F.col("key").cast("string")))
-    return graph.alias_canonical(named, T.ascii_slug(F.col("name")))
+    names = F.array(*[F.lit(x) for x in ("K8s", "Kubernetes", "kube", "JS", "JavaScript", "Rust", "Postgres", "pg", "sklearn", "Brand")])
+    name = F.element_at(names, (F.pmod("p_partkey", F.lit(10)) + 1).cast("int"))
+    name = F.when(name == "Brand", F.col("p_brand")).otherwise(name)
+    nodes = R.table(spark, d, "part").select(F.concat(F.lit("n"), F.col("p_partkey").cast("string")).alias("key"), F.lit("Technology").alias("label"), name.alias("name"))
+    return graph.alias_canonical(nodes, N.resolve_alias(T.ascii_slug(F.col("name"))))
 
 
 @query
@@ -213,7 +218,7 @@ def graph_cycles(spark, d):
 @query
 def broken_cycles(spark, d):
     edges = _nation_edges(spark, d)
-    return graph.break_cycles(edges, graph.cycles(edges, max_length=25)).select("src", "dst")
+    return graph.break_cycles(edges, graph.cycles(edges)).select("src", "dst")
 
 
 def _rank_edges(spark, d):
@@ -240,7 +245,7 @@ def central_concepts(spark, d):
 def learning_gaps(spark, d):
     orders = R.table(spark, d, "orders").where("o_custkey % 100 = 7").select(F.col("o_orderkey").alias("chunk"))
     studied = R.concept_mentions(spark, d).join(orders, "chunk", "left_semi").select("key")
-    ranks = rounded(graph.pagerank(_rank_edges(spark, d), rounds=3), "pagerank")
+    ranks = rounded(graph.pagerank(_rank_edges(spark, d)), "pagerank")
     return graph.learning_gaps(studied, R.concept_prerequisites(spark, d), ranks)
 
 
@@ -272,6 +277,27 @@ def entity_neighbours(spark, d):
     return graph.neighbours(materialise(pairs, "pairs"), 1, depth=2, limit=50)
 
 
+@query
+def entity_neighbourhood(spark, d):
+    edges = materialise(R.typed_edges(spark, d), "edges")
+    found = graph.neighbourhood(R.concept_nodes(spark, d), edges, 1, depth=2)
+    return found.select("key", "label", "name", "pagerank", "relationship_type", "relationship_weight", "hops")
+
+
+@query
+def graph_search_nodes(spark, d):
+    edges = materialise(R.typed_edges(spark, d), "edges")
+    found = search.graph_search(spark, lambda: (R.concept_nodes(spark, d), edges), R.query_vector(spark, d), hops=2)
+    return rounded(found.nodes.select("key", "label", "name", "activation", "pagerank", F.lit(found.degraded).alias("degraded")), "activation")
+
+
+@query
+def graph_search_edges(spark, d):
+    edges = materialise(R.typed_edges(spark, d), "edges")
+    found = search.graph_search(spark, lambda: (R.concept_nodes(spark, d), edges), R.query_vector(spark, d), hops=2)
+    return found.edges.select("src", "dst", "type", "weight")
+
+
 @query
 def graph_overview(spark, d):
     docs = R.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"))
@@ -289,14 +315,14 @@ def search_seeds(spark, d):
 def graph_activation(spark, d):
     nodes, edges = R.concept_nodes(spark, d), materialise(R.concept_pairs(spark, d), "pairs")
     start = edges.select(F.col("src").alias("key")).distinct().orderBy("key").limit(5)
-    return rounded(search.activation(nodes, edges, R.query_vector(spark, d), start, hops=2, gate=0.05, limit=10000), "activation")
+    return rounded(search.activation(nodes, edges, R.query_vector(spark, d), start), "activation")
 
 
 @query
 def reach_activation(spark, d):
     nodes, edges = R.concept_nodes(spark, d), materialise(R.concept_pairs(spark, d), "pairs")
     start = edges.select(F.col("src").alias("key")).distinct().orderBy("key").limit(5)
-    return rounded(search.activation_by_reach(nodes, edges, R.query_vector(spark, d), start, hops=2, gate=0.05, limit=10000), "activation")
+    return rounded(search.activation_by_reach(nodes, edges, R.query_vector(spark, d), start), "activation")
 
 
 @query
@@ -308,13 +334,80 @@ def induced_edges(spark, d):
 @query
 def retrieval_evaluation(spark, d):
     rows = R.table(spark, d, "embeddings")
-    queries = rows.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.col("label").alias("wanted"))
+    queries = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.col("label").alias("wanted"))
     vectors = rows.select(F.col("vec_id").alias("id"), "embedding", "label")
     ranked = search.ranked_by_cosine(queries.drop("wanted"), vectors.drop("label"))
     judged = ranked.join(F.broadcast(queries.drop("query")), "query_id").join(vectors.drop("embedding"), "id").withColumn("relevant", F.col("wanted") == F.col("label"))
     return rounded(search.evaluate(judged, "query_id", "rank", "relevant"), "hit_at_1", "hit_at_5", "hit_at_10", "mrr", "ndcg_at_10")
 
 
+@query
+def neighbour_f1(spark, d):
+    rows = R.table(spark, d, "embeddings")
+    queries = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.col("label").alias("wanted"))
+    nearest = search.ranked_by_cosine(queries.drop("wanted"), rows.select(F.col("vec_id").alias("id"), "embedding"), k=1)
+    judged = nearest.join(queries.select("query_id", "wanted"), "query_id").join(rows.select(F.col("vec_id").alias("id"), "label"), "id")
+    return rounded(search.macro_f1(judged, "wanted", "label"), "classification_f1")
+
+
+@query
+def received_uploads(spark, d):
+    docs = R.table(spark, d, "documents").select("doc_id", F.col("text").cast("binary").alias("content"))
+    return files.receive(docs, most=3000).select("doc_id", "byte_size", "code", "content_sha256")
+
+
+@query
+def emitted_events(spark, d):
+    docs = R.table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), F.col("source").alias("user_id"))
+    made = outbox.emit(docs, "document.uploaded", F.expr(NOW))
+    return made.select("id", "event_type", "payload.document_id", "payload.user_id", "status", "retry_count", "max_retries")
+
+
+@query
+def marked_events(spark, d):
+    marked = outbox.mark_claimed(R.outbox(spark, d), F.expr(NOW))
+    return marked.groupBy("status").agg(F.count("*").alias("n"), F.count_if(F.col("locked_at") == F.expr(NOW)).alias("locked_now"), F.min("id").alias("first_id"))
+
+
+@query
+def completed_events(spark, d):
+    events = R.outbox(spark, d)
+    done = outbox.complete(events, events.where("status = 'PROCESSING' AND id % 3 = 0").select("id"))
+    return done.groupBy("event_type", "status").agg(F.count("*").alias("n"))
+
+
+@query
+def task_retries(spark, d):
+    tasks = outbox.route(R.outbox(spark, d).where("status = 'PROCESSING'")).withColumn("retries", F.col("retry_count"))
+    settled = outbox.settle(tasks.withColumn("error", F.when(F.col("id") % 2 == 1, F.lit("broken"))), F.expr(NOW))
+    return settled.groupBy("task", "status", "retries").agg(F.count("*").alias("n"), F.max(F.unix_timestamp("due") - F.unix_timestamp(F.expr(NOW))).alias("wait_s"))
+
+
+@query
+def document_states(spark, d):
+    docs = R.table(spark, d, "documents").select(
+        F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 5 == 0, "CHUNKED").otherwise("UPLOADED").alias("status"), F.lit(None).cast("string").alias("error_log"), F.lit(None).cast("int").alias("extracted_chars")
+    )
+    task = F.element_at(F.array(F.lit("ingest_document"), F.lit("chunk_document"), F.lit("classify_chunks"), F.lit("purge_document")), (F.col("doc_id") % 4 + 1).cast("int"))
+    outcomes = R.table(spark, d, "documents").where("doc_id % 3 <> 0").select(F.col("doc_id").alias("document_id"), task.alias("task"), F.when(F.col("doc_id") % 7 == 0, "no text").alias("error"), F.length("text").alias("chars"))
+    return outbox.advance(docs, outcomes)
+
+
+@query
+def one_document(spark, d):
+    return relational.get_document(R.documents(spark, d), "src3", 3).select("id", "user_id", "category", "title")
+
+
+@query
+def attached_clusters(spark, d):
+    docs = R.table(spark, d, "documents").select("doc_id", "text", F.sha2("text", 256).alias("sha"))
+    heads = docs.groupBy("sha").agg(F.min("doc_id").alias("doc_id"))
+    signed = materialise(dedup.signatures(docs.join(heads, ["sha", "doc_id"], "left_semi"), "doc_id", "text"), "signatures")
+    old, new = signed.where("doc_id % 2 = 0"), signed.where("doc_id % 2 = 1")
+    known = dedup.attach(spark.createDataFrame([], "doc_id long, representative long"), dedup.similar_pairs(old, "doc_id"), "doc_id")
+    return dedup.attach(known, materialise(dedup.links_to(new, old, "doc_id"), "links"), "doc_id")
+
+
 @query
 def claimed_events(spark, d):
     return outbox.claim(R.outbox(spark, d)).select("id", "event_type")
@@ -373,8 +466,8 @@ def balanced_weights(spark, d):
 
 @query
 def classified_documents(spark, d):
-    samples = spark.createDataFrame(list(classify.SEED), "text string, label string")
-    model = classify.train(samples, rounds=5, dimensions=1 << 13)
+    samples = spark.createDataFrame(list(classify.SEED), "text string, label string").coalesce(1)
+    model = classify.train(samples)
     return rounded(classify.classify(R.table(spark, d, "documents").select("doc_id", "text"), model).select("doc_id", "category", "category_conf"), "category_conf")
 
 

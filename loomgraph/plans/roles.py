@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.operators.graph import cooccurrence, prerequisites
+from loomgraph.sources.sinks import preview
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -29,12 +30,18 @@ def concept_prerequisites(spark: SparkSession, d: str) -> DataFrame:
 
 
 def concept_nodes(spark: SparkSession, d: str) -> DataFrame:
-    """Parts as concepts, each with the embedding of ``p_partkey % 500``."""
+    """Parts as concepts, each with the embedding of ``p_partkey % 500`` and its price for a rank."""
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("__v"), "embedding")
-    parts = table(spark, d, "part").select(F.col("p_partkey").alias("key"), F.lit("Concept").alias("label"), F.col("p_name").alias("name"))
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("key"), F.lit("Concept").alias("label"), F.col("p_name").alias("name"), F.col("p_retailprice").alias("pagerank"))
     return parts.join(vectors, F.pmod("key", F.lit(500)) == F.col("__v"), "left").drop("__v")
 
 
+def typed_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Co-mentions of concepts, and their prerequisites."""
+    pairs = concept_pairs(spark, d).select("src", "dst", F.lit("CO_OCCURS_WITH").alias("type"), F.col("weight").cast("double").alias("weight"))
+    return pairs.union(concept_prerequisites(spark, d).select("src", "dst", F.lit("PREREQUISITE_OF"), F.lit(None).cast("double")))
+
+
 def chunk_vectors(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "embeddings")
     return rows.select(F.col("vec_id").alias("chunk_id"), F.col("vec_id").alias("document_id"), F.pmod("vec_id", F.lit(20)).alias("user_id"), F.col("label").alias("category"), "embedding")
@@ -49,7 +56,7 @@ def query_vector(spark: SparkSession, d: str) -> list[float]:
 def documents(spark: SparkSession, d: str) -> DataFrame:
     """Documents with an owner (the source) and a made-up age (the id)."""
     rows = table(spark, d, "documents")
-    return rows.select(F.col("doc_id").alias("id"), F.col("source").alias("user_id"), F.col("lang").alias("category"), F.substring("text", 1, 40).alias("title"), F.col("doc_id").alias("created_at"), "text")
+    return rows.select(F.col("doc_id").alias("id"), F.col("source").alias("user_id"), F.col("lang").alias("category"), F.substring("text", 1, 40).alias("title"), F.col("doc_id").alias("created_at"), "text", preview(F.col("text")).alias("preview"))
 
 
 def outbox(spark: SparkSession, d: str) -> DataFrame:

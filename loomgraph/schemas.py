@@ -1,4 +1,4 @@
-"""Schemas of the engine's tables, as Spark DDL."""
+"""Schemas of the engine's tables, as Spark DDL. Column names and enumerations."""
 
 DOCUMENT = (
     "id string, user_id string, title string, kind string, mime_type string, source_path string, byte_size bigint, "

@@ -38,6 +38,16 @@ def intake(files: DataFrame, content: str = "content") -> DataFrame:
     return sized.where(F.col("byte_size").between(1, MAX_UPLOAD_BYTES)).withColumn("content_sha256", F.sha2(content, 256))
 
 
+def receive(files: DataFrame, content: str = "content", most: int = MAX_UPLOAD_BYTES) -> DataFrame:
+    """Every file with its ``code``, ``byte_size`` and, if accepted, ``content_sha256``.
+
+    201: accepted. 400: empty or no content. 413: more than ``most`` bytes.
+    """
+    sized = files.withColumn("byte_size", F.coalesce(F.octet_length(content), F.lit(0)).cast("long"))
+    code = F.when(F.col("byte_size") == 0, 400).when(F.col("byte_size") > most, 413).otherwise(201)
+    return sized.withColumn("code", code).withColumn("content_sha256", F.when(code == 201, F.sha2(content, 256)))
+
+
 def detect_kind(content: Column, filename: Column) -> Column:
     """``struct(kind, mime)``: by first bytes, then by extension; plain text where neither tells."""
     head = F.hex(F.substring(content, 1, 8))

@@ -1,4 +1,4 @@
-"""Queue events: claiming, retry, routing; and the same as a stream."""
+"""Queue events and the states of documents: emitting, claiming, retry, routing, completion; and the same as a stream."""
 
 from __future__ import annotations
 
@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.config import CLAIM_BATCH, MAX_ERROR_CHARS, ROUTES, STUCK_MINUTES
+from loomgraph.config import CLAIM_BATCH, DONE, MAX_ERROR_CHARS, MAX_RETRIES, ROUTES, STUCK_MINUTES
+from loomgraph.schemas import DOCUMENT_STATUS
 from loomgraph.storage import shared_dir
 
 
@@ -16,6 +17,66 @@ def claim(events: DataFrame, size: int = CLAIM_BATCH) -> DataFrame:
     return events.where("status = 'PENDING'").orderBy("created_at", "id").limit(size)
 
 
+def mark_claimed(events: DataFrame, now: Column, size: int = CLAIM_BATCH) -> DataFrame:
+    """The queue after a claim: the oldest pending events are in processing, locked from ``now``."""
+    taken = claim(events, size).select("id", F.lit(True).alias("__taken"))
+    marked = events.join(taken, "id", "left")
+    after = {"status": F.when(F.col("__taken"), "PROCESSING").otherwise(F.col("status")), "locked_at": F.when(F.col("__taken"), now.cast("timestamp")).otherwise(F.col("locked_at"))}
+    return marked.withColumns(after).drop("__taken").select(*events.columns)
+
+
+def emit(documents: DataFrame, event_type: str, now: Column, max_retries: int = MAX_RETRIES) -> DataFrame:
+    """A pending event for each row ``(document_id, user_id)``, its id a hash of type and document: emitted twice it is one event."""
+    key = F.substring(F.sha2(F.concat_ws(":", F.lit(event_type), F.col("document_id").cast("string")), 256), 1, 32)
+    ids = [F.col(c).cast("string").alias(c) for c in ("document_id", "user_id")]
+    return documents.select(
+        key.alias("id"), F.lit(event_type).alias("event_type"), F.struct(*ids).alias("payload"), F.lit("PENDING").alias("status"), F.lit(0).alias("retry_count"),
+        F.lit(max_retries).alias("max_retries"), F.lit(None).cast("timestamp").alias("locked_at"), F.lit(None).cast("string").alias("error_log"), now.cast("timestamp").alias("created_at"), now.cast("timestamp").alias("updated_at"),
+    ).dropDuplicates(["id"])
+
+
+def complete(events: DataFrame, done: DataFrame) -> DataFrame:
+    """The queue after tasks: events in ``done(id)`` are completed, and so are those that start no task."""
+    final = [e for e, tasks in ROUTES.items() if not tasks]
+    marked = events.join(done.select("id", F.lit(True).alias("__done")).distinct(), "id", "left")
+    over = F.col("__done") | (F.col("event_type").isin(final) & (F.col("status") == "PROCESSING"))
+    return marked.withColumn("status", F.when(over, "COMPLETED").otherwise(F.col("status"))).select(*events.columns)
+
+
+def settle(attempts: DataFrame, now: Column, most: int = MAX_RETRIES) -> DataFrame:
+    """``(event, task)`` attempts with ``retries`` and ``error`` (null if it went well): add ``status`` and ``due``.
+
+    A failure is tried again after ``2 ** retries`` seconds, until ``most`` retries are spent.
+    """
+    failed, left = F.col("error").isNotNull(), F.col("retries") < most
+    wait = F.make_dt_interval(secs=F.pow(F.lit(2), F.col("retries")).cast("decimal(18,6)"))
+    status = F.when(~failed, "COMPLETED").when(left, "PENDING").otherwise("FAILED")
+    return attempts.withColumn("status", status).withColumn("due", F.when(failed & left, now.cast("timestamp") + wait))
+
+
+def advance(documents: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Documents after tasks: each takes the state of the furthest task that went well, or FAILED with the error of one that didn't.
+
+    ``outcomes`` are ``(document_id, task, error, chars)``; ``chars`` is what was extracted.
+    A state never goes back; a failed document stays failed until a task goes well.
+    """
+    steps = F.create_map(*[F.lit(x) for pair in DONE.items() for x in pair])
+    order = F.array(*[F.lit(s) for s in DOCUMENT_STATUS if s != "FAILED"])
+    reached = F.array_position(order, F.when(F.col("error").isNull(), F.try_element_at(steps, F.col("task"))))
+    per = outcomes.groupBy(F.col("document_id").alias("id")).agg(
+        F.max(reached).alias("__reached"), F.min("error").alias("__error"), F.max(F.when(F.col("error").isNull(), F.col("chars"))).alias("__chars")
+    )
+    joined = documents.join(per, "id", "left")
+    now = F.greatest(F.array_position(order, F.col("status")), F.coalesce("__reached", F.lit(0)))
+    state = F.when(F.col("__error").isNotNull(), "FAILED").when(now > 0, F.try_element_at(order, now.cast("int"))).otherwise(F.col("status"))
+    after = {
+        "status": state,
+        "error_log": F.coalesce(F.substring("__error", 1, MAX_ERROR_CHARS), F.when(F.col("__reached").isNull(), F.col("error_log"))),
+        "extracted_chars": F.coalesce(F.col("__chars").cast("int"), "extracted_chars"),
+    }
+    return joined.withColumns(after).select(*documents.columns)
+
+
 def reclaim(events: DataFrame, now: Column, minutes: int = STUCK_MINUTES) -> DataFrame:
     """Events stuck in processing become pending again."""
     stuck = F.coalesce((F.col("status") == "PROCESSING") & (F.col("locked_at") < now - F.expr(f"INTERVAL {minutes} MINUTES")), F.lit(False))
