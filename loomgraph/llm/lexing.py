@@ -9,7 +9,9 @@ prefix sums and finished by a bit mixer; equal strings hash alike in any slab.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -179,6 +181,25 @@ def _long_hash(word: np.ndarray) -> np.uint64:
     return mix(total + np.uint64(len(word)))[0]
 
 
+def hand_back() -> None:
+    """Return freed memory of this process to the system: workers are used again and again, for one operator after another."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it keeps the memory
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(function: Callable) -> Callable:
+    """A function over batches that hands memory back when its partition is done."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            hand_back()
+
+    return run
+
+
 def slabs(texts: pa.Array, limit: int = SLAB) -> Iterator[Slab]:
     """The texts of an Arrow string array, null as empty, in slabs."""
     if isinstance(texts, pa.ChunkedArray):

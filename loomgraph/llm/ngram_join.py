@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.idfilter import NAMELESS, key_bitmap, node, with_membership, without_ids
-from loomgraph.llm.lexing import owners, rolling, slabs, spans_hash
+from loomgraph.llm.lexing import owners, rolling, slabs, spans_hash, tidy
 from loomgraph.llm.repeats import numbered_texts, texts_with
 from loomgraph.operators.components import connected_components
 from loomgraph.storage import Scratch, discard, materialise, release
@@ -93,7 +93,7 @@ def _profile(n: int) -> Callable:
         none = pa.nulls(len(used), pa.int64())
         yield pa.record_batch([none, none, pa.nulls(len(used), pa.binary()), pa.nulls(len(used), kind), pa.array(used.astype(np.int32)), pa.array([blocks[i].tobytes() for i in used], pa.binary())], names=names)
 
-    return run
+    return tidy(run)
 
 
 def _add_blocks(table: pa.Table) -> pa.Table:
@@ -142,7 +142,7 @@ def _prefixes(n: int, percent: int, sketch, whole: bool) -> Callable:
                     names=["token", "id", "size", "place", "short"],
                 )
 
-    return run
+    return tidy(run)
 
 
 def _sets(n: int) -> Callable:
@@ -152,7 +152,7 @@ def _sets(n: int) -> Callable:
                 rows = len(begins) - 1
                 yield pa.record_batch([batch.column("id").slice(first, rows), pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), pa.array(hashes.view(np.int64)))], names=["id", "grams"])
 
-    return run
+    return tidy(run)
 
 
 def suffix_bound(a: np.ndarray, b: np.ndarray, need: int, depth: int = 3) -> bool:
@@ -179,7 +179,7 @@ def _verify(percent: int) -> Callable:
                 linked.append(same >= need)
             yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
-    return run
+    return tidy(run)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, sized: DataFrame, n: int, percent: int) -> DataFrame:

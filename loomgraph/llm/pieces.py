@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.llm.lexing import Slab, hash_spans, mix, slabs, spans_hash, _BYTES, _Powers
+from loomgraph.llm.lexing import Slab, hash_spans, mix, slabs, spans_hash, tidy, _BYTES, _Powers
 from loomgraph.storage import bounded_batches
 
 SPACE = 32
@@ -405,7 +405,7 @@ def _encode(model_path: str, k: int, seed: int, repeats: bool) -> Callable:
                     yield table.filter(keep)
                 del sampler, paths, path, table  # before the next slab's arrays are made
 
-    return run
+    return tidy(run)
 
 
 def encode_samples(docs: DataFrame, model_path: str, id_column: str = "doc_id", text_column: str = "text", *, samples: int = 2, seed: int = 1, repeats: bool = False) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.idfilter import key_bitmap, with_membership
-from loomgraph.llm.lexing import hash_spans, mix, owners, slabs
+from loomgraph.llm.lexing import hash_spans, mix, owners, slabs, tidy
 from loomgraph.storage import Scratch, bounded_batches, materialise
 
 GRADES = 3
@@ -54,12 +54,13 @@ def _features(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
     """For each slab: first row, rows, and (row, feature hash) for every word and beginning, repeats included."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    for slab in slabs(pc.utf8_lower(texts)):
-        starts, ends = slab.word_spans(plain=True)
-        begins = np.searchsorted(starts, slab.offsets)
-        text = owners(begins, len(starts))
-        rows = [text, *(text[ends - starts > k] for k in BEGINNINGS)]
-        yield slab.first, len(begins) - 1, np.concatenate(rows), np.concatenate(hash_spans(slab.data, starts, ends, BEGINNINGS))
+    for at in range(0, len(texts), 256):
+        for slab in slabs(pc.utf8_lower(texts.slice(at, 256))):
+            starts, ends = slab.word_spans(plain=True)
+            begins = np.searchsorted(starts, slab.offsets)
+            text = owners(begins, len(starts))
+            rows = [text, *(text[ends - starts > k] for k in BEGINNINGS)]
+            yield at + slab.first, len(begins) - 1, np.concatenate(rows), np.concatenate(hash_spans(slab.data, starts, ends, BEGINNINGS))
 
 
 def _once(rows: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -218,7 +219,7 @@ def _fit(max_rows: int, max_bytes: int) -> Callable:
         parts = [pa.array([x.astype(kind).tobytes()], pa.binary()) for x, kind in ((m.words, np.uint64), (m.weights, np.float64), (m.thresholds, np.float64))]
         yield pa.record_batch([*parts, pa.array([m.cut])], names=["words", "weights", "thresholds", "cut"])
 
-    return run
+    return tidy(run)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", max_rows: int = 8000) -> DataFrame:
@@ -269,7 +270,7 @@ def _score(model: SeverityModel) -> Callable:
         for batch in batches:
             yield pa.record_batch([batch.column("id"), *map(pa.array, _scores(model, batch.column("text")))], names=["id", "expected_severity", "severity", "p_toxic"])
 
-    return run
+    return tidy(run)
 
 
 def _civil(model: SeverityModel, text_column: str) -> Callable:
@@ -277,7 +278,7 @@ def _civil(model: SeverityModel, text_column: str) -> Callable:
         for batch in batches:
             yield batch.filter(pa.array(_scores(model, batch.column(text_column))[2] < model.cut))
 
-    return run
+    return tidy(run)
 
 
 def score_severity(docs: DataFrame, model: SeverityModel, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
