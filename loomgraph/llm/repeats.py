@@ -21,10 +21,12 @@ anchor; the two common lengths tell, for every window of every region, which
 others are equal to it. Windows that repeat an earlier one join into maximal spans.
 
 Sorted regions are scanned in chunks. A class of equal windows can only go on in
-another chunk if it holds the first or the last row of its own; for these the
-first window of each class is noted with a 128-bit digest, and the notes of all
-chunks are matched by a sum with map-side combine. So a gram that a third of all
-rows share is many chunks, and no list of its places is ever gathered.
+another chunk if it agrees with the first or the last row of its own in all items from
+the anchor on. The first rows of such classes are sorted again, by what stands before
+the anchor, and scanned in chunks of that order; where a class still may go on, its
+first window is noted with a 128-bit digest, and notes are matched by a sum with
+map-side combine. So a gram that a third of all rows share is many chunks, and no
+list of its places is ever gathered.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.idfilter import NAMELESS, bits_for, key_bitmap, node, with_membership
-from loomgraph.llm.lexing import Slab, byte_values, mix, owners, rolling, slabs, sliding_argmin, spans_hash
+from loomgraph.llm.lexing import Slab, byte_values, mix, owners, rolling, slabs, sliding_argmin, spans_hash, tidy
 from loomgraph.storage import bounded_batches, discard, materialise, release
 
 PIECE = 1 << 19
@@ -116,7 +118,7 @@ def _grams(spec: Repeats) -> Callable:
                     grams, times = np.unique(spec.anchors(values, begins)[0], return_counts=True)
                     yield pa.record_batch([_signed(grams), pa.array(times)], names=["gram", "n"])
 
-    return run
+    return tidy(run)
 
 
 def _regions(spec: Repeats) -> Callable:
@@ -133,7 +135,7 @@ def _regions(spec: Repeats) -> Callable:
                         names=["gram", "whole", "other", "id", "start", "runs", "at"],
                     )
 
-    return run
+    return tidy(run)
 
 
 def cut(items: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> pa.Array:
@@ -166,7 +168,7 @@ def _contexts(spec: Repeats) -> Callable:
                         doc = pa.array(np.full(len(context), ids[slab.first + i]))
                         yield pa.record_batch([pa.array(gram[part]), doc, _ints(start[part]), _ints(runs[part]), _ints(at[part]), context], names=ENTRY_COLUMNS)
 
-    return run
+    return tidy(run)
 
 
 def _beside(flat: np.ndarray, places: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -184,13 +186,13 @@ def _common(rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _by_items(rows: np.ndarray) -> np.ndarray:
-    """The order of rows by their items."""
+def _by_items(rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The order of rows by their items, of rows that only fill up with zeros the shorter first."""
     if rows.dtype == np.uint8:
         wide = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), dtype=np.uint8)
         wide[:, : rows.shape[1]] = rows
         rows = wide.view(">u8").astype(np.uint64)
-    return np.lexsort(rows.T[::-1]) if rows.shape[1] else np.arange(len(rows))
+    return np.lexsort((sizes, *rows.T[::-1]))
 
 
 def _digests(items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -200,12 +202,23 @@ def _digests(items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return tuple(mix(mix(mix(wide * odd) + place).sum(axis=1, dtype=np.uint64)) for odd in (_OTHER, np.uint64(0x165667B19E3779F9)))
 
 
-def extend_chunk(spec: Repeats, entries: pa.Table) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+@dataclass
+class Extended:
+    """What a chunk tells of its rows: repeated windows as spans, and windows that are the first of a class with no end in sight."""
+
+    spans: tuple[np.ndarray, np.ndarray, np.ndarray]  # row, start, stop
+    open: tuple[np.ndarray, np.ndarray]  # row, items before the anchor
+    back: np.ndarray  # items before the anchor, the nearest first
+    places: np.ndarray  # where the anchor is among ``items``
+    items: np.ndarray
+
+
+def extend_chunk(spec: Repeats, entries: pa.Table, by_left: bool = False) -> Extended:
     """Compare the regions of one sorted chunk with each other.
 
-    Returns spans ``(row, start, stop)`` of windows that repeat one of an earlier
-    region, and for classes that may go on outside the chunk the first windows
-    ``(row, start, digest, digest)``.
+    Rows come in the order of their items from the anchor on or, ``by_left``, of
+    those before it; then only windows in ``open`` count, a bit for each number of
+    items before the anchor.
     """
     n, length, lead = len(entries), spec.length, spec.lead
     number = lambda c: entries.column(c).to_numpy().astype(np.int64)
@@ -218,42 +231,34 @@ def extend_chunk(spec: Repeats, entries: pa.Table) -> tuple[tuple[np.ndarray, ..
     anchor = begin + at
     right = _beside(flat, anchor[:, None] + np.arange(length), anchor, end)
     left = _beside(flat, anchor[:, None] - 1 - np.arange(lead), begin, anchor)
-    shared = _common(right, end - anchor)
-    by_left = _by_items(left)
-    before = _common(left[by_left], at[by_left])
+    by_right, before = _by_items(right, end - anchor), _by_items(left, at)
+    shared_right, shared_left = _common(right[by_right], (end - anchor)[by_right]), _common(left[before], at[before])
     rank = np.lexsort((start, ids))  # rows from the earliest on
+    wanted = number("open") if by_left else np.full(n, -1)
     repeated = np.zeros((n, lead + 1), dtype=bool)
-    notes: list[tuple[np.ndarray, int]] = []
+    open_rows, open_at = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
+    forward, backward = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
     for o in range(lead + 1):
-        rows = rank[(o <= at[rank]) & (o > (at - runs)[rank])]
+        rows = rank[(o <= at[rank]) & (o > (at - runs)[rank]) & ((wanted[rank] >> o) & 1 == 1)]
         if not len(rows):
             continue
-        forward = np.cumsum(shared < length - o)
-        backward = np.empty(n, dtype=np.int64)
-        backward[by_left] = np.cumsum(before < o)
+        forward[by_right], backward[before] = np.cumsum(shared_right < length - o), np.cumsum(shared_left < o)
         key = forward[rows] * (n + 1) + backward[rows]
         order = np.argsort(key, kind="stable")
         first = np.diff(key[order], prepend=-1) != 0
         rows = rows[order]
         head = rows[np.flatnonzero(first)[np.cumsum(first) - 1]]
         repeated[rows, o] = (ids[rows] != ids[head]) | (start[rows] != start[head])  # a repeated row is no repeat
-        heads = rows[first]
-        notes.append((heads[(forward[heads] == forward[0]) | (forward[heads] == forward[-1])], o))
+        heads, side = rows[first], backward if by_left else forward
+        heads = heads[(side[heads] == side[0]) | (side[heads] == side[-1])]
+        open_rows.append(heads)
+        open_at.append(np.full(len(heads), o))
     # Window ``start + k`` has ``at - k`` items before the anchor: neighbouring windows are neighbouring columns.
     edges = np.diff(np.pad(repeated.astype(np.int8), ((0, 0), (1, 1))), axis=1)
     row, low = np.nonzero(edges == 1)
     high = np.nonzero(edges == -1)[1] - 1
     spans = (row, start[row] + at[row] - high, start[row] + at[row] - low + length)
-    rows, halves = [np.empty(0, dtype=np.int64)], ([np.empty(0, dtype=np.uint64)], [np.empty(0, dtype=np.uint64)])
-    windows = [np.empty(0, dtype=np.int64)]
-    for heads, o in notes:
-        for lo in range(0, len(heads), 4096):
-            some = heads[lo : lo + 4096]
-            for out, half in zip(halves, _digests(flat[(anchor[some] - o)[:, None] + np.arange(length)]), strict=True):
-                out.append(half)
-            rows.append(some)
-            windows.append(start[some] + at[some] - o)
-    return spans, (np.concatenate(rows), np.concatenate(windows), *map(np.concatenate, halves))
+    return Extended(spans, (np.concatenate(open_rows), np.concatenate(open_at)), left, anchor, flat)
 
 
 def _listed(n: int, rows: np.ndarray, columns: dict[str, np.ndarray]) -> pa.Array:
@@ -263,35 +268,58 @@ def _listed(n: int, rows: np.ndarray, columns: dict[str, np.ndarray]) -> pa.Arra
     return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(c[order]) for c in columns.values()], names=list(columns)))
 
 
-EXTENDED = "spans array<struct<start:int,stop:int>>, notes array<struct<start:int,half:long,other:long>>"
+_SPANS = "spans array<struct<start:int,stop:int>>"
+_NOTES = "notes array<struct<start:int,half:long,other:long>>"
 
 
-def _extended(spec: Repeats) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table = pa.Table.from_batches(held).combine_chunks()
-            (row, a, b), (at, window, half, other) = extend_chunk(spec, table)
-            spans = _listed(len(table), row, {"start": a.astype(np.int32), "stop": b.astype(np.int32)})
-            notes = _listed(len(table), at, {"start": window.astype(np.int32), "half": half.view(np.int64), "other": other.view(np.int64)})
-            yield from table.append_column("spans", spans).append_column("notes", notes).to_batches(max_chunksize=8192)
+def _first_pass(spec: Repeats, table: pa.Table) -> pa.Table:
+    done, n = extend_chunk(spec, table), len(table)
+    row, a, b = done.spans
+    rows, at = done.open
+    bits = np.zeros(n, dtype=np.int64)
+    np.bitwise_or.at(bits, rows, np.int64(1) << at)
+    starts = np.arange(n) * spec.lead
+    back = cut(done.back.ravel(), starts, starts + np.where(bits != 0, table.column("at").to_numpy(), 0))
+    spans = _listed(n, row, {"start": a.astype(np.int32), "stop": b.astype(np.int32)})
+    return table.append_column("spans", spans).append_column("open", pa.array(bits)).append_column("back", back)
+
+
+def _second_pass(spec: Repeats, table: pa.Table) -> pa.Table:
+    done, n = extend_chunk(spec, table, by_left=True), len(table)
+    row, a, b = done.spans
+    rows, at = done.open
+    halves: tuple[list, list] = ([np.empty(0, dtype=np.uint64)], [np.empty(0, dtype=np.uint64)])
+    for lo in range(0, len(rows), 4096):
+        some = slice(lo, lo + 4096)
+        for out, half in zip(halves, _digests(done.items[(done.places[rows[some]] - at[some])[:, None] + np.arange(spec.length)]), strict=True):
+            out.append(half)
+    start = table.column("start").to_numpy()[rows] + table.column("at").to_numpy()[rows] - at
+    notes = _listed(n, rows, {"start": start.astype(np.int32), "half": np.concatenate(halves[0]).view(np.int64), "other": np.concatenate(halves[1]).view(np.int64)})
+    spans = _listed(n, row, {"start": a.astype(np.int32), "stop": b.astype(np.int32)})
+    return table.select(["id", "wanted"]).append_column("spans", spans).append_column("notes", notes)
 
+
+def _chunked(spec: Repeats, function: Callable[[Repeats, pa.Table], pa.Table]) -> Callable:
+    """``function`` on the rows of a partition, in order, ``CHUNK`` at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
         for batch in batches:
             for lo in range(0, batch.num_rows, CHUNK):
                 part = batch.slice(lo, CHUNK)
                 if rows + part.num_rows > CHUNK:
-                    yield from done(held)
+                    yield from function(spec, pa.Table.from_batches(held).combine_chunks()).to_batches(max_chunksize=8192)
                     held, rows = [], 0
                 held.append(part)
                 rows += part.num_rows
         if rows:
-            yield from done(held)
+            yield from function(spec, pa.Table.from_batches(held).combine_chunks()).to_batches(max_chunksize=8192)
 
-    return run
+    return tidy(run)
 
 
 def extended(entries: DataFrame, spec: Repeats) -> DataFrame:
-    """``entries`` in the order of their items from the anchor on, with ``spans`` and ``notes`` of ``extend_chunk``.
+    """``entries`` in the order of their items from the anchor on, with ``spans``, and ``open`` and ``back`` of windows to be looked at again.
 
     ``entries`` is a written table. Ranges go by id and start too, so equal regions are many tasks where they are many.
     """
@@ -299,13 +327,23 @@ def extended(entries: DataFrame, spec: Repeats) -> DataFrame:
     suffix = F.substring("context", F.col("at") * size + 1, F.lit(spec.length * size))
     order = [suffix, "id", "start"]
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in entries.schema)
-    return entries.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_extended(spec), f"{fields}, {EXTENDED}")
+    return entries.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_chunked(spec, _first_pass), f"{fields}, {_SPANS}, open long, back binary")
 
 
 def found_spans(compared: DataFrame, spec: Repeats, wanted: str = "true") -> DataFrame:
-    """Spans ``(id, start, stop)`` of the ``wanted`` rows with ``spans`` and ``notes``: those of their chunks, and windows noted earlier elsewhere."""
-    spans = compared.where(wanted).select("id", F.explode("spans").alias("s")).select("id", "s.start", "s.stop")
-    notes = compared.select("id", F.expr(wanted).alias("wanted"), F.explode("notes").alias("n")).select("id", "wanted", "n.*")
+    """Spans ``(id, start, stop)`` of the ``wanted`` rows of a written table that ``extended`` gave.
+
+    To those of the chunks come the windows whose class no chunk had whole: first by the
+    order of what stands before the anchor, then by digest.
+    """
+    order = ["back", "id", "start"]
+    again = materialise(compared.where("open <> 0").select(*ENTRY_COLUMNS, "open", "back", F.expr(wanted).alias("wanted")), "open")
+    second = again.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_chunked(spec, _second_pass), f"id long, wanted boolean, {_SPANS}, {_NOTES}")
+    second = materialise(second, "extended")
+    discard(again)
+    spans = compared.where(wanted).select("id", "spans").union(second.where("wanted").select("id", "spans"))
+    spans = spans.select("id", F.explode("spans").alias("s")).select("id", "s.start", "s.stop")
+    notes = second.select("id", "wanted", F.explode("notes").alias("n")).select("id", "wanted", "n.*")
     first = notes.groupBy("half", "other").agg(F.min(F.struct("id", "start")).alias("first"), F.count("*").alias("n"))
     first = materialise(first.where("n > 1").drop("n"), "firsts")
     later = notes.where("wanted").join(first, ["half", "other"]).where(F.struct("id", "start") > F.col("first"))

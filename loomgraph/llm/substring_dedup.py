@@ -12,8 +12,9 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from loomgraph.llm.repeats import ENTRY_COLUMNS, Repeats, extended, found_spans, named, numbered_texts, repeated_spans, span_arrays, with_spans
+from loomgraph.llm.repeats import Repeats, extended, found_spans, named, numbered_texts, repeated_spans, span_arrays, with_spans
 from loomgraph.storage import discard, materialise
 
 
@@ -42,7 +43,8 @@ def _render(with_text: bool):
 
 
 def _extend(entries: DataFrame, spec: Repeats) -> DataFrame:
-    compared = materialise(extended(entries, spec).drop(*(c for c in ENTRY_COLUMNS if c != "id")), "extended")
+    context = F.when(F.col("open") != 0, F.col("context"))  # others are done
+    compared = materialise(extended(entries, spec).withColumn("context", context), "extended")
     discard(entries)
     return found_spans(compared, spec)
 
