@@ -11,7 +11,7 @@ of the positions are anchors. An anchor whose gram occurs once in the corpus
 settles all its windows. The others' grams go into a bitmap of fixed size. The
 windows of one anchor lie side by side; the stretch they cover is the anchor's
 *region*. A region that occurs more than once is extended once: the first one
-stands for all, told by a 128-bit digest, and the others repeat it as a whole.
+stands for all, told by 96 bits beside the gram, and the others repeat it as a whole.
 
 Extension. Only where one gram has several different regions can windows repeat
 in part. The first regions of each kind are sorted by their items from the anchor
@@ -129,9 +129,9 @@ def _regions(spec: Repeats) -> Callable:
                 for base, values, begins in spec.pieces(slab):
                     grams, text, starts, runs, at = spec.anchors(values, begins)
                     stops = starts + runs - 1 + spec.length
-                    whole, other = (_signed(spans_hash(v, starts, stops)) for v in (values, mix(values ^ _OTHER)))
+                    whole, other = (spans_hash(v, starts, stops) for v in (values, mix(values ^ _OTHER)))
                     yield pa.record_batch(
-                        [_signed(grams), whole, other, pa.array(ids[slab.first + text]), _ints(starts - begins[text] + base), _ints(runs), _ints(at)],
+                        [_signed(grams), _signed(whole), _ints(other.view(np.int64) >> 32), pa.array(ids[slab.first + text]), _ints(starts - begins[text] + base), _ints(runs), _ints(at)],
                         names=["gram", "whole", "other", "id", "start", "runs", "at"],
                     )
 
@@ -377,17 +377,19 @@ def repeated_spans(texts: DataFrame, spec: Repeats, extend: Callable[[DataFrame,
     counts = texts.select("text").mapInArrow(_grams(spec), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1")
     repeated = materialise(key_bitmap(counts, ["gram"], spec.bits), "grams")
     release(texts.sparkSession)
-    regions = texts.mapInArrow(_regions(spec), "gram long, whole long, other long, id long, start int, runs int, at int")
+    regions = texts.mapInArrow(_regions(spec), "gram long, whole long, other int, id long, start int, runs int, at int")
     regions = with_membership(regions, ["gram"], repeated, "__lg_maybe", spec.bits).where("__lg_maybe").drop("__lg_maybe")
     regions = materialise(regions, "regions")
     discard(repeated)
     key = ["gram", "whole", "other"]
     kinds = regions.groupBy(*key).agg(F.min(F.struct("id", "start", "runs", "at")).alias("first"), F.count("*").alias("n"))
     kinds = materialise(kinds, "kinds")
+    release(texts.sparkSession)
     copied = kinds.where("n > 1").select(*key, "first")
     copies = regions.join(copied, key).where(F.struct("id", "start") > F.struct("first.id", "first.start"))
     copies = materialise(copies.select("id", "start", (F.col("start") + F.col("runs") - 1 + spec.length).alias("stop")), "spans")
     discard(regions)
+    release(texts.sparkSession)
     mixed = materialise(kinds.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "mixed")
     lists = kinds.join(mixed, "gram").groupBy("first.id").agg(F.collect_list(F.struct("gram", "first.start", "first.runs", "first.at")).alias("regions"))
     lists = materialise(lists, "lists")
