@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.llm.lexing import Slab, hash_spans, mix, slabs, spans_hash, tidy, _BYTES, _Powers
+from loomgraph.llm.lexing import Slab, hash_spans, mix, slabs, tidy
 from loomgraph.storage import bounded_batches
 
 SPACE = 32
@@ -44,7 +44,7 @@ _LENGTH = np.array([1] * 192 + [2] * 32 + [3] * 16 + [4] * 16)  # bytes of a cha
 
 
 class Vocabulary:
-    """Pieces as bytes, their log chances, and a hash table of all their beginnings."""
+    """Pieces as bytes, their log chances, and a tree of all their beginnings."""
 
     def __init__(self, path: str) -> None:
         import sentencepiece
@@ -68,36 +68,20 @@ class Vocabulary:
         self.lengths = np.array(lengths)
         self.starts = np.concatenate([[0], np.cumsum(lengths)])
         self.bytes = np.frombuffer(b"".join(self.pieces), dtype=np.uint8)
-        whole = {self.pieces[i]: i for i in usable}
+        self._grow({self.pieces[i]: i for i in usable})
+
+    def _grow(self, whole: dict[bytes, int]) -> None:
+        """The tree of all beginnings of pieces: inner nodes are numbered first and have a row of children by byte."""
         beginnings = sorted({p[:n] for p in whole for n in range(1, len(p) + 1)})
-        flat = np.frombuffer(b"".join(beginnings), dtype=np.uint8)
-        stops = np.cumsum([len(b) for b in beginnings])
-        keys = spans_hash(_BYTES[flat], np.concatenate([[0], stops[:-1]]), stops)
-        ids = np.array([whole.get(b, -1) for b in beginnings])
-        # Two tables by different bits of the hash; the few that clash in both are kept sorted.
-        self.tables, rest = [], np.arange(len(keys))
-        for shift in (44, 24):
-            slot = ((keys[rest] >> np.uint64(shift)) & np.uint64(0xFFFFF)).astype(np.int64)
-            _, first = np.unique(slot, return_index=True)
-            table_key, table_id = np.zeros(1 << 20, dtype=np.uint64), np.full(1 << 20, -2, dtype=np.int32)
-            table_key[slot[first]], table_id[slot[first]] = keys[rest[first]], ids[rest[first]]
-            self.tables.append((shift, table_key, table_id))
-            rest = np.delete(rest, first)
-        order = np.argsort(keys[rest])
-        self.spare = (keys[rest][order], ids[rest][order])
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Piece id of each hash; -1 for a mere beginning, -2 for none."""
-        out = np.full(len(keys), -2, dtype=np.int32)
-        for shift, table_key, table_id in self.tables:
-            slot = ((keys >> np.uint64(shift)) & np.uint64(0xFFFFF)).astype(np.int64)
-            same = table_key[slot] == keys
-            out[same] = table_id[slot[same]]
-        if len(self.spare[0]):
-            at = np.minimum(np.searchsorted(self.spare[0], keys), len(self.spare[0]) - 1)
-            same = self.spare[0][at] == keys
-            out[same] = self.spare[1][at[same]]
-        return out
+        inner = {b""} | {b[:-1] for b in beginnings}
+        number = {b: i for i, b in enumerate([*sorted(inner), *(b for b in beginnings if b not in inner)])}
+        self.inner = len(inner)
+        self.children = np.full(self.inner << 8, -1, dtype=np.int32)
+        self.ids = np.full(len(number), -1, dtype=np.int32)
+        for b in beginnings:
+            self.children[(number[b[:-1]] << 8) + b[-1]] = number[b]
+        for b, i in whole.items():
+            self.ids[number[b]] = i
 
 
 @functools.lru_cache(maxsize=2)
@@ -107,14 +91,15 @@ def vocabulary(path: str) -> Vocabulary:
 
 @dataclass
 class Lattice:
-    """Edges by source node: where they lead, their piece, log chance and running chance, and each node's first edge."""
+    """Edges, side by side for each source node: length in bytes, piece, log chance and running chance; each node's first edge and the one after its last."""
 
-    target: np.ndarray
+    step: np.ndarray
     piece: np.ndarray
     logp: np.ndarray
     chance: np.ndarray
     running: np.ndarray
     first: np.ndarray
+    last: np.ndarray
 
 
 BLOCK = 1 << 17
@@ -127,71 +112,98 @@ def build_lattice(data: np.ndarray, stops: np.ndarray, vocab: Vocabulary) -> Lat
         hi = max(lo + 1, int(np.searchsorted(stops, base + BLOCK)))
         size = int(stops[hi - 1]) - base
         end = np.repeat(stops[lo:hi] - base, np.diff(stops[lo:hi], prepend=base))
-        target, piece, logp, first = _edges(data[base : base + size], end, vocab)
-        parts.append((target + base, piece, logp, first[:-1] + edges))
-        lo, base, edges = hi, base + size, edges + len(target)
-    empty = (np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int32), np.empty(0), np.empty(0, dtype=np.int64))
-    target, piece, logp, first = (np.concatenate(x) for x in zip(empty, *parts, strict=True))
+        step, piece, logp, first, degree = _edges(data[base : base + size], end, vocab)
+        first += edges
+        parts.append((step, piece, logp, first, first + degree))
+        lo, base, edges = hi, base + size, edges + len(step)
+    empty = (np.empty(0, dtype=np.int32), np.empty(0, dtype=np.int32), np.empty(0), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64))
+    step, piece, logp, first, last = (np.concatenate(x) for x in zip(empty, *parts, strict=True))
     chance = np.where(np.isfinite(logp), np.exp(logp), 0.0)
-    return Lattice(target, piece, logp, chance, np.concatenate([[0.0], np.cumsum(chance)]), np.append(first, edges))
+    running = np.zeros(edges + 1)
+    np.cumsum(chance, out=running[1:])
+    return Lattice(step, piece, logp, chance, running, first, last)
 
 
 def _edges(data: np.ndarray, end: np.ndarray, vocab: Vocabulary) -> tuple[np.ndarray, ...]:
-    """Target, piece and log chance of the edges by source node, and each node's first; ``end`` is the end of each byte's stretch."""
+    """Length, piece and log chance of the edges, each node's first and their number; ``end`` is the end of each byte's stretch.
+
+    Nodes nearest to their stretch's end come first, so that a level of the backward sums is a slice.
+    """
     n = len(data)
-    up, down = _Powers.to(n + 1)
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_BYTES[data] * up[:n], out=sums[1:])
     starts = np.flatnonzero((data & 0xC0) != 0x80)
     char = _LENGTH[data[starts]]
-    single = np.zeros(n, dtype=bool)
-    sources, targets, pieces = [], [], []
-    at, size = starts, 0
     char_at = np.zeros(n, dtype=np.int64)
     char_at[starts] = char
-    while len(at) and size < vocab.longest:
-        size += 1
-        at = at[at + size <= end[at]]
-        ids = vocab.find(mix((sums[at + size] - sums[at]) * down[at] + np.uint64(size)))
-        whole = ids >= 0
-        sources.append(at[whole])
-        targets.append(at[whole] + size)
-        pieces.append(ids[whole])
-        single[at[whole][char_at[at[whole]] == size]] = True
-        at = at[ids > -2]
+    single = np.zeros(n, dtype=bool)
+    degree = np.zeros(n, dtype=np.int64)
+    found = []
+    at, node, left = starts, np.zeros(len(starts), dtype=np.int32), end[starts] - starts
+    for size in range(1, vocab.longest + 1):
+        on = np.flatnonzero((left >= size) & (node < vocab.inner))
+        at, left = at[on], left[on]
+        node = vocab.children[(node[on] << 8) + data[at + (size - 1)]]
+        on = np.flatnonzero(node >= 0)
+        if not len(on):
+            break
+        at, left, node = at[on], left[on], node[on]
+        ids = vocab.ids[node]
+        whole = np.flatnonzero(ids >= 0)
+        source = at[whole]
+        degree[source] += 1
+        single[source[char_at[source] == size]] = True
+        found.append((size, source, ids[whole]))
     spelled = starts[~single[starts]]
     lengths = np.minimum(char_at[spelled], end[spelled] - spelled)
     spelled = np.repeat(spelled - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
-    source, target = np.concatenate([*sources, spelled]), np.concatenate([*targets, spelled + 1])
-    piece = np.concatenate([*pieces, FIRST_BYTE + data[spelled].astype(np.int32)])
-    # Backward sums, the nodes nearest to their stretch's end first.
-    order = np.lexsort((source, end[source] - source))
-    src, dst, score = source[order], target[order], vocab.scores[piece[order]]
+    degree[spelled] += 1
+    # Long pieces first within a node: they are the likelier, and the walk looks at edges in this order.
+    nodes = np.flatnonzero(degree)
+    depth = end[nodes] - nodes
+    order = np.argsort(depth.astype(np.uint16) if len(depth) and depth.max() < 1 << 16 else depth, kind="stable")
+    nodes, depth, many = nodes[order], depth[order], degree[nodes[order]]
+    begins = np.concatenate([[0], np.cumsum(many)])
+    first = np.zeros(n, dtype=np.int64)
+    first[nodes] = begins[:-1]
+    free = first.copy()
+    step, piece = np.ones(begins[-1], dtype=np.int32), np.empty(begins[-1], dtype=np.int32)
+    for size, source, ids in reversed(found):
+        slot = free[source]
+        step[slot], piece[slot] = size, ids
+        free[source] = slot + 1
+    piece[free[spelled]] = FIRST_BYTE + data[spelled]
+    ahead = vocab.scores[piece]
+    target = np.repeat(nodes, many) + step
+    target[step == np.repeat(depth, many)] = n  # ends of stretches are one node, whose sum is none
     back = np.full(n + 1, -np.inf)
-    heads = np.flatnonzero(np.diff(src, prepend=-1))
-    depth = (end[src] - src)[heads]
-    levels = np.append(np.flatnonzero(np.diff(depth, prepend=-1)), len(heads))
-    last = dst == end[src]
+    back[n] = 0
+    levels = np.append(np.flatnonzero(np.diff(depth, prepend=-1)), len(depth))
     for lo, hi in zip(levels[:-1], levels[1:], strict=True):
-        a, b = heads[lo], heads[hi] if hi < len(heads) else len(src)
-        ahead = score[a:b] + np.where(last[a:b], 0.0, back[dst[a:b]])
-        cut = heads[lo:hi] - a
-        top = np.maximum.reduceat(ahead, cut)
-        spread = np.repeat(top, np.diff(np.append(cut, b - a)))
+        a, b = begins[lo], begins[hi]
+        ahead[a:b] += back[target[a:b]]
+        cut = begins[lo:hi] - a
+        top = np.maximum.reduceat(ahead[a:b], cut)
         with np.errstate(invalid="ignore"):
-            back[src[heads[lo:hi]]] = top + np.log(np.add.reduceat(np.exp(ahead - spread), cut))
-    # By source, long pieces first: they are the likelier, and the walk looks at edges in this order.
-    order = len(source) - 1 - np.argsort(source[::-1], kind="stable")
-    source, target, piece = source[order], target[order], piece[order]
-    logp = vocab.scores[piece] + np.where(target == end[source], 0.0, back[target]) - back[source]
-    return target, piece, logp, np.searchsorted(source, np.arange(n + 1))
+            back[nodes[lo:hi]] = top + np.log(np.add.reduceat(np.exp(ahead[a:b] - np.repeat(top, many[lo:hi])), cut))
+    ahead -= np.repeat(back[nodes], many)
+    return step, piece, ahead, first, degree
+
 
+def stream(keys: np.ndarray, path: int, use: int) -> np.ndarray:
+    """What a row's random numbers for one path and purpose start from."""
+    return mix(keys + np.uint64((path * 2 + use + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
 
-def uniform(key: np.ndarray, path: int, place: np.ndarray, use: int) -> np.ndarray:
-    """Uniform numbers in (0, 1) from row key, path number, byte and purpose."""
-    h = mix(key + np.uint64((path * 2 + use + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
-    h = mix(h ^ (place.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)))
-    return ((h >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
+
+def uniform(streams: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Uniform numbers in (0, 1) for bytes of rows."""
+    h = place.astype(np.uint64)
+    h *= np.uint64(0xD1B54A32D192ED03)
+    h ^= streams
+    h = mix(h)
+    h >>= np.uint64(11)
+    out = h.astype(np.float64)
+    out += 0.5
+    out /= 1 << 53
+    return out
 
 
 def _truncated(mass: np.ndarray, top: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -243,22 +255,25 @@ class Sampler:
 
     def _walk(self, place: np.ndarray, unit: np.ndarray, path: int, edge_at: np.ndarray) -> None:
         """Draw edges from each place to the end of its unit, noting each at its place."""
-        lat = self.lattice
+        lat, streams = self.lattice, stream(self.keys, path, 0)
         while len(place):
             node = place + self.shift[unit]
             text = self.text_of[place]
-            u = uniform(self.keys[text], path, place - self.begins[text], 0)
-            low, high = lat.first[node], lat.first[node + 1]
-            aim = lat.running[low] + u * (lat.running[high] - lat.running[low])
-            edge = low.copy()
-            late = np.flatnonzero((lat.running[low + 1] <= aim) & (low + 1 < high))
+            aim = uniform(streams[text], place - self.begins[text])  # a node's chances sum to one
+            edge = lat.first[node]
+            final = lat.last[node] - 1
+            aim += lat.running[edge]
+            late = np.flatnonzero(edge < final)
+            late = late[lat.running[edge[late] + 1] <= aim[late]]
+            at, aim, final = edge[late], aim[late], final[late]
             while len(late):
-                edge[late] += 1
-                at = edge[late]
-                late = late[(lat.running[at + 1] <= aim[late]) & (at + 1 < high[late])]
+                at += 1
+                edge[late] = at
+                on = np.flatnonzero((lat.running[at + 1] <= aim) & (at < final))
+                late, at, aim, final = late[on], at[on], aim[on], final[on]
             edge_at[place] = edge
-            place = place + lat.target[edge] - node
-            on = place < self.stops[unit]
+            place = place + lat.step[edge]
+            on = np.flatnonzero(place < self.stops[unit])
             place, unit = place[on], unit[on]
 
     def _path(self, edge_at: np.ndarray, path: int, value: np.ndarray, since: np.ndarray, taken: list[tuple[int, ...]]) -> _Path:
@@ -273,17 +288,18 @@ class Sampler:
         for i in np.flatnonzero([len(t) > 1 for t in taken]):
             j = begins[i] + np.searchsorted(place[begins[i] : begins[i + 1]], since[i])
             gone[int(j)] = sum(lat.chance[e] for e in taken[i])
-        beside = np.empty(len(place))
-        for lo in range(0, len(place), SLAB):
-            part = slice(lo, lo + SLAB)
+        beside, streams = np.full(len(place), -np.inf), stream(self.keys, path, 1)
+        own = np.flatnonzero(place >= since[self.text_of[place]])
+        for lo in range(0, len(own), SLAB):
+            part = own[lo : lo + SLAB]
             text, out = self.text_of[place[part]], lat.chance[edge[part]]
             for j, chance in gone.items():
-                if lo <= j < lo + SLAB:
-                    out[j - lo] = chance
+                if part[0] <= j <= part[-1]:
+                    out[np.searchsorted(part, j)] = chance
             with np.errstate(divide="ignore"):
-                mass = total[:-1][part] - first[text] + np.log(np.where(out < 1 - 1e-12, 1 - out, 0.0))
-            u = uniform(self.keys[text], path, place[part] - self.begins[text], 1)
-            beside[part] = np.where(place[part] >= since[text], _truncated(mass, value[text], u), -np.inf)
+                mass = total[part] - first[text] + np.log(np.where(out < 1 - 1e-12, 1 - out, 0.0))
+            u = uniform(streams[text], place[part] - self.begins[text])
+            beside[part] = _truncated(mass, value[text], u)
         return _Path(place, edge, begins, beside, total[begins[1:]] - first, value, taken)
 
     def sample(self, k: int) -> tuple[list[_Path], np.ndarray, np.ndarray]:
@@ -291,7 +307,7 @@ class Sampler:
         n = len(self.data)
         edge_at = np.full(n, -1, dtype=np.int32)
         self._walk(self.starts, np.arange(len(self.starts)), 0, edge_at)
-        value = -np.log(-np.log(uniform(self.keys, 0, np.zeros(self.texts), 1) ))
+        value = -np.log(-np.log(uniform(stream(self.keys, 0, 1), np.zeros(self.texts))))
         paths = [self._path(edge_at, 0, value, self.begins[:-1], [()] * self.texts)]
         has = [np.ones(self.texts, dtype=bool)]
         threshold = np.full(self.texts, -np.inf)
@@ -314,7 +330,10 @@ class Sampler:
             fresh = np.full(n, -1, dtype=np.int32)
             since, taken = np.full(self.texts, n), [()] * self.texts
             places, units = [], []
-            for i in np.flatnonzero(go):
+            chosen = np.flatnonzero(go)
+            at = np.array([paths[p].place[j] for p, j in where[chosen]], dtype=np.int64)
+            draws = dict(zip(chosen.tolist(), uniform(stream(self.keys[chosen], r, 0), at - self.begins[chosen]), strict=True))
+            for i in chosen.tolist():
                 p, j = where[i]
                 path = paths[p]
                 path.beside[j] = -np.inf
@@ -323,10 +342,10 @@ class Sampler:
                 a = path.begins[i]
                 fresh[path.place[a:j]] = path.edge[a:j]
                 unit = int(np.searchsorted(self.starts, place, side="right") - 1)
-                edge = self._other(i, place, unit, r, out)
+                edge = self._other(place + int(self.shift[unit]), draws[i], out)
                 fresh[place] = edge
                 since[i], taken[i] = place, (*out, edge)
-                after = place + int(self.lattice.target[edge]) - (place + int(self.shift[unit]))
+                after = place + int(self.lattice.step[edge])
                 if after < self.stops[unit]:
                     places.append(np.array([after]))
                     units.append(np.array([unit]))
@@ -343,13 +362,13 @@ class Sampler:
     def _since(self) -> dict[int, np.ndarray]:
         return {0: self.begins[:-1]}
 
-    def _other(self, text: int, place: int, unit: int, path: int, out: tuple[int, ...]) -> int:
-        """An edge at ``place`` that isn't ``out``, by chance."""
-        lat, node = self.lattice, place + int(self.shift[unit])
-        edges = np.arange(lat.first[node], lat.first[node + 1])
-        chance = np.where(np.isin(edges, out), 0.0, lat.chance[edges])
-        u = uniform(self.keys[text : text + 1], path, np.array([place - self.begins[text]]), 0)[0]
-        return int(edges[min(np.searchsorted(np.cumsum(chance), u * chance.sum(), side="right"), np.flatnonzero(chance).max())])
+    def _other(self, node: int, u: float, out: tuple[int, ...]) -> int:
+        """An edge of ``node`` that isn't ``out``, by chance."""
+        first = int(self.lattice.first[node])
+        chance = self.lattice.chance[first : int(self.lattice.last[node])].copy()
+        chance[[e - first for e in out]] = 0.0
+        below = chance.cumsum()
+        return first + min(int(below.searchsorted(u * below[-1], side="right")), int(chance.nonzero()[0][-1]))
 
 
 def decode_flat(ids: np.ndarray, begins: np.ndarray, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
