@@ -11,7 +11,7 @@ MERGE_SIMILARITY, MERGE_TOP_K = 0.90, 5
 REPLAY_CAPACITY, REPLAY_SAMPLE, SELF_TRAIN_CONFIDENCE = 2000, 64, 0.6
 CLAIM_BATCH, STUCK_MINUTES, MAX_ERROR_CHARS, MAX_RETRIES = 100, 10, 2000, 5
 PREVIEW_CHARS, REPLAY_CHARS = 240, 1000
-MAX_TREE_DISTANCE, DISCONNECTED, MAX_SENTENCE_TOKENS = 4, 999, 200
+MAX_TREE_DISTANCE, DISCONNECTED, MAX_SENTENCE_TOKENS, MAX_COREF_CHARS = 4, 999, 200, 8000
 EMBEDDING_DIMENSIONS = 384
 
 CATEGORIES = (

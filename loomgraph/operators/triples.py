@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from loomgraph.config import DISCONNECTED, MAX_SENTENCE_TOKENS, MAX_TREE_DISTANCE
+from loomgraph.config import DISCONNECTED, MAX_COREF_CHARS, MAX_SENTENCE_TOKENS, MAX_TREE_DISTANCE
 from loomgraph.functions.names import TECHNOLOGY_SLUGS, is_technology, plain_slug
-from loomgraph.functions.text import entity_key
+from loomgraph.functions.text import entity_key, slug
 
 # The verbs that make a project use a technology.
 USE_VERBS = ("use", "uses", "using", "employ", "adopt")
@@ -100,6 +100,62 @@ def extract_triples(chunks: DataFrame, chunk_id: str = "chunk_id", text: str = "
     return chunks.select(chunk_id, text).mapInArrow(run, schema)
 
 
+# The dependencies that make a token a verb's subject or one of its objects.
+SUBJECTS = ("nsubj", "nsubjpass")
+OBJECTS = ("dobj", "pobj", "attr", "dative", "obj")
+
+
+def parsed_triples(sentences: DataFrame, key: str, most: int = MAX_TREE_DISTANCE, longest: int = MAX_SENTENCE_TOKENS) -> DataFrame:
+    """``(key, subject, verb, object, subj_type, obj_type)`` of parsed sentences, in one pass without a shuffle.
+
+    ``tokens`` is an array of structs ``(text, lemma, pos, dep, head, ent)``, ``head`` a place in it
+    from 0; ``noun_chunks`` one of ``(first, stop, root)``. A verb, an auxiliary or a root takes its first
+    subject and each of its objects, a token as its noun chunk where it is the root of one.
+    Subject and object hang on one verb, so they are two edges apart: with ``most`` under two
+    nothing is found. Sentences of more than ``longest`` tokens, and null ones, give nothing.
+    """
+    verbs = sentences.where(F.size("tokens") <= longest).select(key, "tokens", "noun_chunks", F.posexplode("tokens").alias("__v", "__verb"))
+    verbs = verbs.where(F.col("__verb.pos").isin("VERB", "AUX") | (F.col("__verb.dep") == "ROOT"))
+
+    def hanging(kinds: tuple[str, ...]) -> Column:
+        places = F.transform("tokens", lambda t, i: F.when((t["head"] == F.col("__v")) & (i != F.col("__v")) & t["dep"].isin(*kinds), i))
+        return F.filter(places, lambda i: i.isNotNull())
+
+    def phrase(place: Column) -> Column:
+        chunk = F.get(F.filter("noun_chunks", lambda c: c["root"] == place), 0)
+        words = F.transform(F.slice("tokens", chunk["first"] + 1, chunk["stop"] - chunk["first"]), lambda t: t["text"])
+        return F.coalesce(F.array_join(words, " "), F.get(F.col("tokens"), place)["text"])
+
+    ends = verbs.withColumn("__s", F.get(hanging(SUBJECTS), 0)).where(F.col("__s").isNotNull() & F.lit(most >= 2))
+    ends = ends.withColumn("__o", F.explode(hanging(OBJECTS)))
+    named = ends.select(
+        key, phrase(F.col("__s")).alias("subject"), F.lower("__verb.lemma").alias("verb"), phrase(F.col("__o")).alias("object"),
+        F.get(F.col("tokens"), F.col("__s"))["ent"].alias("__se"), F.get(F.col("tokens"), F.col("__o"))["ent"].alias("__oe"),
+    )
+    types = (assign_label(slug(F.col("subject")), F.col("__se")).alias("subj_type"), assign_label(slug(F.col("object")), F.col("__oe")).alias("obj_type"))
+    return named.select(key, "subject", "verb", "object", *types)
+
+
+def resolve_references(text: Column, resolver: Callable[[Column], Column] | None = None, longest: int = MAX_COREF_CHARS) -> Column:
+    """Texts with pronouns resolved by ``resolver``, stripped and over ``longest`` characters paragraph by paragraph.
+
+    Without a resolver, or where it gives null or nothing, a text stays as it is.
+    """
+
+    def one(part: Column) -> Column:
+        bare = F.regexp_replace(part, r"^\s+|\s+$", "")
+        return bare if resolver is None else F.coalesce(F.nullif(resolver(bare), F.lit("")), bare)
+
+    return F.when(F.length(text) > longest, F.array_join(F.transform(F.split(text, "\n\n", -1), one), "\n\n")).otherwise(one(text))
+
+
+def structure_rows(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes of documents and chunks, and HAS_CHUNK edges, of ``(document_id, chunk_id, chunk_index)`` rows."""
+    doc, chunk = F.concat(F.lit("document:"), F.col("document_id").cast("string")), F.concat(F.lit("chunk:"), F.col("chunk_id").cast("string"))
+    nodes = chunks.select(doc.alias("key"), F.lit("Document").alias("label")).distinct().union(chunks.select(chunk, F.lit("Chunk")).distinct())
+    return nodes, chunks.select(doc.alias("src"), chunk.alias("dst"), F.lit("HAS_CHUNK").alias("type"), "chunk_index").distinct()
+
+
 def assign_label(slugged: Column, entity_type: Column) -> Column:
     """A node label from the gazetteer and a recogniser's entity type."""
     return F.when(is_technology(slugged), "Technology").when(entity_type == "PERSON", "Person").when(entity_type.isin("ORG", "PRODUCT"), "Project").otherwise("Concept")

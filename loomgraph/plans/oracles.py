@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from loomgraph.functions.names import ALIASES, TECHNOLOGIES
 from loomgraph.functions.text import ABBREVIATIONS, MARKDOWN
 from loomgraph.operators.dedup import PRIME, permutation
 
@@ -267,3 +268,50 @@ c AS (SELECT a AS node, a AS reach FROM e UNION SELECT c.node, e.b FROM c JOIN e
 r AS (SELECT node, min(reach) AS representative FROM c GROUP BY node) SELECT node AS doc_id, representative, count(*) OVER (PARTITION BY representative) AS members FROM r""",
 }
 ORACLES["lsh_pairs"] = f"WITH {_HEADS}, {_HASHED.format(source='heads')}, {_SIMILAR} SELECT a, b, jaccard FROM sim WHERE jaccard >= 0.85"
+
+# The first line of an order is a verb, the second its subject; a phrase from the third line on takes the fourth too.
+_PARSED = (
+    "l AS (SELECT l_orderkey AS o, l_linenumber AS line, min((l_partkey, l_suppkey, l_returnflag)) AS x FROM lineitem GROUP BY 1, 2), "
+    "t AS (SELECT o, row_number() OVER (PARTITION BY o ORDER BY line) AS n, 'Part ' || x[1] AS text, lower(x[3]) AS lemma, x[1] % 3 AS dep, "
+    "CASE x[2] % 4 WHEN 0 THEN 'Person' WHEN 1 THEN 'Project' ELSE 'Concept' END AS label FROM l), "
+    "p AS (SELECT *, CASE WHEN n = 3 THEN concat_ws(' ', text, lead(text) OVER (PARTITION BY o ORDER BY n)) ELSE text END AS phrase FROM t)"
+)
+ORACLES["parsed_triples"] = (
+    f"WITH {_PARSED} SELECT v.o AS sentence_id, s.phrase AS subject, v.lemma AS verb, x.phrase AS object, s.label AS subj_type, x.label AS obj_type "
+    "FROM p v JOIN p s ON s.o = v.o AND s.n = 2 JOIN p x ON x.o = v.o AND x.n > 2 AND x.dep < 2 WHERE v.n = 1"
+)
+_STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+_LONG = r"'  ' || text || chr(10) || chr(10) || ' ' || chr(9) || text || chr(10)"
+ORACLES["resolved_texts"] = (
+    f"WITH a AS (SELECT doc_id, {_LONG} AS x FROM documents) SELECT doc_id, sha256(CASE WHEN length(x) > 8000 "
+    f"THEN array_to_string(list_transform(string_split(x, chr(10) || chr(10)), lambda p: {_STRIP.format('p')}), chr(10) || chr(10)) ELSE {_STRIP.format('x')} END) AS resolved_sha FROM a"
+)
+ORACLES["structure_edges"] = (
+    "SELECT 'document:' || l_orderkey AS src, 'chunk:' || l_orderkey || '-' || l_linenumber AS dst, 'HAS_CHUNK' AS type, l_linenumber AS chunk_index, 'Chunk' AS label FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)"
+)
+ORACLES["self_training_rows"] = "SELECT doc_id, quality::VARCHAR AS category, (doc_id % 10)::DOUBLE / 10 AS category_conf FROM labels WHERE doc_id % 10 >= 6"
+ORACLES["corrected_categories"] = (
+    "SELECT doc_id, CASE WHEN toxic = 1 THEN 'Personal' ELSE lang END AS category, CASE WHEN toxic = 1 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS category_conf FROM documents LEFT JOIN labels USING (doc_id)"
+)
+_SLUG = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', '_', 'g'), '_')"
+_VALUES = lambda rows: ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in row) + ")" for row in rows)
+ORACLES["resolved_aliases"] = (
+    f"WITH al(n, alias, goes_by) AS (VALUES {_VALUES((i, a, b) for i, (a, b) in enumerate(ALIASES.items()))}), te(i, name) AS (VALUES {_VALUES(enumerate(TECHNOLOGIES))}), "
+    f"k AS (SELECT {_SLUG.format('name')} AS slug, arg_max(name, i) AS name FROM te GROUP BY 1), s AS (SELECT n, alias, {_SLUG.format('goes_by')} AS slug FROM al) "
+    f"SELECT p_partkey, alias, s.slug, k.name IS NOT NULL AS technology, coalesce(k.name, alias) AS display FROM part JOIN s ON n = p_partkey % {len(ALIASES)} LEFT JOIN k ON k.slug = s.slug"
+)
+ORACLES["account_fields"] = "SELECT c_custkey, lower(c_name || '@Mail.Example') AS email, c_name AS display_name FROM customer"
+ORACLES["camel_rows"] = 'SELECT c_custkey AS "cCustkey", c_name AS "cName", c_nationkey AS "cNationkey", c_acctbal AS "cAcctbal" FROM customer'
+ORACLES["packed_numbers"] = (
+    "WITH a AS (SELECT l_orderkey, list_sort(list(-l_partkey::BIGINT * 1000003)) AS v FROM lineitem GROUP BY 1) "
+    "SELECT l_orderkey, array_to_string(list_transform(v, lambda x: lower(lpad(hex(x), 16, '0'))), '') AS packed_hex, array_to_string(v, ',') AS unpacked FROM a"
+)
+ORACLES["status_lines"] = (
+    "SELECT o_orderkey, 'data: {\"document_id\":' || o_orderkey || ',\"status\":' || CASE WHEN o_orderstatus = 'P' THEN 'null' ELSE '\"' || o_orderstatus || '\"' END || '}' || chr(10) || chr(10) AS line FROM orders"
+)
+ORACLES["merged_edges_by_type"] = (
+    "WITH e AS (SELECT l_partkey AS src, l_suppkey AS dst, min(CASE WHEN l_linenumber = 1 THEN l_orderkey END) AS a, min(l_orderkey) AS b FROM lineitem GROUP BY 1, 2) SELECT src, dst, 'MENTIONS' AS type, coalesce(a, b) AS chunk FROM e"
+)
+ORACLES["sidecar_texts"] = (
+    "SELECT doc_id AS id, lang, CASE WHEN doc_id % 3 <> 0 THEN sha256(text) END AS text_sha, CASE WHEN doc_id % 3 = 0 OR text IS NULL THEN 'no extracted text for ' || doc_id END AS error FROM documents"
+)

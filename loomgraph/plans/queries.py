@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgraph.functions import names as N
+from loomgraph.functions import records
 from loomgraph.functions import text as T
 from loomgraph.functions import vector as V
 from loomgraph.operators import chunking, classify, dedup, graph, relational, search, triples
@@ -466,8 +467,7 @@ def balanced_weights(spark, d):
 
 @query
 def classified_documents(spark, d):
-    samples = spark.createDataFrame(list(classify.SEED), "text string, label string").coalesce(1)
-    model = classify.train(samples)
+    model = classify.train(classify.seed_rows(spark))
     return rounded(classify.classify(R.table(spark, d, "documents").select("doc_id", "text"), model).select("doc_id", "category", "category_conf"), "category_conf")
 
 
@@ -482,6 +482,83 @@ def triple_graph(spark, d):
     return nodes.join(mentions.groupBy("key").agg(F.count("*").alias("chunks")), "key")
 
 
+@query
+def parsed_triples(spark, d):
+    return triples.parsed_triples(R.parsed_orders(spark, d), "sentence_id")
+
+
+@query
+def resolved_texts(spark, d):
+    long = F.concat(F.lit("  "), "text", F.lit("\n\n \t"), "text", F.lit("\n"))
+    return R.table(spark, d, "documents").select("doc_id", F.sha2(triples.resolve_references(long), 256).alias("resolved_sha"))
+
+
+@query
+def structure_edges(spark, d):
+    chunks = R.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("chunk_id"), F.col("l_linenumber").alias("chunk_index"))
+    nodes, edges = triples.structure_rows(chunks)
+    return edges.join(nodes.select(F.col("key").alias("dst"), "label"), "dst")
+
+
+@query
+def self_training_rows(spark, d):
+    rows = R.table(spark, d, "labels").select("doc_id", F.col("quality").cast("string").alias("category"), (F.pmod("doc_id", F.lit(10)) / 10).alias("category_conf"))
+    return classify.confident(rows, updates=20)
+
+
+@query
+def corrected_categories(spark, d):
+    docs = R.table(spark, d, "documents").select("doc_id", F.col("lang").alias("category"), F.lit(0.5).alias("category_conf"))
+    return classify.correct(docs, R.table(spark, d, "labels").where("toxic = 1").select("doc_id", F.lit("Personal").alias("label")), "doc_id")
+
+
+@query
+def resolved_aliases(spark, d):
+    known = spark.createDataFrame(list(enumerate(N.ALIASES)), "n int, alias string")
+    rows = R.table(spark, d, "part").select("p_partkey", F.pmod("p_partkey", F.lit(len(N.ALIASES))).cast("int").alias("n")).join(F.broadcast(known), "n")  # the aliases are a fixed list
+    slugged = N.resolve_alias(T.ascii_slug(F.col("alias")))
+    return rows.select("p_partkey", "alias", slugged.alias("slug"), N.is_technology(slugged).alias("technology"), records.display_name(slugged, F.col("alias")).alias("display"))
+
+
+@query
+def account_fields(spark, d):
+    name = F.concat(F.lit(" \t"), "c_name", F.lit("\n"))
+    return R.table(spark, d, "customer").select("c_custkey", records.account_email(F.concat("c_name", F.lit("@Mail.Example"))).alias("email"), records.account_name(name).alias("display_name"))
+
+
+@query
+def camel_rows(spark, d):
+    return records.rename_keys(R.table(spark, d, "customer").select("c_custkey", "c_name", F.struct("c_nationkey", "c_acctbal").alias("c_home_data"))).select("cCustkey", "cName", "cHomeData.cNationkey", "cHomeData.cAcctbal")
+
+
+@query
+def packed_numbers(spark, d):
+    numbers = R.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(-F.col("l_partkey").cast("bigint") * 1000003)).alias("numbers"))
+    packed = numbers.withColumn("packed", records.pack_uint64(F.col("numbers")))
+    return packed.select("l_orderkey", F.lower(F.hex("packed")).alias("packed_hex"), F.array_join(records.unpack_uint64(F.col("packed")).cast("array<string>"), ",").alias("unpacked"))
+
+
+@query
+def status_lines(spark, d):
+    status = F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus"))
+    return R.table(spark, d, "orders").select("o_orderkey", records.status_lines(F.col("o_orderkey").alias("document_id"), status.alias("status")).alias("line"))
+
+
+@query
+def merged_edges_by_type(spark, d):
+    rows = R.table(spark, d, "lineitem")
+    old = rows.where("l_linenumber = 1").groupBy(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"), F.lit("MENTIONS").alias("type")).agg(F.min("l_orderkey").alias("chunk"))
+    new = rows.where("l_linenumber > 1").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"), F.lit("MENTIONS").alias("type"), F.col("l_orderkey").alias("chunk"))
+    return sinks.merge_edges(old, new)
+
+
+@query
+def sidecar_texts(spark, d):
+    docs = R.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang")
+    texts = R.table(spark, d, "documents").where("doc_id % 3 <> 0").select(F.col("doc_id").alias("document_id"), "text")
+    return sinks.with_sidecars(docs, texts).select("id", "lang", F.sha2("text", 256).alias("text_sha"), "error")
+
+
 @query
 def upserted_users(spark, d):
     events = R.table(spark, d, "events").select("user_id", "event_id", "event_type", "value")

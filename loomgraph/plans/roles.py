@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.operators.graph import cooccurrence, prerequisites
@@ -59,6 +59,25 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.col("doc_id").alias("id"), F.col("source").alias("user_id"), F.col("lang").alias("category"), F.substring("text", 1, 40).alias("title"), F.col("doc_id").alias("created_at"), "text", preview(F.col("text")).alias("preview"))
 
 
+def parsed_orders(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as parsed sentences: the first line is the verb, the second its subject and others are objects or not."""
+    line = F.min(F.struct("l_partkey", "l_suppkey", "l_returnflag")).alias("line")
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(line)
+    orders = lines.groupBy(F.col("l_orderkey").alias("sentence_id")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "line"))).alias("lines"))
+
+    def token(x: Column, i: Column) -> Column:
+        part, supplier = x["line"]["l_partkey"], x["line"]["l_suppkey"]
+        objects = F.when(part % 3 == 0, "dobj").when(part % 3 == 1, "pobj").otherwise("advmod")
+        return F.struct(
+            F.concat(F.lit("Part "), part.cast("string")).alias("text"), x["line"]["l_returnflag"].alias("lemma"),
+            F.when(i == 0, "VERB").otherwise("NOUN").alias("pos"), F.when(i == 0, "ROOT").when(i == 1, "nsubj").otherwise(objects).alias("dep"),
+            F.lit(0).alias("head"), F.when(supplier % 4 == 0, "PERSON").when(supplier % 4 == 1, "ORG").alias("ent"),
+        )
+
+    chunk = F.struct(F.lit(2).alias("first"), F.lit(4).alias("stop"), F.lit(2).alias("root"))
+    return orders.select("sentence_id", F.transform("lines", token).alias("tokens"), F.array(chunk).alias("noun_chunks"))
+
+
 def outbox(spark: SparkSession, d: str) -> DataFrame:
     """Events of the stream as queue events."""
     rows = table(spark, d, "events")

@@ -6,6 +6,7 @@ import io
 import re
 import zipfile
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
@@ -110,8 +111,17 @@ def docx_text(raw: bytes) -> str:
     return "\n\n".join(line for line in lines if line.strip())
 
 
+@dataclass
+class Extracted:
+    """A text with what its extractor tells about it."""
+
+    text: str
+    used_ocr: bool = False
+    page_count: int | None = None
+
+
 #: Extractors by kind, ``bytes -> text``. PDF and image readers need libraries of their own: add them here.
-EXTRACTORS: dict[str, Callable[[bytes], str]] = {
+EXTRACTORS: dict[str, Callable[[bytes], str | Extracted]] = {
     "txt": lambda raw: raw.decode("utf-8", errors="replace"),
     "note": lambda raw: raw.decode("utf-8", errors="replace"),
     "md": lambda raw: raw.decode("utf-8", errors="replace"),
@@ -120,26 +130,57 @@ EXTRACTORS: dict[str, Callable[[bytes], str]] = {
 }
 
 
-def extract_text(files: DataFrame, content: str = "content", kind: str = "kind", extractors: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
-    """Add ``text`` and ``error`` to files; a file that can't be read has its error and no text."""
+PROBED_PAGES = 3
+
+
+def paged_extractor(pages: Callable[[bytes], list[str]], ocr: Callable[[bytes], str] | None = None) -> Callable[[bytes], Extracted]:
+    """An extractor of paged files from a reader of page texts and a recogniser of images.
+
+    Where the first pages hold any text, pages are joined by a blank line and counted. Where they
+    hold none or can't be read, the recogniser is asked; without one that is an error.
+    """
+
+    def run(raw: bytes) -> Extracted:
+        try:
+            texts = pages(raw)
+        except Exception:
+            texts = []
+        if any(t.strip() for t in texts[:PROBED_PAGES]):
+            return Extracted("\n\n".join(texts), page_count=len(texts))
+        if ocr is None:
+            raise ValueError("no text layer, and no recogniser of images")
+        return Extracted(ocr(raw), used_ocr=True)
+
+    return run
+
+
+def recognised(ocr: Callable[[bytes], str]) -> Callable[[bytes], Extracted]:
+    """An extractor of images from a recogniser."""
+    return lambda raw: Extracted(ocr(raw), used_ocr=True)
+
+
+def extract_text(files: DataFrame, content: str = "content", kind: str = "kind", extractors: dict[str, Callable[[bytes], str | Extracted]] | None = None) -> DataFrame:
+    """Add ``text``, ``used_ocr``, ``page_count`` and ``error`` to files; a file that can't be read has its error and no text."""
     use = EXTRACTORS | (extractors or {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, errors = [], []
+            read, errors = [], []
             for raw, of in zip(batch.column(content).to_pylist(), batch.column(kind).to_pylist(), strict=True):
                 try:
                     if of not in use:
                         raise ValueError(f"unsupported kind {of}")
-                    texts.append(use[of](raw or b""))
+                    found = use[of](raw or b"")
+                    read.append(found if isinstance(found, Extracted) else Extracted(found))
                     errors.append(None)
                 except Exception as e:
-                    texts.append(None)
+                    read.append(Extracted(None))
                     errors.append(str(e)[:2000])
-            yield pa.record_batch([*batch.columns, pa.array(texts, pa.string()), pa.array(errors, pa.string())], names=[*batch.schema.names, "text", "error"])
+            made = [pa.array([getattr(r, f) for r in read], kind) for f, kind in (("text", pa.string()), ("used_ocr", pa.bool_()), ("page_count", pa.int32()))]
+            yield pa.record_batch([*batch.columns, *made, pa.array(errors, pa.string())], names=[*batch.schema.names, "text", "used_ocr", "page_count", "error"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema)
-    done = files.mapInArrow(run, f"{fields}, text string, error string")
+    done = files.mapInArrow(run, f"{fields}, text string, used_ocr boolean, page_count int, error string")
     return done.withColumn("text", F.when(F.col(kind) == "md", strip_markdown(F.col("text"))).otherwise(F.col("text")))
 
 

@@ -36,6 +36,21 @@ def merge_nodes(old: DataFrame, new: DataFrame, key: str = "key") -> DataFrame:
     return old.unionByName(made.select(*old.columns))
 
 
+def merge_edges(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Match or create by ``(src, dst, type)``: an existing edge keeps its properties; of new parallel ones the least row is created."""
+    ends = ["src", "dst", "type"]
+    rest = [c for c in old.columns if c not in ends]
+    made = new.join(old.select(*ends), ends, "left_anti").groupBy(*ends).agg(F.min(F.struct(*rest, *ends)).alias("__row")).select("__row.*")
+    return old.unionByName(made.select(*old.columns))
+
+
+def with_sidecars(documents: DataFrame, texts: DataFrame, key: str = "id") -> DataFrame:
+    """Documents with their extracted ``text`` of ``(document_id, text)`` rows, and an ``error`` where there is none."""
+    found = texts.select(F.col("document_id").alias(key), "text")
+    joined = documents.drop("text", "error").join(found, key, "left")
+    return joined.withColumn("error", F.when(F.col("text").isNull(), F.concat(F.lit("no extracted text for "), F.col(key).cast("string"))))
+
+
 def purge(table: DataFrame, column: str, deleted: DataFrame, deleted_column: str) -> DataFrame:
     """Rows that don't refer to a deleted id; what a cascading delete leaves of a child table."""
     return table.join(deleted.select(F.col(deleted_column).alias(column)).distinct(), column, "left_anti")

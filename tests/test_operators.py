@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from loomgraph.functions import records
 from loomgraph.functions import names
 from loomgraph.functions import text as T
 from loomgraph.functions import vector as V
@@ -468,3 +469,85 @@ def test_scratch_tables_end_with_their_block(spark):
     for table in (gone, deep):
         with pytest.raises(Exception):  # noqa: B017
             table.count()
+
+
+def test_parsed_triples(spark):
+    token = "struct<text:string,lemma:string,pos:string,dep:string,head:int,ent:string>"
+    schema = f"id int, tokens array<{token}>, noun_chunks array<struct<first:int,stop:int,root:int>>"
+    said = [("The", "the", "DET", "det", 1, None), ("team", "team", "NOUN", "nsubj", 2, "ORG"), ("Uses", "USE", "VERB", "ROOT", 2, None), ("Redis", "redis", "PROPN", "dobj", 2, None), ("Ada", "ada", "PROPN", "dative", 2, "PERSON")]
+    rows = [(1, said, [(0, 2, 1)]), (2, said, None), (3, None, None), (4, [], []), (5, said[:2], []), (6, said * 41, [])]
+    found = triples.parsed_triples(spark.createDataFrame(rows, schema), "id").where("id <> 6")
+    assert sorted(tuple(r) for r in found.collect()) == [
+        (1, "The team", "use", "Ada", "Project", "Person"), (1, "The team", "use", "Redis", "Project", "Technology"),
+        (2, "team", "use", "Ada", "Project", "Person"), (2, "team", "use", "Redis", "Project", "Technology"),
+    ]
+    assert triples.parsed_triples(spark.createDataFrame(rows, schema), "id").where("id = 6").count() == 0
+    assert triples.parsed_triples(spark.createDataFrame(rows, schema), "id", most=1).count() == 0
+
+
+def test_references_are_resolved_by_paragraph(spark):
+    df = spark.createDataFrame([(" he said \n\n he ",), ("",), (None,)], "t string")
+    assert [r[0] for r in df.select(triples.resolve_references(F.col("t"))).collect()] == ["he said \n\n he", "", None]
+    by = lambda c: F.when(~c.startswith("x"), F.regexp_replace(c, "he", "Ann"))
+    assert [r[0] for r in df.select(triples.resolve_references(F.col("t"), by, 5)).collect()] == ["Ann said\n\nAnn", "", None]
+
+
+def test_records(spark):
+    df = spark.createDataFrame([([1, -1, (1 << 63) - 1, -(1 << 63)],), ([],), (None,)], "v array<bigint>")
+    packed = df.select("v", records.pack_uint64(F.col("v")).alias("p")).select("*", records.unpack_uint64(F.col("p")).alias("u")).collect()
+    assert all(r.u == r.v for r in packed)
+    assert bytes(packed[0].p) == b"".join((x % (1 << 64)).to_bytes(8, "big") for x in packed[0].v)
+    nested = spark.createDataFrame([(1, [(2, "a")])], "doc_id int, all_rows array<struct<row_no:int,at_x:string>>")
+    renamed = records.rename_keys(nested)
+    assert renamed.schema.simpleString() == "struct<docId:int,allRows:array<struct<rowNo:int,atX:string>>>"
+    assert records.rename_keys(renamed, records.snake).schema == nested.schema
+    row = spark.range(1).select(records.status_lines(F.lit(1).alias("a"), F.lit(None).cast("string").alias("b")).alias("x"))
+    assert row.first().x == 'data: {"a":1,"b":null}\n\n'
+
+
+def test_paged_files_are_probed(spark):
+    read = files.paged_extractor(lambda raw: raw.decode().split("|"), lambda raw: "seen")
+    rows = [(1, b"a|b", "pdf"), (2, b"||| late", "pdf"), (3, b"\xff", "pdf"), (4, b"", "image"), (5, b"x", "txt"), (6, b"", "odd")]
+    got = files.extract_text(spark.createDataFrame(rows, "n int, content binary, kind string"), extractors={"pdf": read, "image": files.recognised(lambda raw: "pic")})
+    assert {r.n: (r.text, r.used_ocr, r.page_count) for r in got.collect()} == {
+        1: ("a\n\nb", False, 2), 2: ("seen", True, None), 3: ("seen", True, None), 4: ("pic", True, None), 5: ("x", False, None), 6: (None, False, None),
+    }
+    blind = files.extract_text(spark.createDataFrame(rows[1:2], "n int, content binary, kind string"), extractors={"pdf": files.paged_extractor(lambda raw: [])})
+    assert "no text layer" in blind.first().error
+
+
+def test_classifier_life_cycle(spark, tmp_path):
+    small = {"rounds": 3, "dimensions": 1 << 10}
+    path = str(tmp_path / "engine")
+    docs = spark.createDataFrame([(1, "A query joins tables by an index of the database", "CHUNKED"), (2, " ", "CHUNKED"), (3, None, "CHUNKED")], "id int, text string, status string")
+    cold = classify.index_documents(docs, classify.Engine())
+    assert pairs(cold, "id", "category", "category_conf", "status") == [(i, "Uncategorized", 0.0, "INDEXED") for i in (1, 2, 3)]
+    engine = classify.load_or_seed(spark, path, second=False, **small)
+    assert (engine.updates, engine.second) == (20, None)
+    again = classify.load_or_seed(spark, path, **small)
+    assert again.updates == 20
+    got = {r.id: (r.category, r.category_conf) for r in classify.index_documents(docs, again).collect()}
+    assert got[1][0] == "Databases" and got[2] == got[3] == ("Uncategorized", 0.0)
+    assert classify.learn(again, spark.createDataFrame([], "text string, label string")) is again
+    new = spark.createDataFrame([("bread, flour and yeast", "Cooking")], "text string, label string")
+    grown = classify.learn(again, new, new, second=False, **small)
+    assert grown.updates == 22
+    sure = spark.createDataFrame([(1, 0.6), (2, 0.5), (3, None)], "id int, category_conf double")
+    assert [r.id for r in classify.confident(sure, updates=20).collect()] == [1]
+    assert classify.confident(sure, updates=0).count() == 0
+    hinge = classify.learn(classify.Engine(), new, rounds=1, dimensions=1 << 6)
+    hinge.save(spark, path)
+    assert classify.load(spark, path).second is not None
+
+
+def test_edges_and_sidecars_merge(spark):
+    edge = "src int, dst int, type string, w int"
+    old = spark.createDataFrame([(1, 2, "A", 5)], edge)
+    new = spark.createDataFrame([(1, 2, "A", 1), (1, 2, "B", 3), (1, 2, "B", 2), (2, 1, "A", None)], edge)
+    assert sorted(map(str, sinks.merge_edges(old, new).collect())) == sorted(map(str, spark.createDataFrame([(1, 2, "A", 5), (1, 2, "B", 2), (2, 1, "A", None)], edge).collect()))
+    docs = spark.createDataFrame([(1,), (2,)], "id int")
+    got = {r.id: (r.text, r.error) for r in sinks.with_sidecars(docs, spark.createDataFrame([(1, "x")], "document_id int, text string")).collect()}
+    assert got == {1: ("x", None), 2: (None, "no extracted text for 2")}
+    nodes, edges = triples.structure_rows(spark.createDataFrame([(1, 7, 0), (1, 8, 1), (1, 8, 1)], "document_id int, chunk_id int, chunk_index int"))
+    assert pairs(nodes, "key", "label") == [("chunk:7", "Chunk"), ("chunk:8", "Chunk"), ("document:1", "Document")]
+    assert pairs(edges, "src", "dst", "chunk_index") == [("document:1", "chunk:7", 0), ("document:1", "chunk:8", 1)]
