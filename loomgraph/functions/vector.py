@@ -27,8 +27,9 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    size = norm(a)
-    return F.when(size > 0, F.transform(a, lambda x: (x.cast("double") / size))).otherwise(F.transform(a, lambda x: x.cast("double")))
+    whole = F.transform(a, lambda x: x.cast("double"))
+    # The norm is bound as an array's one element: inside the lambda over components it would be computed for each.
+    return F.transform(F.array(norm(a)), lambda size: F.when(size > 0, F.transform(a, lambda x: x.cast("double") / size)).otherwise(whole))[0]
 
 
 def clamp(x: Column) -> Column:

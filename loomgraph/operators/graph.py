@@ -11,8 +11,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgraph.config import DAMPING, MERGE_SIMILARITY, MERGE_TOP_K, MIN_COOCCURRENCE, PAGERANK_FALLBACK_ROUNDS, PAGERANK_ROUNDS, PREREQ_THRESHOLD
-from loomgraph.functions.vector import dot, unit
+from loomgraph.functions.vector import unit
 from loomgraph.operators.components import connected_components
+from loomgraph.operators.nearest import nearest, numbered, with_key, with_number
 from loomgraph.storage import materialise
 
 
@@ -100,20 +101,17 @@ def alias_canonical(nodes: DataFrame, resolved: Column) -> DataFrame:
 def top_similar(nodes: DataFrame, threshold: float = MERGE_SIMILARITY, k: int = MERGE_TOP_K) -> DataFrame:
     """``(key, other, similarity)``: of each node the ``k`` most similar of its label at or over the threshold.
 
-    Nodes of a label meet in blocks: a node is sent to as many blocks as its label
-    has, so a large label is many tasks; the ``k`` best of each are cut before the shuffle.
+    Nodes of a label meet as matrix products of blocks; each task cuts to the ``k`` best of a node
+    before the shuffle.
     """
-    vectors = nodes.where(F.col("embedding").isNotNull()).select("key", "label", unit(F.col("embedding")).alias("v"))
+    vectors = nodes.where(F.col("embedding").isNotNull() & F.col("label").isNotNull()).select("key", F.col("label").cast("string").alias("label"), unit(F.col("embedding")).alias("vector"))
     vectors = materialise(vectors, "vectors")
-    sizes = vectors.groupBy("label").agg(F.ceil(F.count("*") / 512).cast("int").alias("blocks"))
-    placed = vectors.join(F.broadcast(sizes), "label")  # a row for each label
-    left = placed.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)")))
-    right = placed.withColumn("with", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)")))
-    x = left.select("label", "block", "with", "key", "v")
-    y = right.select("label", "block", "with", F.col("key").alias("other"), F.col("v").alias("w"))
-    pairs = x.join(y, ["label", "block", "with"]).where("key <> other").select("key", "other", dot(F.col("v"), F.col("w")).alias("similarity"))
-    rank = F.row_number().over(W.partitionBy("key").orderBy(F.desc("similarity"), "other"))
-    return pairs.where(F.col("similarity") >= threshold).withColumn("__rank", rank).where(F.col("__rank") <= k).drop("__rank")
+    ids = numbered(vectors.select("key"))
+    rows = with_number(vectors, "key", ids).select("n", "label", "vector")
+    found = nearest(rows, rows, k, least=threshold, cosine=False)
+    rank = F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "n"))
+    best = found.withColumn("rank", rank).where(F.col("rank") <= k)
+    return with_key(with_key(best, "q", "key", ids), "n", "other", ids).select("key", "other", F.col("score").alias("similarity"))
 
 
 def embedding_canonical(nodes: DataFrame, threshold: float = MERGE_SIMILARITY, k: int = MERGE_TOP_K) -> DataFrame:
