@@ -11,7 +11,7 @@ from loomgraph.functions import records
 from loomgraph.functions import names
 from loomgraph.functions import text as T
 from loomgraph.functions import vector as V
-from loomgraph.operators import chunking, classify, dedup, graph, relational, search, triples
+from loomgraph.operators import chunking, classify, dedup, graph, nearest, relational, search, triples
 from loomgraph.operators.components import connected_components
 from loomgraph.plans import queries
 from loomgraph.sources import files, sinks
@@ -551,3 +551,44 @@ def test_edges_and_sidecars_merge(spark):
     nodes, edges = triples.structure_rows(spark.createDataFrame([(1, 7, 0), (1, 8, 1), (1, 8, 1)], "document_id int, chunk_id int, chunk_index int"))
     assert pairs(nodes, "key", "label") == [("chunk:7", "Chunk"), ("chunk:8", "Chunk"), ("document:1", "Document")]
     assert pairs(edges, "src", "dst", "chunk_index") == [("document:1", "chunk:7", 0), ("document:1", "chunk:8", 1)]
+
+
+def test_nearest_rows_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "PACK", 16)
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(70, 4))
+    v[40:60] = v[3]  # copies, whose order is that of their ids
+    v[7], v[8] = 0.0, v[9] * 2
+    rows = [(f"k{i:02d}", x.tolist()) for i, x in enumerate(v)] + [("k98", None), ("k99", [1.0, 2.0])]
+    vectors = spark.createDataFrame(rows, "id string, embedding array<double>")
+    asked = vectors.where("id < 'k12' or id in ('k45', 'k98')").select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
+
+    def score(a, b):
+        size = np.linalg.norm(a) * np.linalg.norm(b) if a and b and len(a) == len(b) else 0
+        return None if not size else round(float(np.dot(a, b) / size), 9)
+
+    for k in (3, 71):
+        want = set()
+        for q in asked.collect():
+            best = sorted((-9.0 if (s := score(q.query, x)) is None else s, i) for i, x in rows if i != q.query_id)
+            best = sorted(best, key=lambda p: (-p[0], p[1]))[:k]
+            want |= {(q.query_id, i, r + 1) for r, (_, i) in enumerate(best)}
+        got = search.ranked_by_cosine(asked, vectors, k)
+        assert {(r.query_id, r.id, r.rank) for r in got.collect()} == want
+
+
+def test_nearest_rows_leave_a_task_and_not_pairs(spark):
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(2000, 8))
+    v[:1000] = v[0]
+    nodes = spark.createDataFrame([(i, i % 2, x.tolist()) for i, x in enumerate(v)], "key long, label int, embedding array<double>")
+    rows = nodes.select(F.col("key").alias("n"), F.lit("").alias("label"), V.unit(F.col("embedding")).alias("vector"))
+    assert nearest.nearest(rows, rows, 5, least=0.5, cosine=False).count() <= 5 * 2000
+    got = {(r.key, r.other) for r in graph.top_similar(nodes, threshold=0.5).where("key < 4").collect()}
+    assert {p for p in got if p[0] == 1} == {(1, i) for i in (3, 5, 7, 9, 11)} and {p for p in got if p[0] == 2} == {(2, i) for i in (0, 4, 6, 8, 10)}
+
+
+def test_every_row_is_asked_for_its_neighbour(spark, tmp_path):
+    rows = [(1, [1.0, 0.0], 0), (2, [0.9, 0.1], 0), (3, [0.0, 1.0], 1), (4, [0.1, 0.9], 0)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert queries.neighbour_f1(spark, str(tmp_path)).first()[0] == pytest.approx((2 * 2 / 6 + 0) / 2, abs=1e-6)
