@@ -14,31 +14,40 @@ from loomgraph.config import DAMPING, MERGE_SIMILARITY, MERGE_TOP_K, MIN_COOCCUR
 from loomgraph.functions.vector import unit
 from loomgraph.operators.components import connected_components
 from loomgraph.operators.nearest import nearest, numbered, with_key, with_number
-from loomgraph.storage import materialise
+from loomgraph.storage import dealt_by_rows, materialise
 
 
 #: Entities of one chunk that a task pairs with as many others; larger chunks are split.
 BLOCK = 1024
 
 
-def _blocks(rows: DataFrame, by: str, key: str, x: str, y: str) -> tuple[DataFrame, DataFrame]:
+def _blocks(rows: DataFrame, sizes: DataFrame, by: str, key: str, x: str, y: str) -> tuple[DataFrame, DataFrame]:
     """``rows`` twice, with columns ``x`` and ``y`` of block numbers: joined on both, each pair of a group meets once.
 
     A group of more than ``BLOCK`` rows is as many blocks, each sent to all of its group's, so a large group is many tasks.
+    ``sizes`` are the rows of each group.
     """
-    sizes = rows.groupBy(by).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("__blocks")).where("__blocks > 1")
-    placed = rows.join(materialise(sizes, "sizes"), by, "left").withColumn("__blocks", F.coalesce("__blocks", F.lit(1)))
+    blocks = sizes.select(by, F.ceil(F.col("__rows") / BLOCK).cast("int").alias("__blocks")).where("__blocks > 1")
+    placed = rows.join(materialise(blocks, "sizes"), by, "left").withColumn("__blocks", F.coalesce("__blocks", F.lit(1)))
     own, every = F.pmod(F.xxhash64(key), F.col("__blocks")).cast("int"), F.explode(F.expr("sequence(0, __blocks - 1)"))
     return placed.withColumn(x, own).withColumn(y, every).drop("__blocks"), placed.withColumn(y, own).withColumn(x, every).drop("__blocks")
 
 
 def cooccurrence(mentions: DataFrame, chunk: str = "chunk", key: str = "key", least: int = 1) -> DataFrame:
-    """``(src, dst, weight)``, ``src < dst``: in how many chunks two entities stand together."""
-    once = materialise(mentions.select(chunk, key).distinct(), "mentions")
-    x, y = _blocks(once, chunk, key, "__x", "__y")
-    on = [chunk, "__x", "__y"]
-    pairs = x.withColumnRenamed(key, "src").join(y.withColumnRenamed(key, "dst"), on).where("src < dst").groupBy("src", "dst").agg(F.count("*").alias("weight"))
-    return pairs.where(F.col("weight") >= (least or MIN_COOCCURRENCE))
+    """``(src, dst, weight)``, ``src < dst``: in how many chunks two entities stand together.
+
+    Pairs are written: how many there are is known before they are made, and tasks are as many as that needs.
+    """
+    spark, named = mentions.sparkSession, mentions.select(chunk, key)
+    with dealt_by_rows(spark, named.count()):
+        once = materialise(named.distinct(), "mentions")
+        sizes = materialise(once.groupBy(chunk).agg(F.count("*").alias("__rows")), "groups")
+    made = sizes.agg(F.sum(F.col("__rows") * (F.col("__rows") + 1) / 2).cast("long")).first()[0] or 0
+    with dealt_by_rows(spark, made):
+        x, y = _blocks(once, sizes, chunk, key, "__x", "__y")
+        on = [chunk, "__x", "__y"]
+        pairs = x.withColumnRenamed(key, "src").join(y.withColumnRenamed(key, "dst"), on).where("src < dst").groupBy("src", "dst").agg(F.count("*").alias("weight"))
+        return materialise(pairs.where(F.col("weight") >= (least or MIN_COOCCURRENCE)), "pairs")
 
 
 def both_ways(edges: DataFrame) -> DataFrame:

@@ -156,7 +156,7 @@ def chunk_keyphrases(spark, d):
 
 @query
 def technology_cooccurrence(spark, d):
-    return graph.cooccurrence(R.technology_mentions(spark, d))
+    return R.technology_pairs(spark, d)
 
 
 @query

@@ -13,16 +13,20 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _mentions(spark: SparkSession, d: str, key: str) -> DataFrame:
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("chunk"), F.col(key).alias("key"))
+
+
 def concept_mentions(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("chunk"), F.col("l_partkey").alias("key")).distinct()
+    return _mentions(spark, d, "l_partkey").distinct()
 
 
-def technology_mentions(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("chunk"), F.col("l_suppkey").alias("key")).distinct()
+def technology_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return cooccurrence(_mentions(spark, d, "l_suppkey"))
 
 
 def concept_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return cooccurrence(concept_mentions(spark, d), least=2)
+    return cooccurrence(_mentions(spark, d, "l_partkey"), least=2)
 
 
 def concept_prerequisites(spark: SparkSession, d: str) -> DataFrame:

@@ -11,6 +11,8 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -100,3 +102,20 @@ def bounded_batches(spark: SparkSession, size: str = "4m") -> None:
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(key, None) is None:
         spark.conf.set(key, size)
+
+
+@contextmanager
+def dealt_by_rows(spark: SparkSession, rows: int, each: int = 1_000_000) -> Iterator[None]:
+    """Within the block, shuffles have a partition for about ``each`` of ``rows``, so that what a task holds doesn't grow with the input.
+
+    Adaptive execution would join partitions up to a size in compressed bytes, which says little of a hash table.
+    """
+    wanted = {"spark.sql.shuffle.partitions": str(max(-(-rows // each), spark.sparkContext.defaultParallelism)), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)

@@ -15,7 +15,7 @@ from loomgraph.operators import chunking, classify, dedup, graph, nearest, relat
 from loomgraph.operators.components import connected_components
 from loomgraph.plans import queries
 from loomgraph.sources import files, sinks
-from loomgraph.storage import Scratch, materialise
+from loomgraph.storage import Scratch, dealt_by_rows, materialise
 from loomgraph.streaming import outbox
 
 
@@ -592,3 +592,11 @@ def test_every_row_is_asked_for_its_neighbour(spark, tmp_path):
     rows = [(1, [1.0, 0.0], 0), (2, [0.9, 0.1], 0), (3, [0.0, 1.0], 1), (4, [0.1, 0.9], 0)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert queries.neighbour_f1(spark, str(tmp_path)).first()[0] == pytest.approx((2 * 2 / 6 + 0) / 2, abs=1e-6)
+
+
+def test_pairs_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(graph, "dealt_by_rows", lambda spark, rows: dealt_by_rows(spark, rows, each=50))
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    found = graph.cooccurrence(spark.createDataFrame([(i % 3, i) for i in range(60)], "chunk int, key int"))
+    assert found.count() == 3 * 20 * 19 // 2 and len(found.inputFiles()) >= 10
+    assert (spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")) == before
