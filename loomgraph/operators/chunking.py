@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from loomgraph.config import CHUNK_MAX_CHARS, CHUNK_MIN_CHARS, CHUNK_PERCENTILE
 from loomgraph.functions.text import clean_text, hard_split, pack, sentences, strip
 from loomgraph.functions.vector import Embedder, dot, hashed_vectors
+from loomgraph.storage import bounded_batches, tidy
 
 
 def adjacent_distances(rows: DataFrame, doc: str, order: str, vector: str = "embedding") -> DataFrame:
@@ -36,7 +37,8 @@ def _sentence_groups(embedder: Embedder, percentile: float = CHUNK_PERCENTILE):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             groups = []
-            for parts in batch.column(1).to_pylist():
+            for listed in batch.column(1):  # one document's sentences at a time are Python strings
+                parts = listed.as_py()
                 # Vectors are made 512 sentences at a time, the last one again as the next first.
                 far = [np.empty(0)]
                 for lo in range(0, len(parts) - 1, 511):
@@ -45,8 +47,8 @@ def _sentence_groups(embedder: Embedder, percentile: float = CHUNK_PERCENTILE):
                 far = np.concatenate(far)
                 ends = np.flatnonzero(far > np.percentile(far, percentile * 100)) + 1 if len(far) else np.empty(0, dtype=int)
                 edges = [0, *ends.tolist(), len(parts)]
-                groups.append([{"s": parts[a:b]} for a, b in zip(edges, edges[1:], strict=False)])
-            yield pa.record_batch([batch.column(0), pa.array(groups, kind)], names=[batch.schema.names[0], "g"])
+                groups.append(pa.array([[{"s": parts[a:b]} for a, b in zip(edges, edges[1:], strict=False)]], kind))
+            yield pa.record_batch([batch.column(0), pa.concat_arrays([pa.array([], kind), *groups])], names=[batch.schema.names[0], "g"])
 
     return run
 
@@ -60,7 +62,8 @@ def chunk_documents(docs: DataFrame, doc: str, text: str, *, least: int = CHUNK_
     """
     cut = docs.select(doc, sentences(clean_text(F.col(text))).alias("s")).where(F.size("s") > 0)
     kind = docs.schema[doc].dataType.simpleString()
-    ordered = cut.mapInArrow(_sentence_groups(embedder), f"`{doc}` {kind}, g array<struct<s:array<string>>>")
+    bounded_batches(docs.sparkSession)
+    ordered = cut.mapInArrow(tidy(_sentence_groups(embedder)), f"`{doc}` {kind}, g array<struct<s:array<string>>>")
 
     def step(done, group):
         whole = F.array_join(group["s"], " ")
@@ -87,31 +90,47 @@ _STOP = frozenset(
 
 def text_rank(text: str, top: int = 10, window: int = 4, rounds: int = 30) -> list[tuple[str, float, int]]:
     """Phrases between stop words of the whole text, ranked by PageRank of their words in a co-occurrence window."""
-    words = [w.strip(".,;:!?\"'()[]").lower() for w in text.split()]
-    names = sorted({w for w in words if len(w) > 2 and w not in _STOP})
+    words = text.split()
+    plain = {w: w.strip(".,;:!?\"'()[]").lower() for w in set(words)}
+    names = sorted({w for w in plain.values() if len(w) > 2 and w not in _STOP})
     if not names:
         return []
     at = {w: i for i, w in enumerate(names)}
-    row = np.array([at.get(w, -1) for w in words])
-    links = np.concatenate([np.stack([row[:-d], row[d:]], 1) for d in range(1, window) if len(row) > d] or [np.empty((0, 2), int)])
-    links = links[(links >= 0).all(axis=1)]
-    pairs, weight = np.unique(np.concatenate([links, links[:, ::-1]]), axis=0, return_counts=True)
-    out = np.bincount(pairs[:, 0], weights=weight, minlength=len(names)) if len(pairs) else np.zeros(len(names))
-    rank = np.full(len(names), 1 / len(names))
+    number = {w: at.get(p, -1) for w, p in plain.items()}
+    ids = [number[w] for w in words]
+    row, n = np.array(ids), len(names)
+    steps = [(row[:-d], row[d:]) for d in range(1, window) if len(row) > d]
+    near = [(x[both], y[both]) for x, y in steps for both in [(x >= 0) & (y >= 0)]]
+    # A pair is one number, so that the numbers' order is that of pairs.
+    pairs, weight = np.unique(np.concatenate([np.empty(0, np.int64), *(x * n + y for x, y in near), *(y * n + x for x, y in near)]), return_counts=True)
+    start, end = np.divmod(pairs, n)
+    weight = weight.astype(np.float64)
+    out = np.bincount(start, weights=weight, minlength=n)
+    rank, share = np.full(n, 1 / n), out[start]
     for _ in range(rounds if len(pairs) else 0):
-        rank = 0.15 / len(names) + 0.85 * np.bincount(pairs[:, 1], weights=rank[pairs[:, 0]] * weight / out[pairs[:, 0]], minlength=len(names))
-    phrases: dict[str, list[float]] = {}
-    run: list[int] = []
-    for i in [*row.tolist(), -1]:
+        sent = rank[start]
+        sent *= weight
+        sent /= share
+        rank = 0.15 / n + 0.85 * np.bincount(end, weights=sent, minlength=n)
+    phrases: dict[tuple[int, ...], int] = {}
+    run: tuple[int, ...] = ()
+    for i in (*ids, -1):
         if i >= 0 and len(run) < 4:
-            run.append(i)
+            run += (i,)
             continue
         if run:
-            entry = phrases.setdefault(" ".join(names[j] for j in run), [float(np.mean(rank[run])), 0])
-            entry[1] += 1
-        run = [i] if i >= 0 else []
-    best = sorted(phrases.items(), key=lambda p: (-p[1][0], p[0]))[:top]
-    return [(p, round(r, 6), int(n)) for p, (r, n) in best]
+            phrases[run] = phrases.get(run, 0) + 1
+        run = (i,) if i >= 0 else ()
+    of = rank.tolist()
+
+    def mean(run: tuple[int, ...]) -> float:
+        total = 0.0
+        for i in run:
+            total += of[i]
+        return total / len(run)
+
+    best = sorted((-mean(run), " ".join([names[i] for i in run]), times) for run, times in phrases.items())[:top]
+    return [(p, round(-r, 6), times) for r, p, times in best]
 
 
 def keyphrases(chunks: DataFrame, text: str = "text", top: int = 10) -> DataFrame:
@@ -120,8 +139,9 @@ def keyphrases(chunks: DataFrame, text: str = "text", top: int = 10) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [[{"text": p, "rank": r, "count": n} for p, r, n in text_rank(t or "", top)] for t in batch.column(text).to_pylist()]
+            rows = [[{"text": p, "rank": r, "count": n} for p, r, n in text_rank(t.as_py() or "", top)] for t in batch.column(text)]
             yield pa.record_batch([*batch.columns, pa.array(rows, kind)], names=[*batch.schema.names, "keyphrases"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chunks.schema)
-    return chunks.mapInArrow(run, f"{fields}, keyphrases array<struct<text:string,rank:double,count:int>>")
+    bounded_batches(chunks.sparkSession)
+    return chunks.mapInArrow(tidy(run), f"{fields}, keyphrases array<struct<text:string,rank:double,count:int>>")

@@ -8,12 +8,14 @@ directory; on a cluster that would be a folder of each machine's own, and is an
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -119,3 +121,17 @@ def dealt_by_rows(spark: SparkSession, rows: int, each: int = 1_000_000) -> Iter
     finally:
         for key, value in before.items():
             spark.conf.set(key, value)
+
+
+def tidy(function: Callable) -> Callable:
+    """A function over batches that hands freed memory back to the system when its partition is done: workers are used again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with suppress(OSError, AttributeError):  # a C library without it keeps the memory
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
