@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -13,9 +12,16 @@ from pyspark.sql import functions as F
 from loomgraph.config import JACCARD_THRESHOLD, NUM_BANDS, NUM_PERMUTATIONS, SHINGLE_WORDS
 from loomgraph.functions.text import plain_tokens
 from loomgraph.operators.components import connected_components
-from loomgraph.storage import materialise
+from loomgraph.storage import bounded_batches, materialise, tidy
+
+try:  # of one short text after another, without OpenSSL's cost of setting up each
+    from _md5 import md5
+except ImportError:
+    from hashlib import md5
 
 PRIME = (1 << 31) - 1
+#: Shingles that are permuted at once.
+SLAB = 128
 
 
 def permutation(i: int) -> tuple[int, int]:
@@ -31,7 +37,25 @@ def exact_groups(docs: DataFrame, id_column: str, digest: str) -> DataFrame:
 
 
 def _least_slots(k: int, permutations: int) -> Callable:
-    pairs = np.array([permutation(i) for i in range(permutations)], dtype=np.int64)
+    times, plus = np.array([permutation(i) for i in range(permutations)], dtype=np.uint64).T.copy()
+    prime, bits = np.uint64(PRIME), np.uint64(31)
+
+    def permuted(heads: np.ndarray) -> np.ndarray:
+        """The least of ``(head * times + plus) % PRIME``: modulo a Mersenne prime, upper bits are added to the lower ones."""
+        least, held, other = np.full(permutations, prime), np.empty((SLAB, permutations), np.uint64), np.empty((SLAB, permutations), np.uint64)
+        for lo in range(0, len(heads), SLAB):
+            some = heads[lo : lo + SLAB, None]
+            x, y = held[: len(some)], other[: len(some)]
+            np.multiply(some, times, out=x)
+            x += plus
+            for _ in range(2):
+                np.right_shift(x, bits, out=y)
+                x &= prime
+                x += y
+            np.subtract(x, prime, out=y)  # below the prime the difference wraps around
+            np.minimum(x, y, out=x)
+            np.minimum(least, x.min(axis=0), out=least)
+        return least.astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -40,14 +64,11 @@ def _least_slots(k: int, permutations: int) -> Callable:
                 words = plain_tokens(text or "")
                 if len(words) < k:
                     continue
-                found = {" ".join(words[j : j + k]) for j in range(len(words) - k + 1)}
+                found = set(map(" ".join, zip(*(words[j:] for j in range(k)), strict=False)))
                 # 31 bits of the md5 of each shingle, which any SQL engine can compute too.
-                heads = np.frombuffer(b"".join(md5(s.encode()).digest()[:4] for s in found), dtype=">u4").astype(np.int64) % PRIME
-                least = np.full(permutations, PRIME)
-                for lo in range(0, len(heads), 4096):
-                    least = np.minimum(least, ((heads[lo : lo + 4096, None] * pairs[:, 0] + pairs[:, 1]) % PRIME).min(axis=0))
+                heads = np.frombuffer(b"".join([md5(s).digest()[:4] for s in map(str.encode, found)]), dtype=">u4").astype(np.uint64) % prime
                 ids.append(i)
-                rows.append(least)
+                rows.append(permuted(heads))
             flat = pa.array(np.concatenate(rows)) if rows else pa.array([], pa.int64())
             starts = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * permutations)
             yield pa.record_batch([batch.column(0).take(pa.array(ids, pa.int64())), pa.ListArray.from_arrays(starts, flat)], names=[batch.schema.names[0], "signature"])
@@ -62,7 +83,8 @@ def signatures(docs: DataFrame, id_column: str, text: str, k: int = SHINGLE_WORD
     are a matrix in numpy. No row is multiplied by its shingles and nothing is shuffled.
     """
     kind = docs.schema[id_column].dataType.simpleString()
-    return docs.select(id_column, text).mapInArrow(_least_slots(k, permutations), f"`{id_column}` {kind}, signature array<bigint>")
+    bounded_batches(docs.sparkSession)
+    return docs.select(id_column, text).mapInArrow(tidy(_least_slots(k, permutations)), f"`{id_column}` {kind}, signature array<bigint>")
 
 
 def band_rows(signed: DataFrame, id_column: str, bands: int = NUM_BANDS) -> DataFrame:
