@@ -600,3 +600,21 @@ def test_pairs_are_dealt_by_their_number(spark, monkeypatch):
     found = graph.cooccurrence(spark.createDataFrame([(i % 3, i) for i in range(60)], "chunk int, key int"))
     assert found.count() == 3 * 20 * 19 // 2 and len(found.inputFiles()) >= 10
     assert (spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")) == before
+
+
+def test_texts_reach_python_in_bounded_batches(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.createDataFrame([(1, "One sentence here. Another one there.")], "id int, text string")
+    for made in (lambda: chunking.chunk_documents(docs, "id", "text"), lambda: chunking.keyphrases(docs), lambda: dedup.signatures(docs, "id", "text")):
+        spark.conf.unset(key)
+        made()
+        assert spark.conf.get(key) == "4m"
+
+
+def test_permutations_are_modulo_the_prime(spark):
+    text = " ".join(f"w{i}" for i in range(400))
+    from hashlib import md5
+
+    heads = [int.from_bytes(md5(f"w{i} w{i + 1} w{i + 2}".encode()).digest()[:4]) % dedup.PRIME for i in range(398)]
+    want = [min((h * a + b) % dedup.PRIME for h in heads) for a, b in map(dedup.permutation, range(128))]
+    assert dedup.signatures(spark.createDataFrame([(1, text)], "id int, text string"), "id", "text").first().signature == want
