@@ -14,7 +14,7 @@ from loomgraph.config import DAMPING, MERGE_SIMILARITY, MERGE_TOP_K, MIN_COOCCUR
 from loomgraph.functions.vector import unit
 from loomgraph.operators.components import connected_components
 from loomgraph.operators.nearest import nearest, numbered, with_key, with_number
-from loomgraph.storage import dealt_by_rows, materialise
+from loomgraph.storage import dealt_by_rows, materialise, read_by_rows
 
 
 #: Entities of one chunk that a task pairs with as many others; larger chunks are split.
@@ -37,13 +37,19 @@ def cooccurrence(mentions: DataFrame, chunk: str = "chunk", key: str = "key", le
     """``(src, dst, weight)``, ``src < dst``: in how many chunks two entities stand together.
 
     Pairs are written: how many there are is known before they are made, and tasks are as many as that needs.
+    Tables are read by rows too, so that neither end of a shuffle holds more where there are more mentions.
     """
-    spark, named = mentions.sparkSession, mentions.select(chunk, key)
-    with dealt_by_rows(spark, named.count()):
+    spark = mentions.sparkSession
+    named = mentions.select(chunk, key).where(F.col(chunk).isNotNull() & F.col(key).isNotNull())  # those without either pair with nothing
+    rows = named.count()
+    with dealt_by_rows(spark, rows), read_by_rows(named, rows):
         once = materialise(named.distinct(), "mentions")
+    rows = once.count()
+    with dealt_by_rows(spark, rows), read_by_rows(once, rows):
         sizes = materialise(once.groupBy(chunk).agg(F.count("*").alias("__rows")), "groups")
-    made = sizes.agg(F.sum(F.col("__rows") * (F.col("__rows") + 1) / 2).cast("long")).first()[0] or 0
-    with dealt_by_rows(spark, made):
+    n = F.col("__rows")
+    made, sent = sizes.agg(F.sum(n * (n + 1) / 2).cast("long"), F.sum(n * F.ceil(n / BLOCK))).first()
+    with dealt_by_rows(spark, made or 0), read_by_rows(once, sent or 0):
         x, y = _blocks(once, sizes, chunk, key, "__x", "__y")
         on = [chunk, "__x", "__y"]
         pairs = x.withColumnRenamed(key, "src").join(y.withColumnRenamed(key, "dst"), on).where("src < dst").groupBy("src", "dst").agg(F.count("*").alias("weight"))

@@ -13,11 +13,14 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager, suppress
+from contextlib import AbstractContextManager, contextmanager, suppress
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows that a task reads or gets where a table is dealt by its rows.
+ROWS_OF_TASK = 500_000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of this session, as a URI."""
@@ -107,12 +110,7 @@ def bounded_batches(spark: SparkSession, size: str = "4m") -> None:
 
 
 @contextmanager
-def dealt_by_rows(spark: SparkSession, rows: int, each: int = 1_000_000) -> Iterator[None]:
-    """Within the block, shuffles have a partition for about ``each`` of ``rows``, so that what a task holds doesn't grow with the input.
-
-    Adaptive execution would join partitions up to a size in compressed bytes, which says little of a hash table.
-    """
-    wanted = {"spark.sql.shuffle.partitions": str(max(-(-rows // each), spark.sparkContext.defaultParallelism)), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+def _settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
     before = {key: spark.conf.get(key) for key in wanted}
     for key, value in wanted.items():
         spark.conf.set(key, value)
@@ -123,6 +121,28 @@ def dealt_by_rows(spark: SparkSession, rows: int, each: int = 1_000_000) -> Iter
             spark.conf.set(key, value)
 
 
+def dealt_by_rows(spark: SparkSession, rows: int, each: int = ROWS_OF_TASK) -> AbstractContextManager[None]:
+    """Within the block, shuffles have a partition for about ``each`` of ``rows``, so that what a task holds doesn't grow with the input.
+
+    Adaptive execution would join partitions up to a size in compressed bytes, which says little of a hash table.
+    """
+    partitions = max(-(-rows // each), spark.sparkContext.defaultParallelism)
+    return _settings(spark, {"spark.sql.shuffle.partitions": str(partitions), "spark.sql.adaptive.coalescePartitions.enabled": "false"})
+
+
+def read_by_rows(df: DataFrame, rows: int, each: int = ROWS_OF_TASK) -> AbstractContextManager[None]:
+    """Within the block, a task reads about ``each`` of the ``rows`` that the files of ``df`` make.
+
+    Spark deals files by bytes, a share of all for each core and 128 MB at most. Of a narrow table those are tens of
+    millions of rows, and a task holds the groups that they make before they are shuffled.
+    """
+    spark, key = df.sparkSession, "spark.sql.files.maxPartitionBytes"
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(leaves.apply(i).stats().sizeInBytes() for i in range(leaves.size()))
+    bound = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return _settings(spark, {key: f"{max(min(size * each // max(rows, 1), bound), 1)}b"})
+
+
 def tidy(function: Callable) -> Callable:
     """A function over batches that hands freed memory back to the system when its partition is done: workers are used again."""
 

@@ -15,7 +15,7 @@ from loomgraph.operators import chunking, classify, dedup, graph, nearest, relat
 from loomgraph.operators.components import connected_components
 from loomgraph.plans import queries
 from loomgraph.sources import files, sinks
-from loomgraph.storage import Scratch, dealt_by_rows, materialise
+from loomgraph.storage import Scratch, dealt_by_rows, materialise, read_by_rows
 from loomgraph.streaming import outbox
 
 
@@ -602,6 +602,38 @@ def test_pairs_are_dealt_by_their_number(spark, monkeypatch):
     assert (spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")) == before
 
 
+def test_tables_are_read_by_their_rows(spark, tmp_path, monkeypatch):
+    key, path = "spark.sql.files.maxPartitionBytes", str(tmp_path / "rows")
+    spark.range(40_000).select((F.col("id") % 20_000).alias("chunk"), F.col("id").alias("key")).repartition(20).write.parquet(path)
+    df = spark.read.parquet(path)
+    before, size = spark.conf.get(key), sum(f.stat().st_size for f in (tmp_path / "rows").glob("*.parquet"))
+    with read_by_rows(df, 40_000, each=1000):
+        assert spark.read.parquet(path).rdd.getNumPartitions() >= 20
+    with read_by_rows(spark.range(9), 9), read_by_rows(df, 40_000, each=10**12):
+        assert int(spark.conf.get(key)[:-1]) <= 128 << 20
+    bounds = {}
+
+    def noting(df, label):
+        bounds[label] = spark.conf.get(key)
+        return materialise(df, label)
+
+    monkeypatch.setattr(graph, "read_by_rows", lambda df, rows: read_by_rows(df, rows, each=1000))
+    monkeypatch.setattr(graph, "materialise", noting)
+    assert graph.cooccurrence(df).count() == 20_000
+    assert bounds["mentions"] == f"{size // 40}b"
+    assert all(int(bounds[label][:-1]) < size // 10 for label in ("groups", "sizes", "pairs"))
+    assert spark.conf.get(key) == before
+
+
+def test_mentions_without_chunk_or_key_are_not_counted_as_pairs(spark, monkeypatch):
+    dealt = []
+    monkeypatch.setattr(graph, "dealt_by_rows", lambda spark, rows: dealt.append(rows) or dealt_by_rows(spark, rows))
+    rows = [(None, i) for i in range(3000)] + [(1, None), (1, 4), (1, 5)]
+    assert [tuple(r) for r in graph.cooccurrence(spark.createDataFrame(rows, "chunk int, key int")).collect()] == [(4, 5, 1)]
+    assert max(dealt) == 3
+    assert graph.cooccurrence(spark.createDataFrame([], "chunk int, key int")).count() == 0
+
+
 def test_texts_reach_python_in_bounded_batches(spark):
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     docs = spark.createDataFrame([(1, "One sentence here. Another one there.")], "id int, text string")
