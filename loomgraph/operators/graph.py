@@ -351,7 +351,10 @@ def break_cycles(edges: DataFrame, found: DataFrame) -> DataFrame:
 
 def overview(documents: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row: documents, concepts, technologies and edges; all 0 for a user without documents."""
-    docs = documents.agg(F.count_distinct("id").alias("documents"))
+    ids = documents.select("id")
+    rows = ids.count()
+    with dealt_by_rows(documents.sparkSession, rows), read_by_rows(ids, rows):
+        docs = materialise(ids.agg(F.count_distinct("id").alias("documents")), "documents")
     of = nodes.agg(F.count_if(F.col("label") == "Concept").alias("concepts"), F.count_if(F.col("label") == "Technology").alias("technologies"))
     joined = docs.crossJoin(F.broadcast(of)).crossJoin(F.broadcast(edges.agg(F.count("*").alias("edges"))))  # one row each
     return joined.select("documents", *[F.when(F.col("documents") > 0, F.col(c)).otherwise(0).cast("long").alias(c) for c in ("concepts", "technologies", "edges")])

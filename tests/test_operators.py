@@ -634,6 +634,15 @@ def test_mentions_without_chunk_or_key_are_not_counted_as_pairs(spark, monkeypat
     assert graph.cooccurrence(spark.createDataFrame([], "chunk int, key int")).count() == 0
 
 
+def test_overview_counts_documents_by_their_rows(spark, monkeypatch):
+    dealt = []
+    monkeypatch.setattr(graph, "dealt_by_rows", lambda spark, rows: dealt.append(rows) or dealt_by_rows(spark, rows, each=10))
+    nodes, edges = spark.createDataFrame([("Concept",), ("Concept",), ("Technology",), (None,)], "label string"), spark.range(7)
+    some = graph.overview(spark.createDataFrame([(i % 40,) for i in range(60)] + [(None,)], "id int"), nodes, edges)
+    none = graph.overview(spark.createDataFrame([], "id int"), nodes, edges)
+    assert [tuple(x.first()) for x in (some, none)] == [(40, 2, 1, 7), (0, 0, 0, 0)] and dealt == [61, 0]
+
+
 def test_texts_reach_python_in_bounded_batches(spark):
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     docs = spark.createDataFrame([(1, "One sentence here. Another one there.")], "id int, text string")
