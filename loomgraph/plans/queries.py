@@ -597,7 +597,7 @@ def purged_orders(spark, d):
 def purged_graph(spark, d):
     nodes = R.table(spark, d, "part").select(F.col("p_partkey").alias("key"))
     kept, edges = sinks.purge_graph(nodes, R.concept_pairs(spark, d), nodes.where("key % 4 = 1"))
-    return edges.join(kept.withColumnRenamed("key", "src"), "src", "left_semi").select("src", "dst", "weight")
+    return edges.join(kept.withColumnRenamed("key", "src").hint("merge"), "src", "left_semi").select("src", "dst", "weight")
 
 
 @query

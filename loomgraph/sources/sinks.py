@@ -57,7 +57,11 @@ def purge(table: DataFrame, column: str, deleted: DataFrame, deleted_column: str
 
 
 def purge_graph(nodes: DataFrame, edges: DataFrame, deleted: DataFrame, key: str = "key") -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges without the deleted nodes and all edges at them."""
+    """Nodes and edges without the deleted nodes and all edges at them.
+
+    Keys are sorted and not broadcast: under Spark's threshold in bytes millions of them fit, which each task then counts as its own.
+    """
+    deleted = deleted.hint("merge")
     left = nodes.join(deleted.select(key), key, "left_anti")
     for end in ("src", "dst"):
         edges = purge(edges, end, deleted, key)

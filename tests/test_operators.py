@@ -643,6 +643,15 @@ def test_overview_counts_documents_by_their_rows(spark, monkeypatch):
     assert [tuple(x.first()) for x in (some, none)] == [(40, 2, 1, 7), (0, 0, 0, 0)] and dealt == [61, 0]
 
 
+def test_deleted_nodes_are_not_broadcast(spark):
+    nodes, edges = spark.createDataFrame([(i,) for i in range(6)], "key int"), spark.createDataFrame([(1, 2), (2, 3), (3, 4), (5, 1)], "src int, dst int")
+    kept, left = sinks.purge_graph(nodes, edges, nodes.where("key in (2, 5)"))
+    assert pairs(kept, "key") == [(0,), (1,), (3,), (4,)] and pairs(left, "src", "dst") == [(3, 4)]
+    for df in (kept, left):
+        df.collect()
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_texts_reach_python_in_bounded_batches(spark):
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     docs = spark.createDataFrame([(1, "One sentence here. Another one there.")], "id int, text string")
