@@ -14,7 +14,7 @@ from loomgraph.config import DAMPING, MERGE_SIMILARITY, MERGE_TOP_K, MIN_COOCCUR
 from loomgraph.functions.vector import unit
 from loomgraph.operators.components import connected_components
 from loomgraph.operators.nearest import nearest, numbered, with_key, with_number
-from loomgraph.storage import dealt_by_rows, materialise, read_by_rows
+from loomgraph.storage import dealt_by_rows, discard, in_small_files, materialise, read_by_rows
 
 
 #: Entities of one chunk that a task pairs with as many others; larger chunks are split.
@@ -37,13 +37,18 @@ def cooccurrence(mentions: DataFrame, chunk: str = "chunk", key: str = "key", le
     """``(src, dst, weight)``, ``src < dst``: in how many chunks two entities stand together.
 
     Pairs are written: how many there are is known before they are made, and tasks are as many as that needs.
-    Tables are read by rows too, so that neither end of a shuffle holds more where there are more mentions.
+    Tables are read by rows too, so that neither end of a shuffle holds more where there are more mentions, and mentions
+    in large row groups, which a task can't read a part of, are first written in smaller ones.
     """
     spark = mentions.sparkSession
     named = mentions.select(chunk, key).where(F.col(chunk).isNotNull() & F.col(key).isNotNull())  # those without either pair with nothing
     rows = named.count()
-    with dealt_by_rows(spark, rows), read_by_rows(named, rows):
-        once = materialise(named.distinct(), "mentions")
+    with read_by_rows(named, rows):
+        small = in_small_files(named, "named")
+    with dealt_by_rows(spark, rows), read_by_rows(small, rows):
+        once = materialise(small.distinct(), "mentions")
+    if small is not named:
+        discard(small)
     rows = once.count()
     with dealt_by_rows(spark, rows), read_by_rows(once, rows):
         sizes = materialise(once.groupBy(chunk).agg(F.count("*").alias("__rows")), "groups")

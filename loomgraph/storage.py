@@ -17,6 +17,7 @@ from contextlib import AbstractContextManager, contextmanager, suppress
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows that a task reads or gets where a table is dealt by its rows.
 ROWS_OF_TASK = 500_000
@@ -66,11 +67,12 @@ class Scratch:
         release(self.spark)
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and return the table read back."""
+def materialise(df: DataFrame, label: str, rows_of_file: int = 0) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and return the table read back; a file has at most ``rows_of_file`` rows, if given."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomgraph/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    writer = df.write.option("maxRecordsPerFile", rows_of_file) if rows_of_file else df.write
+    writer.parquet(path)
     if Scratch._open:
         Scratch._open[-1].made[path] = None
     return spark.read.schema(df.schema).parquet(path)
@@ -143,6 +145,16 @@ def read_by_rows(df: DataFrame, rows: int, each: int = ROWS_OF_TASK) -> Abstract
     return _settings(spark, {key: f"{max(min(size * each // max(rows, 1), bound), 1)}b"})
 
 
+def in_small_files(df: DataFrame, label: str, each: int = ROWS_OF_TASK) -> DataFrame:
+    """``df``, written anew in files of at most ``each`` rows if a task would read more than two such files' rows.
+
+    A row group is read by one task, however few bytes a task is dealt. Writers bound groups by bytes, so those of a
+    narrow table may have tens of millions of rows.
+    """
+    most = df.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("rows")).agg(F.max("rows")).first()[0] or 0
+    return materialise(df, label, each) if most > 2 * each else df
+
+
 def tidy(function: Callable) -> Callable:
     """A function over batches that hands freed memory back to the system when its partition is done: workers are used again."""
 

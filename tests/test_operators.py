@@ -15,7 +15,7 @@ from loomgraph.operators import chunking, classify, dedup, graph, nearest, relat
 from loomgraph.operators.components import connected_components
 from loomgraph.plans import queries
 from loomgraph.sources import files, sinks
-from loomgraph.storage import Scratch, dealt_by_rows, materialise, read_by_rows
+from loomgraph.storage import Scratch, dealt_by_rows, in_small_files, materialise, read_by_rows
 from loomgraph.streaming import outbox
 
 
@@ -625,6 +625,29 @@ def test_tables_are_read_by_their_rows(spark, tmp_path, monkeypatch):
     assert spark.conf.get(key) == before
 
 
+def test_large_row_groups_are_written_in_small_files(spark, tmp_path, monkeypatch):
+    path, read = str(tmp_path / "rows"), {}
+    spark.range(6000).select((F.col("id") % 3000).alias("chunk"), F.col("id").alias("key")).coalesce(1).write.parquet(path)
+    df = spark.read.parquet(path)  # one row group, which no share in bytes divides
+
+    def noting(df, label):
+        if label == "mentions":
+            inside = spark.read.parquet(*{f.rpartition("/")[0] for f in df.inputFiles()})
+            read[label] = inside.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0], inside.count()
+        return materialise(df, label)
+
+    monkeypatch.setattr(graph, "read_by_rows", lambda df, rows: read_by_rows(df, rows, each=1000))
+    monkeypatch.setattr(graph, "in_small_files", lambda df, label: in_small_files(df, label, each=1000), raising=False)
+    monkeypatch.setattr(graph, "materialise", noting)
+    with Scratch(spark):
+        found = graph.cooccurrence(df)
+        assert pairs(found, "src", "dst", "weight") == [(i, i + 3000, 1) for i in range(3000)]
+        assert read["mentions"] == (1000, 6000)
+    assert df.count() == 6000
+    with read_by_rows(df, 6000, each=3000):
+        assert in_small_files(df, "rows", each=3000) is df and in_small_files(df, "rows", each=2999) is not df
+
+
 def test_mentions_without_chunk_or_key_are_not_counted_as_pairs(spark, monkeypatch):
     dealt = []
     monkeypatch.setattr(graph, "dealt_by_rows", lambda spark, rows: dealt.append(rows) or dealt_by_rows(spark, rows))
