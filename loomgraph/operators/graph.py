@@ -72,14 +72,20 @@ def prerequisites(pairs: DataFrame, threshold: float = PREREQ_THRESHOLD, previou
 
     The reference distance of A and B is ``(|N(B)| - |N(A)|) / |N(A) union N(B)|``.
     Common neighbours of a pair are the triangles over it. Each triangle is found once,
-    from its end of least degree, so a hub does not multiply its neighbours.
+    from its end of least degree, so a hub does not multiply its neighbours. How many
+    wedges are tried is known before they are made, and tasks are as many as that needs.
     """
+    spark = pairs.sparkSession
     pairs = materialise(pairs.select("src", "dst").distinct(), "pairs")
-    degree = materialise(both_ways(pairs).groupBy("src").agg(F.count("*").alias("n")), "degrees")
+    rows = pairs.count()
+    with dealt_by_rows(spark, 2 * rows), read_by_rows(pairs, rows):
+        degree = materialise(both_ways(pairs).groupBy("src").agg(F.count("*").alias("n")), "degrees")
+        ends = pairs.join(degree.withColumnRenamed("n", "ns"), "src").join(degree.select(F.col("src").alias("dst"), F.col("n").alias("nd")), "dst")
+        up = F.struct("ns", "src") < F.struct("nd", "dst")
+        rising = materialise(ends.select(F.when(up, F.col("src")).otherwise(F.col("dst")).alias("u"), F.when(up, F.col("dst")).otherwise(F.col("src")).alias("v")), "rising")
+        n = F.col("n")
+        made = rising.groupBy("u").agg(F.count("*").alias("n")).agg(F.sum(n * (n - 1) / 2).cast("long")).first()[0] or 0
     open_pairs = pairs.select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    ends = pairs.join(degree.withColumnRenamed("n", "ns"), "src").join(degree.select(F.col("src").alias("dst"), F.col("n").alias("nd")), "dst")
-    up = F.struct("ns", "src") < F.struct("nd", "dst")
-    rising = materialise(ends.select(F.when(up, F.col("src")).otherwise(F.col("dst")).alias("u"), F.when(up, F.col("dst")).otherwise(F.col("src")).alias("v")), "rising")
     wedges = rising.alias("x").join(rising.alias("y"), "u").where("x.v < y.v").select("u", F.col("x.v").alias("a"), F.col("y.v").alias("b"))
     triangles = wedges.join(open_pairs, ["a", "b"])
     sides = F.explode(F.array(*[F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")) for x, y in (("a", "b"), ("u", "a"), ("u", "b"))]))
@@ -92,7 +98,8 @@ def prerequisites(pairs: DataFrame, threshold: float = PREREQ_THRESHOLD, previou
     edges = far.select(F.when(forward, F.col("a")).otherwise(F.col("b")).alias("src"), F.when(forward, F.col("b")).otherwise(F.col("a")).alias("dst"), F.abs("refd").alias("refd"))
     if previous is not None:
         edges = edges.join(previous.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"], "left_anti")
-    return edges
+    with dealt_by_rows(spark, made + rows), read_by_rows(pairs, rows):
+        return materialise(edges, "prerequisites")
 
 
 def orphans(nodes: DataFrame, edges: DataFrame, key: str = "key") -> DataFrame:

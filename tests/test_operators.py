@@ -657,6 +657,20 @@ def test_mentions_without_chunk_or_key_are_not_counted_as_pairs(spark, monkeypat
     assert graph.cooccurrence(spark.createDataFrame([], "chunk int, key int")).count() == 0
 
 
+def test_prerequisites_are_dealt_by_their_wedges(spark, monkeypatch):
+    dealt = []
+    monkeypatch.setattr(graph, "dealt_by_rows", lambda spark, rows: dealt.append(rows) or dealt_by_rows(spark, rows, each=50))
+    ends = [(i, j) for i in range(12) for j in range(i + 1, 12)] + [(i, 100 + i) for i in range(12)] + [(0, 200)]
+    found = graph.prerequisites(spark.createDataFrame(ends + ends[:3], "src int, dst int"))
+    near = {i: {b if a == i else a for a, b in ends if i in (a, b)} for i in {x for e in ends for x in e}}
+    refd = {(a, b): (len(near[b]) - len(near[a])) / len(near[a] | near[b]) for a, b in ends}
+    want = sorted(((a, b) if r > 0 else (b, a)) + (round(abs(r), 9),) for (a, b), r in refd.items() if abs(r) > 0.05)
+    assert sorted((a, b, round(r, 9)) for a, b, r in found.collect()) == want
+    wedges = sum(n * (n - 1) // 2 for n in range(12))  # from a node to two that are later by degree and key
+    assert dealt == [2 * 79, wedges + 79] and len(found.inputFiles()) > 4
+    assert graph.prerequisites(spark.createDataFrame([], "src int, dst int")).count() == 0
+
+
 def test_overview_counts_documents_by_their_rows(spark, monkeypatch):
     dealt = []
     monkeypatch.setattr(graph, "dealt_by_rows", lambda spark, rows: dealt.append(rows) or dealt_by_rows(spark, rows, each=10))
